@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaksift.functions.bits import WORD_BITS, hamming
 from leaksift.functions.vectors import frequency_hash, gradient_hash, perturbations
@@ -35,7 +36,7 @@ def shingle_words(words: Column, size: int, digest: str) -> Column:
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), at))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def majority_word(hashes: pd.Series) -> pd.Series:
     """Bit ``i`` is set when more than half of a row's hashes have it set (null for no hashes)."""
     def one(row: np.ndarray | None) -> int | None:

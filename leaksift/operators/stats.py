@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaksift.functions.digest import draw_index
 from leaksift.functions.intervals import T_CRITICAL_DF9, collision_probability, normal_tail, z_quantile
@@ -160,7 +161,7 @@ def percentile_interval(replicates: DataFrame, value: str, by: Sequence[str] = (
         F.percentile(v, F.lit(alpha / 2)).alias("low"), F.percentile(v, F.lit(1 - alpha / 2)).alias("high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse normal distribution on small tables."""
     inverse = NormalDist().inv_cdf
@@ -228,7 +229,7 @@ def paired_bootstrap(deltas: DataFrame, team: str, delta: str, reps: int, seed:
 
 # --- signed ranks and agreement ----------------------------------------------
 
-@F.pandas_udf("struct<p_two_sided:double,p_less:double>")
+@F.pandas_udf(T.StructType([T.StructField("p_two_sided", T.DoubleType()), T.StructField("p_less", T.DoubleType())]))
 def _signed_rank_p(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.DataFrame:
     def one(size: int, w: float, tied: float) -> tuple[float | None, float | None]:
         if size == 0:
@@ -284,7 +285,7 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return pearson(ranked, by, "_rx", "_ry", "spearman")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tau_b(xs: pd.Series, ys: pd.Series) -> pd.Series:
     def swaps(values: np.ndarray) -> int:
         if len(values) < 2:
