@@ -169,3 +169,22 @@ def filter_group(rows: DataFrame, membership: DataFrame, on: str, exclude: bool
 def review_order(seed: object, key: str) -> Column:
     """Seeded order for a review sample."""
     return order_digest(seed, F.col(key))
+
+
+def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8, text: str = "text",
+                 digest: str = "md5") -> DataFrame:
+    """Keys of items that share a run of ``size`` words with any benchmark text.
+
+    Runs are hashed in the JVM over whole texts. The benchmark's distinct hashes
+    are one side of a semi-join, which Spark broadcasts when their size allows
+    and shuffles otherwise; a run repeated inside an item is sent once.
+    """
+    from leaksift.operators.fingerprints import normalised_words, shingle_words
+
+    def runs(df: DataFrame, *keep: str) -> DataFrame:
+        words = normalised_words(F.col(text))
+        return (df.select(*keep, words.alias("_w")).where(F.size("_w") >= size)
+                .select(*keep, F.explode(F.array_distinct(shingle_words(F.col("_w"), size, digest))).alias("_run")))
+
+    return (runs(items, key).join(runs(benchmark).distinct(), "_run", "left_semi")
+            .select(key).distinct())
