@@ -118,3 +118,10 @@ def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """The rows again; the first one failing ``ok`` fails the job."""
     check = F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(message))).otherwise(F.lit("ok"))
     return df.where(check == "ok")
+
+
+def metric_status(organizer: Column, again: Column, tolerance: float = 1e-6) -> Column:
+    """Status of a re-scored row: excluded without either score, ``drift`` beyond the tolerance."""
+    return (F.when(organizer.isNull(), "excluded_no_organizer_score")
+            .when(again.isNull(), "excluded_no_reproduction")
+            .when(F.abs(organizer - again) > tolerance, "drift").otherwise("ok"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leaksift.functions.bits import WORD_BITS, hamming, signed
 from leaksift.operators.fingerprints import distinct_fingerprints
+from leaksift.session import materialise
 
 TILE_ROWS = 20_000
 MAX_BANDS = 4_000
@@ -215,20 +216,24 @@ def nearest_within(items: DataFrame, reference: DataFrame, *, words: Sequence[st
 
 
 def nearest_exact(items: DataFrame, reference: DataFrame, *, words: Sequence[str], radius: int, rows: int,
-                  ref_key: str, block_rows: int = 4096) -> DataFrame:
-    """As :func:`nearest_within`, and exact beyond ``radius`` too.
-
-    Fingerprints without a neighbour inside the radius are compared with every
-    distinct reference fingerprint, block against block, each pair of blocks in
-    its own task with one vectorised XOR and popcount; one row per fingerprint
-    leaves a task. Work grows with (unresolved x reference) fingerprints: choose
-    the radius so that few stay unresolved.
+                  ref_key: str, block_rows: int = 4096, most_comparisons: float = 1e12) -> DataFrame:
+    """As :func:`nearest_within`, and exact beyond ``radius`` too, for bounded inputs.
+
+    No band prunes a neighbour that may be anywhere, so fingerprints without one
+    inside the radius are compared with every distinct reference fingerprint,
+    block against block, each pair of blocks in its own task with one vectorised
+    XOR and popcount; one row per fingerprint leaves a task. Their number is
+    counted first: above ``most_comparisons`` the call fails, and a larger radius
+    or :func:`nearest_within` is the way.
     """
     words = list(words)
-    near = nearest_within(items, reference, words=words, radius=radius, rows=rows, ref_key=ref_key)
-    left = distinct_fingerprints(items, words).drop("n").join(near, words, "left_anti")
-    right = distinct_fingerprints(reference, words, first=ref_key).drop("n")
-    blocks = max(1, math.ceil(rows / block_rows))
+    near = materialise(nearest_within(items, reference, words=words, radius=radius, rows=rows, ref_key=ref_key))
+    left = materialise(distinct_fingerprints(items, words).drop("n").join(near, words, "left_anti"))
+    right = materialise(distinct_fingerprints(reference, words, first=ref_key).drop("n"))
+    unresolved, known = left.count(), right.count()
+    if unresolved * known > most_comparisons:
+        raise ValueError(f"{unresolved} unresolved x {known} reference fingerprints exceed {most_comparisons:.0e}")
+    blocks = max(1, math.ceil(max(unresolved, known) / block_rows))
     own = F.pmod(F.xxhash64(*words), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = left.select(*words, own.alias("_a"), every.alias("_b"))

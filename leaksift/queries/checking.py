@@ -1,3 +1,208 @@
-"""Path, key, label and name projections."""
+"""Cascade, merging, reconciliation and contract queries."""
 
-QUERIES, SQL = {}, {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leaksift.functions.digest import split_by_digest
+from leaksift.functions.keys import squash_name
+from leaksift.operators.checks import (cell_counts, claims, common_keys, contract, equal_claims, left_only_keys,
+                                       long_form, metadata_agreement, preflight, provenance, scorecard,
+                                       seed_status, strict_merge, tolerant_merge)
+from leaksift.operators.lookups import majority_vote, manifest_check, priority_cascade, reconcile
+from leaksift.operators.rates import duplicate_groups, rule_coverage
+from leaksift.queries.base import DOCS, Registry, document_prints, rounded, split_sql, table, train_and_held
+
+registry = Registry()
+
+
+def _cascade(spark, sf):
+    prints = document_prints(spark, sf).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    items = (prints.withColumn("name", F.concat(F.lit("doc_"), (F.col("doc_id") % 300).cast("string")))
+             .withColumn("size", F.expr("n_chars div 500")))
+    train, held = train_and_held(items)
+    votes = lambda *key: majority_vote(train.dropna(subset=list(key)), key, "lang", "vote")
+    rules = {name: (votes(*key), key) for name, key in (
+        ("filename", ("name",)), ("exact_pair", ("fp2", "fp3")), ("same_neighbour", ("fp3",)), ("same_group", ("source", "size")))}
+    return priority_cascade(held, rules, ["doc_id"], "prior")
+
+
+def _votes_sql(name, key):
+    return f"""{name} AS (SELECT {key}, vote FROM (SELECT {key}, lang AS vote, count(*) n FROM t GROUP BY {key}, lang)
+ QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n DESC, vote)=1)"""
+
+
+_CASCADE = f"""{DOCS}, x AS (SELECT docs.*, 'doc_'||(doc_id%300) AS name, n_chars//500 AS size FROM docs JOIN documents d USING (doc_id, lang, source)),
+t AS (SELECT * FROM x WHERE split='training'), {_votes_sql('v1', 'name')}, {_votes_sql('v2', 'fp2, fp3')}, {_votes_sql('v3', 'fp3')}, {_votes_sql('v4', 'source, size')},
+c AS (SELECT x.doc_id, x.lang, coalesce(v1.vote,v2.vote,v3.vote,v4.vote) AS vote, CASE WHEN v1.vote IS NOT NULL THEN 'filename' WHEN v2.vote IS NOT NULL THEN 'exact_pair'
+ WHEN v3.vote IS NOT NULL THEN 'same_neighbour' WHEN v4.vote IS NOT NULL THEN 'same_group' ELSE 'prior' END AS rule
+ FROM x LEFT JOIN v1 ON x.name=v1.name LEFT JOIN v2 ON x.fp2=v2.fp2 AND x.fp3=v2.fp3 LEFT JOIN v3 ON x.fp3=v3.fp3
+ LEFT JOIN v4 ON x.source=v4.source AND x.size=v4.size WHERE x.split='validation')"""
+
+
+@registry.add(f"{_CASCADE} SELECT doc_id, vote, rule FROM c")
+def trivial_cascade(spark, sf):
+    """Label of every held-out row by the first of four training look-ups that knows it."""
+    return _cascade(spark, sf).select("doc_id", "vote", "rule")
+
+
+@registry.add(f"{_CASCADE} SELECT rule, count(*) n FROM c GROUP BY 1")
+def cascade_coverage(spark, sf):
+    """Rows per cascade rule."""
+    return rule_coverage(_cascade(spark, sf), "rule")
+
+
+@registry.add("""WITH a1 AS (SELECT doc_id AS path, md5(d.text) h FROM documents d), b1 AS (SELECT item_id AS path, md5(CASE WHEN item_id%3=0 THEN d.text ELSE b.text END) h FROM benchmark b LEFT JOIN documents d ON d.doc_id=item_id
+ UNION ALL SELECT -1-item_id, md5(text) FROM benchmark)
+SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'unlisted' WHEN a.h=b.h THEN 'ok' ELSE 'mismatch' END AS status FROM a1 a FULL JOIN b1 b USING (path)""")
+def manifest_reconcile(spark, sf):
+    """Document digests against a manifest: some entries right, some wrong, some naming no document."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    listing = docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("digest"))
+    right = F.when(F.col("item_id") % 3 == 0, F.col("digest")).otherwise(F.md5("text"))
+    named = items.join(listing, F.col("path") == F.col("item_id"), "left").select(F.col("item_id").alias("path"), right.alias("digest"))
+    absent = items.select((-1 - F.col("item_id")).alias("path"), F.md5("text").alias("digest"))
+    return manifest_check(listing, named.unionByName(absent), "path", "digest")
+
+
+@registry.add("""WITH o AS (SELECT 'orders' AS claim, count(*)::DOUBLE v FROM orders UNION ALL SELECT 'mean_price', avg(o_totalprice) FROM orders UNION ALL SELECT 'lines', count(*) FROM lineitem),
+e AS (SELECT 'orders' AS claim, count(DISTINCT o_orderkey)::DOUBLE v, 0.0::DOUBLE tol FROM orders UNION ALL SELECT 'mean_price', median(o_totalprice), 10.0 FROM orders UNION ALL SELECT 'absent', 1.0, 0.5)
+SELECT claim, round(e.v,6) expected, e.tol AS tolerance, round(o.v,6) observed, coalesce(abs(o.v-e.v)<=e.tol, false) AS ok FROM e LEFT JOIN o USING (claim)""")
+def table_claims(spark, sf):
+    """Claims against observed values within a tolerance; a claim without a value fails."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    claim = lambda name, df, value: df.agg(F.lit(name).alias("claim"), value.cast("double").alias("value"))
+    observed = (claim("orders", orders, F.count(F.lit(1))).unionByName(claim("mean_price", orders, F.avg("o_totalprice")))
+                .unionByName(claim("lines", lines, F.count(F.lit(1)))))
+    expected = (claim("orders", orders, F.count_distinct("o_orderkey")).withColumn("tolerance", F.lit(0.0))
+                .unionByName(claim("mean_price", orders, F.median("o_totalprice")).withColumn("tolerance", F.lit(10.0)))
+                .unionByName(orders.agg(F.lit("absent").alias("claim"), F.lit(1.0).alias("value")).withColumn("tolerance", F.lit(0.5))))
+    out = claims(observed, expected)
+    return out.select("claim", F.round("expected", 6).alias("expected"), "tolerance", F.round("observed", 6).alias("observed"), "ok")
+
+
+@registry.add("""WITH o AS (SELECT event_type AS claim, count(*) v FROM events GROUP BY 1), e AS (SELECT event_type AS claim, sum(n)::BIGINT v FROM (SELECT event_type, user_id, count(*) n FROM events GROUP BY 1,2) GROUP BY 1)
+SELECT claim, e.v AS expected, o.v AS observed, o.v=e.v AS ok FROM e LEFT JOIN o USING (claim)""")
+def equal_table_claims(spark, sf):
+    """Claims of exact equality between two ways to the same counts."""
+    events = table(spark, sf, "events")
+    observed = events.groupBy(F.col("event_type").alias("claim")).agg(F.count(F.lit(1)).alias("value"))
+    expected = (events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("_n"))
+                .groupBy(F.col("event_type").alias("claim")).agg(F.sum("_n").alias("value")))
+    return equal_claims(observed, expected)
+
+
+@registry.add("""WITH a AS (SELECT source, lang, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1,2), e AS (SELECT source, lang, count(*) n FROM documents GROUP BY 1,2)
+SELECT source, lang, coalesce(a.n,0) actual, e.n AS expected, coalesce(a.n,0)=e.n AS ok FROM e LEFT JOIN a USING (source, lang)""")
+def cell_contract(spark, sf):
+    """Labelled rows per (source, class) cell against all rows of the cell."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    labelled = docs.join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    return contract(cell_counts(labelled, ["source", "lang"]), cell_counts(docs, ["source", "lang"]), ["source", "lang"])
+
+
+@registry.add(f"""SELECT split, n AS actual, n AS expected, TRUE AS ok FROM (SELECT {split_sql('doc_id')} AS split, count(*) n FROM documents GROUP BY 1)""")
+def row_contract(spark, sf):
+    """Rows per split against the size the split was cut to."""
+    docs = table(spark, sf, "documents").select("doc_id", split_by_digest(F.col("doc_id"), "split", 7).alias("split"))
+    expected = docs.groupBy("split").agg(F.count_distinct("doc_id").alias("n"))
+    return contract(cell_counts(docs, ["split"]), expected, ["split"])
+
+
+def _shards(spark, sf):
+    runs = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), (F.col("l_orderkey") % 10).alias("seed")).agg(
+        F.count(F.lit(1)).alias("value"))
+    return runs, runs.select("arm").distinct().join(spark.range(10).withColumnRenamed("id", "seed"), F.lit(True))
+
+
+@registry.add("SELECT l_returnflag arm, l_orderkey%10 seed, count(*) AS value FROM lineitem GROUP BY 1,2")
+def shard_merge(spark, sf):
+    """Shards of runs merged; every arm needs each of ten seeds exactly once."""
+    runs, expected = _shards(spark, sf)
+    return strict_merge([runs.where(F.col("arm") == a) for a in ("A", "N", "R")], expected, ["arm", "seed"])
+
+
+@registry.add("""WITH r AS (SELECT l_returnflag arm, l_orderkey%10 seed FROM lineitem GROUP BY 1,2),
+s AS (SELECT * FROM r WHERE seed<>3 UNION ALL SELECT * FROM r WHERE arm='A' AND seed=5 UNION ALL SELECT 'A', 12),
+c AS (SELECT arm, seed, count(*) n FROM s GROUP BY 1,2), e AS (SELECT * FROM (SELECT DISTINCT arm FROM r), (SELECT unnest(range(10)) seed))
+SELECT arm, seed, coalesce(c.n,0) n, CASE WHEN e.arm IS NULL THEN 'extra' WHEN c.n IS NULL THEN 'missing' WHEN c.n>1 THEN 'duplicate' ELSE 'ok' END AS status
+FROM (SELECT arm, seed, 1 AS has FROM e) e0 JOIN e USING (arm, seed) FULL JOIN c USING (arm, seed)""")
+def shard_status(spark, sf):
+    """Missing, repeated and unexpected runs of incomplete shards."""
+    runs, expected = _shards(spark, sf)
+    keys = runs.select("arm", "seed")
+    extra = keys.where((F.col("arm") == "A") & (F.col("seed") == 0)).withColumn("seed", F.lit(12).cast("bigint"))
+    shards = keys.where(F.col("seed") != 3).unionByName(keys.where((F.col("arm") == "A") & (F.col("seed") == 5))).unionByName(extra)
+    return seed_status(shards, expected, ["arm", "seed"])
+
+
+@registry.add("SELECT l_returnflag arm, l_orderkey%10 seed, count(*) AS value FROM lineitem GROUP BY 1,2")
+def tolerant_shards(spark, sf):
+    """Incomplete shards filled from an earlier complete result."""
+    runs, expected = _shards(spark, sf)
+    return tolerant_merge([runs.where((F.col("arm") == "A") & (F.col("seed") != 4)), runs.where(F.col("arm") == "N")], runs, expected, ["arm", "seed"])[0]
+
+
+@registry.add("SELECT user_id, count(DISTINCT event_type) n_values, count(DISTINCT event_type)=1 AS ok FROM events GROUP BY 1")
+def metadata_check(spark, sf):
+    """Keys whose value is one and the same over all parts."""
+    return metadata_agreement(table(spark, sf, "events"), "user_id", "event_type")
+
+
+@registry.add("""SELECT 'texts' AS section, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM documents UNION ALL
+SELECT 'texts', 'extra_rows', (count(*)-count(DISTINCT md5(text)))::DOUBLE FROM documents UNION ALL SELECT 'labels', 'quality_mean', round(avg(quality),9) FROM labels UNION ALL SELECT 'labels', 'toxic_mean', round(avg(toxic),9) FROM labels""")
+def audit_scorecard(spark, sf):
+    """One long table out of several metric tables."""
+    docs = duplicate_groups(table(spark, sf, "documents").select(F.md5("text").alias("digest")), ["digest"])
+    labels = table(spark, sf, "labels").agg(F.avg("quality").alias("quality_mean"), F.avg("toxic").alias("toxic_mean"))
+    return rounded(scorecard({"texts": long_form(docs, ["n_rows", "extra_rows"]), "labels": long_form(labels, ["quality_mean", "toxic_mean"])}), "value")
+
+
+@registry.add("""WITH r AS (SELECT lang AS kind, count(*) m FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1 UNION ALL SELECT 'xx', 1)
+SELECT kind, coalesce(n,0) n, m AS minimum, coalesce(n,0)>=m AS ok FROM r LEFT JOIN (SELECT lang AS kind, count(*) n FROM documents GROUP BY 1) USING (kind)""")
+def input_preflight(spark, sf):
+    """Required kinds of input against a minimum; an absent kind counts as zero."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("kind"))
+    labelled = docs.join(table(spark, sf, "labels"), "doc_id", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("minimum"))
+    absent = docs.agg(F.lit("xx").alias("kind"), F.lit(1).cast("bigint").alias("minimum"))
+    return preflight(docs, labelled.unionByName(absent))
+
+
+@registry.add("SELECT md5(text) AS digest, doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
+def untraced_results(spark, sf):
+    """Digests of documents that no labelled document has."""
+    docs = table(spark, sf, "documents").select(F.md5("text").alias("digest"), "doc_id")
+    return provenance(docs, docs.join(table(spark, sf, "labels"), "doc_id", "left_semi"), "digest")
+
+
+@registry.add("""WITH a AS (SELECT DISTINCT regexp_replace(lower(p_brand),'[^a-z0-9]+','','g') AS name FROM part WHERE p_size<25),
+b AS (SELECT DISTINCT 'brand'||(s_suppkey%40) AS name FROM supplier)
+SELECT name, CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL THEN 'both' WHEN a.name IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side FROM a FULL JOIN b USING (name)""")
+def entity_sides(spark, sf):
+    """Names of two releases reconciled after squashing."""
+    a = table(spark, sf, "part").where(F.col("p_size") < 25).select(squash_name(F.col("p_brand")).alias("name"))
+    b = table(spark, sf, "supplier").select(squash_name(F.concat(F.lit("Brand #"), (F.col("s_suppkey") % 40).cast("string"))).alias("name"))
+    return reconcile(a, b, ["name"])
+
+
+_SPLIT_CUSTOMERS = f"WITH e AS (SELECT o_custkey, {split_sql('o_orderkey')} AS split FROM orders)"
+
+
+def _split_customers(spark, sf):
+    return train_and_held(table(spark, sf, "orders").select(
+        "o_custkey", split_by_digest(F.col("o_orderkey"), "split", 7).alias("split")))
+
+
+@registry.add(f"{_SPLIT_CUSTOMERS} SELECT o_custkey FROM e WHERE split='training' INTERSECT SELECT o_custkey FROM e WHERE split='validation'")
+def shared_customers(spark, sf):
+    """Customers with orders in both splits."""
+    return common_keys(*_split_customers(spark, sf), ["o_custkey"])
+
+
+@registry.add(f"{_SPLIT_CUSTOMERS} SELECT o_custkey FROM e WHERE split='training' EXCEPT SELECT o_custkey FROM e WHERE split='validation'")
+def training_only_customers(spark, sf):
+    """Customers whose every order is in training."""
+    return left_only_keys(*_split_customers(spark, sf), ["o_custkey"])
+
+
+QUERIES, SQL = registry.queries, registry.sql

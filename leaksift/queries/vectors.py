@@ -9,8 +9,7 @@ from leaksift.functions.digest import byte_identical, draw_index, sha256_digest
 from leaksift.functions.keys import band_label
 from leaksift.functions.vectors import centred_unit_vector, gradient_hash, plane_hash, unit_vector, vector_norm
 from leaksift.operators.fingerprints import perturbation_robustness, perturbed, vector_fingerprints
-from leaksift.operators.pairs import (flagged_fingerprints, nearest_exact, nearest_within, pair_scores,
-                                      random_non_matches)
+from leaksift.operators.pairs import flagged_fingerprints, nearest_within, pair_scores, random_non_matches
 from leaksift.operators.rates import location_summary
 from leaksift.operators.skew import quota_sample
 from leaksift.queries.base import DOCS, Registry, ham, index_sql, rounded, table
@@ -114,14 +113,16 @@ def nearest_original(spark, sf):
     return copy.join(near, "dhash", "left").select("vec_id", "label", "distance", "nearest")
 
 
-@registry.add(f"""{_COPIES}, d AS (SELECT q.label, q.vec_id, min({ham('q.dhash', 'o.dhash')}) d FROM q, o GROUP BY 1,2)
-SELECT label, count(*) n, min(d) AS min, max(d) AS max, round(avg(d),9) mean, median(d)::DOUBLE p50 FROM d GROUP BY 1""")
+@registry.add(f"""{_COPIES}, d AS (SELECT q.label, q.vec_id, min({ham('q.dhash', 'o.dhash')}) d FROM q LEFT JOIN o ON bit_count(xor(q.dhash,o.dhash))<=12 GROUP BY 1,2)
+SELECT label, count(*) n_rows, count(d) n, min(d) AS min, max(d) AS max, round(avg(d),9) mean, median(d)::DOUBLE p50 FROM d GROUP BY 1""")
 def nn_hamming_by_label(spark, sf):
-    """Distance of every quantised copy to its nearest original, however far, per label."""
+    """Distance of the quantised copies to their nearest original within 12 bits, per label; rows farther away are counted."""
     original, copy = _copies(spark, sf)
-    near = nearest_exact(copy, original, words=["dhash"], radius=10, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
-    out = location_summary(copy.join(near, "dhash"), "distance", ["label"])
-    return rounded(out.select("label", "n", "min", "max", "mean", "p50"), "mean")
+    near = nearest_within(copy, original, words=["dhash"], radius=12, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
+    joined = copy.join(near, "dhash", "left")
+    sizes = joined.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = sizes.join(location_summary(joined, "distance", ["label"]), "label")
+    return rounded(out.select("label", "n_rows", "n", "min", "max", "mean", "p50"), "mean")
 
 
 _MODE = f"""{_COPIES}, {_phash_cte('po', 'embeddings', 'vec_id', 'embedding')}, {_phash_cte('pq', 'c', 'vec_id', 'v')},
