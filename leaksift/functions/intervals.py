@@ -19,7 +19,7 @@ TAIL_DENOMINATOR = (
     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
 )
 TAIL_SWITCH = 7.07106781186547
-TAIL_FRACTION_END = 0.65
+TAIL_FRACTION_TERMS = 24
 # Fixed value: two-sided 95 % t quantile for ten paired runs (9 degrees of freedom).
 T_CRITICAL_DF9 = 2.262
 
@@ -41,8 +41,8 @@ def normal_tail(z: Column) -> Column:
     x = F.abs(z)
     density = F.exp(-(x * x) / 2)
     middle = density * _polynomial(x, TAIL_NUMERATOR) / _polynomial(x, TAIL_DENOMINATOR)
-    fraction = x + TAIL_FRACTION_END
-    for step in (4, 3, 2, 1):
+    fraction = x
+    for step in range(TAIL_FRACTION_TERMS, 0, -1):
         fraction = x + F.lit(float(step)) / fraction
     far = density / fraction / math.sqrt(2 * math.pi)
     upper = F.when(x < TAIL_SWITCH, middle).otherwise(far)
@@ -58,8 +58,8 @@ def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     scale = 1 + F.lit(z * z) / safe
     centre = (p + F.lit(z * z) / (2 * safe)) / scale
     half = F.lit(z) / scale * F.sqrt(p * (1 - p) / safe + F.lit(z * z) / (4 * safe * safe))
-    low = F.coalesce(F.greatest(centre - half, F.lit(0.0)), F.lit(0.0))
-    high = F.coalesce(F.least(centre + half, F.lit(1.0)), F.lit(0.0))
+    low = F.when(n > 0, F.greatest(centre - half, F.lit(0.0))).otherwise(0.0)
+    high = F.when(n > 0, F.least(centre + half, F.lit(1.0))).otherwise(0.0)
     return low, high
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,15 +14,19 @@ from pyspark.sql import functions as F
 from leaksift.functions.bits import WORD_BITS, pack_bits
 
 
-def gradient_hash(vector: Column, bits: int = WORD_BITS) -> Column:
-    """Bit ``i`` is set when entry ``i+1`` exceeds entry ``i``; the last entry wraps around.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once.
 
-    Unrolled, so the whole hash is one generated expression.
+    Naming an expression in Python repeats it in the plan, inside a lambda once
+    per element; a one-element transform binds it.
     """
-    return F.when(
-        F.size(vector) >= bits,
-        pack_bits([vector[(i + 1) % bits] > vector[i] for i in range(bits)]),
-    )
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def gradient_hash(vector: Column, bits: int = WORD_BITS) -> Column:
+    """Bit ``i`` is set when entry ``i+1`` exceeds entry ``i``; the last entry wraps around."""
+    return let(vector, lambda v: F.when(
+        F.size(v) >= bits, pack_bits([v[(i + 1) % bits] > v[i] for i in range(bits)])))
 
 
 def frequency_hash(vector: Column) -> Column:
@@ -89,15 +94,21 @@ def _by_length(batch: pd.Series, kernel, only: int | None = None) -> pd.Series:
     return out
 
 
+def _doubles(vector: Column) -> Column:
+    return F.transform(vector, lambda x: x.cast("double"))
+
+
+def _sum(values: Column, term: Callable[[Column], Column] = lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
+
+
 def vector_norm(vector: Column) -> Column:
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    return F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.sqrt(_sum(_doubles(vector), lambda x: x * x))
 
 
 def unit_vector(vector: Column) -> Column:
     """Vector over its Euclidean norm."""
-    norm = vector_norm(vector)
-    return F.transform(vector, lambda x: x.cast("double") / norm)
+    return let(_doubles(vector), lambda v: let(vector_norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def centred_unit_vector(vector: Column, floor: float = 1e-9) -> Column:
@@ -106,12 +117,14 @@ def centred_unit_vector(vector: Column, floor: float = 1e-9) -> Column:
     The correlation of two vectors is then one dot product, so the means and
     norms are paid once per item and not once per pair.
     """
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    mean = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x) / F.size(vector)
-    centred = F.transform(doubles, lambda x: x - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm < floor, F.transform(centred, lambda x: F.lit(0.0))).otherwise(
-        F.transform(centred, lambda x: x / norm))
+    def scale(c: Column) -> Column:
+        return let(vector_norm(c), lambda n: F.when(n < floor, F.transform(c, lambda x: F.lit(0.0)))
+                   .otherwise(F.transform(c, lambda x: x / n)))
+
+    def centre(v: Column) -> Column:
+        return let(_sum(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+
+    return let(_doubles(vector), lambda v: let(centre(v), scale))
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -108,11 +108,11 @@ def band_plan(words: int, radius: int, rows: int, rule: str = "sum") -> BandPlan
 
 def _banded(side: DataFrame, words: Sequence[str], plan: BandPlan) -> DataFrame:
     """One row per fingerprint and band, with the masked words as keys."""
-    bands = F.array(*[
-        F.struct(F.lit(i).alias("_band"), F.lit(b.need).cast("bigint").alias("_need"),
-                 F.lit(b.scope).cast("bigint").alias("_scope"),
-                 *[F.lit(signed(m)).cast("bigint").alias(f"_m{k}") for k, m in enumerate(b.masks)])
-        for i, b in enumerate(plan.bands)])
+    names = ["_band", "_need", "_scope", *[f"_m{k}" for k in range(len(words))]]
+    entries = [f"struct({i}, {b.need}L, {b.scope}L, {', '.join(f'{signed(m)}L' for m in b.masks)})".replace(
+        f"{-(1 << 63)}L", "shiftleft(1L, 63)") for i, b in enumerate(plan.bands)]
+    fields = ", ".join(f"{n}: {'int' if n == '_band' else 'bigint'}" for n in names)
+    bands = F.expr(f"array({', '.join(entries)})").cast(f"array<struct<{fields}>>")
     wide = side.select("*", F.inline(bands))
     keys = [F.col(w).bitwiseAND(F.col(f"_m{k}")).alias(f"_k{k}") for k, w in enumerate(words)]
     return wide.select(*side.columns, "_band", "_need", "_scope", *keys)

@@ -273,10 +273,14 @@ def signed_rank(rows: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
             .select(*by, "n", "w_plus", "w_minus", "w", "_p.p_two_sided", "_p.p_less"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null (not an error) without variance."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def pearson(rows: DataFrame, by: Sequence[str], x: str, y: str, out: str = "pearson") -> DataFrame:
     """Null with fewer than two rows or no variance."""
-    usable = (F.count(F.lit(1)) > 1) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(usable, F.corr(x, y)).alias(out))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias(out))
 
 
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -360,7 +364,7 @@ def null_trials(scored: DataFrame, memberships: DataFrame, original: DataFrame,
     both = again.join(original.select(team, F.col("combined").alias("_orig")), team)
     ranked = average_rank(average_rank(both, ["trial"], "_orig", "_ro"), ["trial"], "_sub", "_rs")
     delta, shift = F.col("_sub") - F.col("_orig"), F.col("_ro") - F.col("_rs")
-    rho = F.when((F.var_pop("_ro") > 0) & (F.var_pop("_rs") > 0), F.corr("_ro", "_rs"))
+    rho = correlation("_ro", "_rs")
     return ranked.groupBy("trial").agg(
         F.count(F.lit(1)).alias("n_teams"), F.avg(delta).alias("mean_delta"), F.median(delta).alias("median_delta"),
         rho.alias("rho"), F.count_if(F.abs(shift) > 1e-9).alias("n_changed"),

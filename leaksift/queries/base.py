@@ -49,17 +49,34 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[r9(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application and read by every later query.
+
+    Fingerprints are far smaller than what they are made from, and an audit asks
+    many questions of them.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = materialise(build())
+    return _KEPT[key]
+
+
 # --- documents with fingerprints and a split ---------------------------------
 
 def document_prints(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, source, lang, split and two fingerprints, computed once from whole texts and kept.
 
-    The table is far smaller than the texts, and both sides of every pair query
-    read it.
+    Both sides of every pair query read it.
     """
-    docs = spread_input(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
-    prints = text_fingerprints(docs, ["doc_id", "source", "lang"])
-    return materialise(prints.withColumn("split", split_by_digest(F.col("doc_id"), "split", 7)))
+    def build() -> DataFrame:
+        docs = spread_input(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+        prints = text_fingerprints(docs, ["doc_id", "source", "lang"])
+        return prints.withColumn("split", split_by_digest(F.col("doc_id"), "split", 7))
+
+    return kept(spark, sf, "documents", build)
 
 
 def document_count(spark: SparkSession, sf: str) -> int:

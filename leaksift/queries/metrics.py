@@ -12,9 +12,8 @@ from leaksift.operators.metrics import (class_recall, combined_scores, confusion
 from leaksift.operators.ranks import (average_rank, extremes, last_row, ordinal_rank, rank_shift, shift_summary,
                                       top_overlap)
 from leaksift.operators.skew import first_per_key
-from leaksift.queries.base import (CLASSES, PREDICTIONS, Registry, auc_sql, label_metrics_sql, predictions,
+from leaksift.queries.base import (CLASSES, PREDICTIONS, Registry, auc_sql, kept, label_metrics_sql, predictions,
                                    rounded, table)
-from leaksift.session import materialise
 
 registry = Registry()
 LABEL_COLUMNS = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "null_accuracy")
@@ -23,7 +22,7 @@ _LABELS = ", ".join(f"round({c},9) {c}" for c in LABEL_COLUMNS)
 
 def scored(spark, sf):
     """Predictions, kept once: label metrics and AUC both read them."""
-    return materialise(predictions(spark, sf))
+    return kept(spark, sf, "predictions", lambda: predictions(spark, sf))
 
 
 def combined_sql(name, keys, absent, rows="pred", longs="long", weight="1"):

@@ -12,7 +12,7 @@ from leaksift.operators.fingerprints import perturbation_robustness, perturbed,
 from leaksift.operators.pairs import flagged_fingerprints, nearest_within, pair_scores, random_non_matches
 from leaksift.operators.rates import location_summary
 from leaksift.operators.skew import quota_sample
-from leaksift.queries.base import DOCS, Registry, ham, index_sql, rounded, table
+from leaksift.queries.base import DOCS, Registry, ham, index_sql, kept, rounded, table
 from leaksift.session import materialise
 from leaksift.sources.scans import spread_input
 
@@ -98,10 +98,14 @@ c AS (SELECT vec_id, label, {_COPY} v FROM embeddings), q AS (SELECT vec_id, lab
 
 def _copies(spark, sf):
     """Originals and quantised copies of every vector with their gradient hash."""
-    base = _vectors(spark, sf).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
-    original = base.select("vec_id", "label", gradient_hash(F.col("_v")).alias("dhash"))
-    copy = base.select("vec_id", "label", gradient_hash(F.transform("_v", lambda x: F.round(x * 40) / 40)).alias("dhash"))
-    return original, copy
+    def build():
+        base = _vectors(spark, sf).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
+        return base.select("vec_id", "label", gradient_hash(F.col("_v")).alias("original"),
+                           gradient_hash(F.transform("_v", lambda x: F.round(x * 40) / 40)).alias("copy"))
+
+    both = kept(spark, sf, "copies", build)
+    return (both.select("vec_id", "label", F.col("original").alias("dhash")),
+            both.select("vec_id", "label", F.col("copy").alias("dhash")))
 
 
 @registry.add(f"""{_COPIES}, d AS (SELECT q.vec_id, q.label, min({ham('q.dhash', 'o.dhash')}) d FROM q JOIN o ON bit_count(xor(q.dhash,o.dhash))<=10 GROUP BY 1,2)
