@@ -15,15 +15,14 @@ from leaksift.functions.vectors import frequency_hash, gradient_hash, perturbati
 
 def normalised_words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order (empty array for none)."""
-    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_word(shingle: Column, digest: str) -> Column:
-    """64 bits of a shingle: ``md5`` can be repeated elsewhere, ``xxhash64`` is faster."""
+def shingle_word(words: Sequence[Column], digest: str) -> Column:
+    """64 bits of a run of words: ``md5`` can be repeated elsewhere, ``xxhash64`` is faster."""
     if digest == "xxhash64":
-        return F.xxhash64(shingle)
-    return F.conv(F.substring(F.md5(shingle), 1, 16), 16, -10).cast("bigint")
+        return F.xxhash64(*words)
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", *words)), 1, 16), 16, -10).cast("bigint")
 
 
 def shingle_words(words: Column, size: int, digest: str) -> Column:
@@ -31,7 +30,7 @@ def shingle_words(words: Column, size: int, digest: str) -> Column:
     last = F.greatest(F.size(words) - size, F.lit(0))
 
     def at(i: Column) -> Column:
-        return shingle_word(F.concat_ws(" ", *[F.get(words, i + d) for d in range(size)]), digest)
+        return shingle_word([F.get(words, i + d) for d in range(size)], digest)
 
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), at))
 

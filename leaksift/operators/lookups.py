@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksift.functions.digest import order_digest
+from leaksift.operators.fingerprints import normalised_words
 from leaksift.operators.skew import salted_lookup
 
 
 def exact_membership(items: DataFrame, other: DataFrame, on: Sequence[str], spread: Sequence[str],
-                     flag: str = "is_member") -> DataFrame:
+                     flag: str = "is_member", rows: int | None = None) -> DataFrame:
     """Flag items whose ``on`` values occur in the other corpus; null values never match."""
     known = other.select(*on).dropna().distinct().withColumn(flag, F.lit(True))
-    return salted_lookup(items, known, on, spread).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return salted_lookup(items, known, on, spread, rows=rows).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def exact_matches(items: DataFrame, reference: DataFrame, *, on: Sequence[str], item: str, ref_key: str,
-                  group: str) -> DataFrame:
+                  group: str, rows: int | None = None) -> DataFrame:
     """Items with an equal fingerprint in the reference, with first match and multiplicity.
 
     The reference is reduced to one row per fingerprint first, so a fingerprint
@@ -31,7 +32,7 @@ def exact_matches(items: DataFrame, reference: DataFrame, *, on: Sequence[str],
     table = (reference.dropna(subset=list(on)).groupBy(*on)
              .agg(first, F.count(F.lit(1)).alias("n_matches"))
              .select(*on, "n_matches", "_first.*"))
-    return (salted_lookup(items.dropna(subset=list(on)), table, on, [item], how="inner")
+    return (salted_lookup(items.dropna(subset=list(on)), table, on, [item], how="inner", rows=rows)
             .withColumn("same_group", F.col(group).eqNullSafe(F.col("_group"))).drop("_group"))
 
 
@@ -125,7 +126,8 @@ def class_prior(rows: DataFrame, classes: DataFrame, label: str) -> DataFrame:
 
 
 def priority_cascade(items: DataFrame, rules: Mapping[str, tuple[DataFrame, Sequence[str]]],
-                     spread: Sequence[str], fallback: str, out: str = "vote") -> DataFrame:
+                     spread: Sequence[str], fallback: str, out: str = "vote",
+                     rows: int | None = None) -> DataFrame:
     """First rule that knows an item's key wins; adds ``rule`` and ``out``.
 
     ``rules``: name → (vote table with its key columns and ``vote``, key columns), in
@@ -135,7 +137,8 @@ def priority_cascade(items: DataFrame, rules: Mapping[str, tuple[DataFrame, Sequ
     names = []
     for i, (name, (table, key)) in enumerate(rules.items()):
         vote = f"_vote{i}"
-        joined = salted_lookup(joined, table.dropna(subset=list(key)).withColumnRenamed("vote", vote), key, spread)
+        joined = salted_lookup(joined, table.dropna(subset=list(key)).withColumnRenamed("vote", vote), key, spread,
+                               rows=rows)
         names.append((name, vote))
     rule = F.lit(fallback)
     for name, vote in reversed(names):
@@ -171,20 +174,22 @@ def review_order(seed: object, key: str) -> Column:
     return order_digest(seed, F.col(key))
 
 
-def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8, text: str = "text",
-                 digest: str = "md5") -> DataFrame:
+def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8, text: str = "text") -> DataFrame:
     """Keys of items that share a run of ``size`` words with any benchmark text.
 
-    Runs are hashed in the JVM over whole texts. The benchmark's distinct hashes
-    are one side of a semi-join, which Spark broadcasts when their size allows
-    and shuffles otherwise; a run repeated inside an item is sent once.
+    Runs of whole texts are hashed in the JVM to 96 bits (two hash families), so
+    texts never meet in the shuffle. The benchmark's distinct hashes are one side
+    of a semi-join, which Spark broadcasts when their size allows and shuffles
+    otherwise; a run repeated inside an item is sent once.
     """
-    from leaksift.operators.fingerprints import normalised_words, shingle_words
-
     def runs(df: DataFrame, *keep: str) -> DataFrame:
-        words = normalised_words(F.col(text))
-        return (df.select(*keep, words.alias("_w")).where(F.size("_w") >= size)
-                .select(*keep, F.explode(F.array_distinct(shingle_words(F.col("_w"), size, digest))).alias("_run")))
+        def at(i: Column) -> Column:
+            words = [F.get("_w", i + d) for d in range(size)]
+            return F.struct(F.xxhash64(*words).alias("_run"), F.hash(*words).alias("_check"))
+
+        tokens = df.select(*keep, normalised_words(F.col(text)).alias("_w")).where(F.size("_w") >= size)
+        every = F.transform(F.sequence(F.lit(0), F.size("_w") - size), at)
+        return tokens.select(*keep, F.inline(F.array_distinct(every)))
 
-    return (runs(items, key).join(runs(benchmark).distinct(), "_run", "left_semi")
+    return (runs(items, key).join(runs(benchmark).distinct(), ["_run", "_check"], "left_semi")
             .select(key).distinct())

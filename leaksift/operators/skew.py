@@ -20,22 +20,25 @@ ROWS_PER_TASK = 1_000_000
 BUCKET_HEX = 4
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str],
-                  how: str = "left", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Join ``rows`` to ``table`` (unique per ``on``), splitting hot keys.
+def salted_lookup(items: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str],
+                  how: str = "left", rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
+    """Join ``items`` to ``table`` (unique per ``on``), splitting hot keys.
 
     Keys with more than ``rows_per_task`` rows get ``ceil(n / rows_per_task)``
     salts; their table row is repeated once per salt. A row's salt is a hash of
     its ``spread`` columns, so a task that runs again after an executor is lost
     gives the same salts. There are fewer than
-    ``count(rows) / rows_per_task`` such keys, which bounds what the join
-    with the hot-key list can broadcast.
+    ``count(items) / rows_per_task`` such keys, which bounds what the join
+    with the hot-key list can broadcast. ``rows`` is a known bound on the items:
+    where it is at most ``rows_per_task`` no key can be hot and this is a plain join.
     """
     on = list(on)
-    hot = (rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    if rows is not None and rows <= rows_per_task:
+        return items.join(table, on, how)
+    hot = (items.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > rows_per_task)
            .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_copies")))
-    salted_rows = (rows.join(hot, on, "left")
+    salted_rows = (items.join(hot, on, "left")
                    .withColumn("_salt", F.when(F.col("_copies").isNull(), 0)
                                .otherwise(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int")))
                    .drop("_copies"))

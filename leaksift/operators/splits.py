@@ -30,12 +30,12 @@ def threshold_splits(items: DataFrame, distance: str, thresholds: Sequence[int],
 
 
 def internal_leaks(items: DataFrame, *, key: str, name: str, words: Sequence[str], source: str,
-                   split: str = "split") -> DataFrame:
+                   split: str = "split", rows: int | None = None) -> DataFrame:
     """Keys of validation rows that share a name or an exact fingerprint with training, per source."""
     train = items.where(F.col(split) == "training")
     held = items.where(F.col(split) == "validation")
-    same_name = exact_membership(held, train, [source, name], [key]).where("is_member")
-    same_hash = exact_membership(held, train, [source, *words], [key]).where("is_member")
+    same_name = exact_membership(held, train, [source, name], [key], rows=rows).where("is_member")
+    same_hash = exact_membership(held, train, [source, *words], [key], rows=rows).where("is_member")
     return same_name.select(key).unionByName(same_hash.select(key)).distinct()
 
 

@@ -11,7 +11,8 @@ from leaksift.operators.checks import (cell_counts, claims, common_keys, contrac
                                        seed_status, strict_merge, tolerant_merge)
 from leaksift.operators.lookups import majority_vote, manifest_check, priority_cascade, reconcile
 from leaksift.operators.rates import duplicate_groups, rule_coverage
-from leaksift.queries.base import DOCS, Registry, document_prints, rounded, split_sql, table, train_and_held
+from leaksift.queries.base import (DOCS, Registry, document_count, document_prints, rounded, split_sql, table,
+                                   train_and_held)
 
 registry = Registry()
 
@@ -24,7 +25,7 @@ def _cascade(spark, sf):
     votes = lambda *key: majority_vote(train.dropna(subset=list(key)), key, "lang", "vote")
     rules = {name: (votes(*key), key) for name, key in (
         ("filename", ("name",)), ("exact_pair", ("fp2", "fp3")), ("same_neighbour", ("fp3",)), ("same_group", ("source", "size")))}
-    return priority_cascade(held, rules, ["doc_id"], "prior")
+    return priority_cascade(held, rules, ["doc_id"], "prior", rows=document_count(spark, sf))
 
 
 def _votes_sql(name, key):

@@ -187,7 +187,7 @@ def annotated_documents(spark, sf):
     """Every held-out row with its smallest training distance (within 10) and first nearest row."""
     train, held = train_and_held(document_prints(spark, sf))
     near = nearest_within(held, train, words=["fp2"], radius=10, rows=document_count(spark, sf), ref_key="doc_id")
-    return salted_lookup(held, near, ["fp2"], ["doc_id"]).select("doc_id", "source", "lang", "distance", "nearest")
+    return salted_lookup(held, near, ["fp2"], ["doc_id"], rows=document_count(spark, sf)).select("doc_id", "source", "lang", "distance", "nearest")
 
 
 @registry.add(f"""{DOCS},
@@ -207,7 +207,8 @@ SELECT v.doc_id, v.source, first_match, n_matches, v.source=m.src AS same_group
 def exact_match_list(spark, sf):
     """Held-out rows equal to a training row: first match, multiplicity, same source or not."""
     train, held = train_and_held(document_prints(spark, sf))
-    return exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source").select(
+    return exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source",
+                          rows=document_count(spark, sf)).select(
         "doc_id", "source", "first_match", "n_matches", "same_group")
 
 
@@ -218,7 +219,8 @@ FROM va v JOIN m USING (fp2, fp3) GROUP BY 1""")
 def exact_match_groups(spark, sf):
     """Exact matches whose first training match is of the same or of another source."""
     train, held = train_and_held(document_prints(spark, sf))
-    found = exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source")
+    found = exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source",
+                          rows=document_count(spark, sf))
     return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("same_group").alias("n_same"),
                                      F.count_if(~F.col("same_group")).alias("n_different"))
 
@@ -231,7 +233,7 @@ FROM va v LEFT JOIN h ON v.fp2=h.fp2 AND v.fp3=h.fp3 GROUP BY 1""")
 def exact_membership_by_source(spark, sf):
     """Share of held-out rows whose exact fingerprint occurs in training, per source."""
     train, held = train_and_held(document_prints(spark, sf))
-    flagged = exact_membership(held, train, WORDS, ["doc_id"])
+    flagged = exact_membership(held, train, WORDS, ["doc_id"], rows=document_count(spark, sf))
     return rounded(leak_rate(flagged, "is_member", ["source"]), "rate", "ci_low", "ci_high")
 
 

@@ -36,7 +36,7 @@ def _annotated(spark, sf):
     train, held = train_and_held(document_prints(spark, sf))
     near = nearest_within(held, train, words=["fp2"], radius=RADIUS, rows=document_count(spark, sf),
                           ref_key="doc_id").select("fp2", "distance")
-    return salted_lookup(held, near, ["fp2"], ["doc_id"]).unionByName(
+    return salted_lookup(held, near, ["fp2"], ["doc_id"], rows=document_count(spark, sf)).unionByName(
         train.withColumn("distance", F.lit(None).cast("int")))
 
 
@@ -63,7 +63,8 @@ def dedup_plus_internal(spark, sf):
     """The threshold-6 split without rows that share a name or exact fingerprint with training."""
     items = _annotated(spark, sf).withColumn("name", F.concat(F.lit("doc_"), (F.col("doc_id") % 300).cast("string")))
     kept = threshold_splits(items, "distance", (6,), F.col("source") != "src0")
-    leaks = internal_leaks(items, key="doc_id", name="name", words=WORDS, source="source")
+    leaks = internal_leaks(items, key="doc_id", name="name", words=WORDS, source="source",
+                           rows=document_count(spark, sf))
     return cell_counts(remove_internal_leaks(kept, leaks, "doc_id"), ["split", "source"])
 
 

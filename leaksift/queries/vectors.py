@@ -235,10 +235,11 @@ SELECT a, b, x.text=y.text AS identical FROM p JOIN documents x ON x.doc_id=a JO
 def identical_matches(spark, sf):
     """Whether an exact fingerprint match is also byte-identical."""
     from leaksift.operators.lookups import exact_matches
-    from leaksift.queries.base import WORDS, document_prints, train_and_held
+    from leaksift.queries.base import WORDS, document_count, document_prints, train_and_held
 
     train, held = train_and_held(document_prints(spark, sf))
-    found = exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source").select(
+    found = exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source",
+                          rows=document_count(spark, sf)).select(
         F.col("doc_id").alias("a"), F.col("first_match").alias("b"))
     docs = table(spark, sf, "documents")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
