@@ -179,8 +179,9 @@ def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8
 
     Runs of whole texts are hashed in the JVM to 96 bits (two hash families), so
     texts never meet in the shuffle. The benchmark's distinct hashes are one side
-    of a semi-join, which Spark broadcasts when their size allows and shuffles
-    otherwise; a run repeated inside an item is sent once.
+    of a semi-join, which Spark broadcasts when their size allows; otherwise it
+    shuffles both sides and adaptive execution splits a run that very many items
+    share.
     """
     def runs(df: DataFrame, *keep: str) -> DataFrame:
         def at(i: Column) -> Column:
@@ -189,7 +190,7 @@ def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8
 
         tokens = df.select(*keep, normalised_words(F.col(text)).alias("_w")).where(F.size("_w") >= size)
         every = F.transform(F.sequence(F.lit(0), F.size("_w") - size), at)
-        return tokens.select(*keep, F.inline(F.array_distinct(every)))
+        return tokens.select(*keep, F.inline(every))
 
     return (runs(items, key).join(runs(benchmark).distinct(), ["_run", "_check"], "left_semi")
             .select(key).distinct())

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leaksift.functions.bits import WORD_BITS, hamming, signed
 from leaksift.operators.fingerprints import distinct_fingerprints
+from leaksift.operators.skew import SCOUT_SHARE, scout, sized
 from leaksift.session import materialise
 
 TILE_ROWS = 20_000
@@ -141,8 +142,9 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None, *, words: Sequen
     b = _banded(left if own else right, words, plan)
     join_key = [*on, *key]
     if rows > tile_rows:
-        a, b = _tiled(a, b, words, join_key, tile_rows, own)
-        join_key += ["_ta", "_tb"]
+        tiles = _tiled(a, b, words, join_key, tile_rows, own)
+        if tiles:
+            (a, b), join_key = tiles, [*join_key, "_ta", "_tb"]
     a = a.select(*[F.col(c).alias(f"{c}_a") for c in [*left.columns, *join_key[len(on):]]], "_need", "_scope")
     b = b.select(*[F.col(c).alias(f"{c}_b")
                    for c in [*(left if own else right).columns, *join_key[len(on):]]])
@@ -173,21 +175,24 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None, *, words: Sequen
 
 
 def _tiled(a: DataFrame, b: DataFrame, words: Sequence[str], key: list[str], tile_rows: int,
-           own: bool) -> tuple[DataFrame, DataFrame]:
-    """Cut buckets above ``tile_rows`` on either side into tiles ``_ta`` x ``_tb``.
+           own: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Cut buckets above ``tile_rows`` on either side into tiles ``_ta`` x ``_tb``; None without such buckets.
 
-    Fewer than ``band rows / tile_rows`` buckets can be that large, so the table
-    of them stays small next to the data.
+    Large buckets are found on a 64th of the fingerprints, so looking for them
+    shuffles little, and are counted before their table is broadcast.
     """
     def sizes(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(*key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > tile_rows)
+        estimate = (F.count(F.lit(1)) * SCOUT_SHARE).alias(name)
+        return scout(side, words).groupBy(*key).agg(estimate).where(F.col(name) > tile_rows)
 
     parts = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(c), F.lit(0)) / tile_rows)).cast("int")
     if own:
         large = sizes(a, "_na").withColumn("_nb", F.col("_na"))
     else:
         large = sizes(a, "_na").join(sizes(b, "_nb"), key, "full")
-    large = large.select(*key, parts("_na").alias("_pa"), parts("_nb").alias("_pb"))
+    found, large = sized(large.select(*key, parts("_na").alias("_pa"), parts("_nb").alias("_pb")))
+    if not found:
+        return None
 
     def tile(side: DataFrame, mine: str, other: str, out_mine: str, out_other: str) -> DataFrame:
         spread = F.pmod(F.xxhash64(*words), F.coalesce(F.col(mine), F.lit(1))).cast("int")

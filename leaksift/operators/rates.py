@@ -130,15 +130,12 @@ def cross_source_groups(items: DataFrame, on: Sequence[str], source: str, least:
 def bounded_examples(rows: DataFrame, key: Sequence[str], order: str, k: int, out: str = "examples") -> DataFrame:
     """First ``k`` values per key in order.
 
-    Each of 64 slices of a key keeps its own first ``k`` before the slices meet,
-    so a hot key is never sorted in one task.
+    Spark limits a ranked window before the shuffle, so every task sends at most
+    ``k`` rows of a key.
     """
-    slice_ = F.pmod(F.xxhash64(order), F.lit(64)).alias("_slice")
-    inside = Window.partitionBy(*key, "_slice").orderBy(order)
-    short = (rows.select(*key, order, slice_).withColumn("_r", F.row_number().over(inside))
-             .where(F.col("_r") <= k))
-    return short.groupBy(*key).agg(
-        F.slice(F.sort_array(F.collect_list(order)), 1, k).alias(out))
+    inside = Window.partitionBy(*key).orderBy(order)
+    short = rows.select(*key, order).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= k)
+    return short.groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias(out))
 
 
 def disagreement(rows: DataFrame, left: str, right: str, top: int = 15) -> DataFrame:

@@ -15,38 +15,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaksift.functions.digest import order_digest
+from leaksift.session import materialise
 
 ROWS_PER_TASK = 1_000_000
+BROADCAST_ROWS = 1_000_000
 BUCKET_HEX = 4
+SCOUT_SHARE = 64
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[int, DataFrame]:
+    """``df`` kept and counted; marked for broadcast only when it has at most ``limit`` rows."""
+    table = materialise(df)
+    rows = table.count()
+    return rows, F.broadcast(table) if rows <= limit else table
+
+
+def scout(df: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """The rows whose ``spread`` columns hash into one of ``SCOUT_SHARE`` parts.
+
+    Used to find hot keys before a join: a key with a million rows has thousands
+    in the part. Only the layout of the join depends on it, never its rows; and
+    being a function of the row itself, it is the same when a task runs again.
+    """
+    return df.where(F.pmod(F.xxhash64(F.lit("scout"), *spread), F.lit(SCOUT_SHARE)) == 0)
 
 
 def salted_lookup(items: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str],
                   how: str = "left", rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> DataFrame:
     """Join ``items`` to ``table`` (unique per ``on``), splitting hot keys.
 
-    Keys with more than ``rows_per_task`` rows get ``ceil(n / rows_per_task)``
-    salts; their table row is repeated once per salt. A row's salt is a hash of
-    its ``spread`` columns, so a task that runs again after an executor is lost
-    gives the same salts. There are fewer than
-    ``count(items) / rows_per_task`` such keys, which bounds what the join
-    with the hot-key list can broadcast. ``rows`` is a known bound on the items:
-    where it is at most ``rows_per_task`` no key can be hot and this is a plain join.
+    Keys with more than about ``rows_per_task`` rows get a salt per
+    ``rows_per_task`` of them, and their table row is repeated once per salt. A
+    row's salt is a hash of its ``spread`` columns, so a task that runs again
+    after an executor is lost gives the same salts. There are about
+    ``count(items) / rows_per_task`` such keys at most; they are counted before
+    they are broadcast. ``rows`` is a known bound on the items: where it is at
+    most ``rows_per_task`` no key can be hot and this is a plain join.
     """
     on = list(on)
     if rows is not None and rows <= rows_per_task:
         return items.join(table, on, how)
-    hot = (items.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > rows_per_task)
-           .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_copies")))
-    salted_rows = (items.join(hot, on, "left")
-                   .withColumn("_salt", F.when(F.col("_copies").isNull(), 0)
-                               .otherwise(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int")))
-                   .drop("_copies"))
+    estimate = F.count(F.lit(1)) * SCOUT_SHARE
+    found, hot = sized(scout(items, spread).groupBy(*on).agg(estimate.alias("_n"))
+                       .where(F.col("_n") > rows_per_task)
+                       .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_copies")))
+    if not found:
+        return items.join(table, on, how)
+    salted_items = (items.join(hot, on, "left")
+                    .withColumn("_salt", F.when(F.col("_copies").isNull(), 0)
+                                .otherwise(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int")))
+                    .drop("_copies"))
     salted_table = (table.join(hot, on, "left")
                     .withColumn("_salt", F.explode(F.sequence(
                         F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)))
                     .drop("_copies"))
-    return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    return salted_items.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
 def _bucketed(df: DataFrame, seed: object, key: Sequence[str]) -> DataFrame:
@@ -85,26 +108,30 @@ def quota_sample(df: DataFrame, targets: DataFrame | int, key: Sequence[str],
     """Exactly ``target`` rows per group in seeded digest order (all rows if short).
 
     ``targets`` is a table of ``by`` plus ``target``, or one number without
-    groups. Whole digest buckets pass as they are; only the bucket holding
-    the cut is ranked, a 65,536th part of a group.
+    groups. Per group the digest bucket holding the cut is found from bucket
+    counts. Rows of earlier buckets pass as they are, without a shuffle when the
+    one-row-per-group table of cuts is small enough to broadcast; only the cut
+    bucket is ranked, a 65,536th part of a group.
     """
     by, key = list(by), list(key)
     bucketed = _bucketed(df, seed, key)
     offsets = _bucket_offsets(bucketed, by)
     if isinstance(targets, int):
-        offsets = offsets.withColumn(target, F.lit(targets))
+        goals = df.sparkSession.range(1).select(F.lit(targets).cast("bigint").alias(target))
     else:
-        offsets = offsets.join(targets.select(*by, target), by)
-    room = (offsets.withColumn("_room", F.col(target) - F.col("_before"))
-            .where(F.col("_room") > 0)
-            .select(*by, "_bucket", "_room", (F.col("_in_bucket") <= F.col("_room")).alias("_whole")))
-    placed = bucketed.join(room, [*by, "_bucket"])
+        goals = targets.select(*by, target)
+    match = by if by else F.lit(True)
+    crossing = (offsets.join(goals, match)
+                .where((F.col("_before") <= F.col(target)) & (F.col("_before") + F.col("_in_bucket") > F.col(target)))
+                .select(*by, F.col("_bucket").alias("_cut"), (F.col(target) - F.col("_before")).alias("_room")))
+    cuts = goals.join(crossing, by if by else F.lit(True), "left").drop(target)
+    placed = bucketed.join(sized(cuts)[1], match)
     within = Window.partitionBy(*by, "_bucket").orderBy("_digest", *key)
-    whole = placed.where("_whole")
-    cut = (placed.where(~F.col("_whole"))
+    whole = placed.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")))
+    cut = (placed.where(F.col("_bucket") == F.col("_cut"))
            .withColumn("_rank", F.row_number().over(within))
            .where(F.col("_rank") <= F.col("_room")).drop("_rank"))
-    return whole.unionByName(cut).drop("_digest", "_bucket", "_room", "_whole")
+    return whole.unionByName(cut).drop("_digest", "_bucket", "_room", "_cut")
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

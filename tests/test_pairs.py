@@ -61,7 +61,9 @@ def test_two_corpora_with_a_hot_bucket(spark):
     left, right = np.unique(left, axis=0), np.unique(right, axis=0)
     a = distinct_fingerprints(frame(spark, left), ["w0"])
     b = distinct_fingerprints(frame(spark, right), ["w0"])
-    got = near_pairs(a, b, words=["w0"], radius=6, rows=1000, tile_rows=20).count()
+    got = near_pairs(a, b, words=["w0"], radius=6, rows=1000, tile_rows=20)
+    assert "_ta" in got._jdf.queryExecution().toString()
+    got = got.count()
     assert got == int((gaps(left, right)[0] <= 6).sum())
 
 

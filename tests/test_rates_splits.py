@@ -68,6 +68,8 @@ def test_duplicate_groups_and_examples(spark):
     df = spark.createDataFrame([(i, "x") for i in range(200)] + [(200, "y"), (201, None)], "id int, h string")
     out = rates.duplicate_groups(df, ["h"]).first()
     assert (out.n_rows, out.n_groups, out.rows_in_groups, out.extra_rows) == (201, 1, 200, 199)
+    examples = rates.bounded_examples(df, ["h"], "id", 3)
+    assert "WindowGroupLimit" in examples._jdf.queryExecution().toString()
     assert rates.bounded_examples(df.where("h = 'x'"), ["h"], "id", 3).first().examples == [0, 1, 2]
 
 
