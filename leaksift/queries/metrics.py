@@ -12,6 +12,7 @@ from leaksift.operators.metrics import (class_recall, combined_scores, confusion
 from leaksift.operators.ranks import (average_rank, extremes, last_row, ordinal_rank, rank_shift, shift_summary,
                                       top_overlap)
 from leaksift.operators.skew import first_per_key
+from leaksift.plans.rescore import rescore
 from leaksift.queries.base import (CLASSES, PREDICTIONS, Registry, auc_sql, kept, label_metrics_sql, predictions,
                                    rounded, table)
 
@@ -178,6 +179,15 @@ def _shifts(spark, sf):
     return rank_shift(average_rank(before, [], "combined"), average_rank(after, [], "combined"), ["team"])
 
 
+@registry.add(f"""{BOARDS} SELECT team, u.n, round(o.combined,9) combined_all, round(u.combined,9) combined_subset, ro.r rank_all, ru.r rank_subset,
+ round(u.combined-o.combined,9) delta, ro.r-ru.r shift FROM o JOIN u USING (team) JOIN ro USING (team) JOIN ru USING (team)""")
+def rescored_teams(spark, sf):
+    """Scores, ranks and changes of every team when only a subset counts."""
+    rows = scored(spark, sf)
+    keep = rows.where((F.col("team") == "team0") & (F.col("part") < 2)).select("vec_id")
+    return rounded(rescore(rows, keep, team="team", item="vec_id"), "combined_all", "combined_subset", "delta")
+
+
 @registry.add(f"{BOARDS} SELECT team, ro.r rank_before, ru.r rank_after, ro.r-ru.r shift FROM ro JOIN ru USING (team)")
 def team_rank_shift(spark, sf):
     """Average ranks on all rows and on a subset."""

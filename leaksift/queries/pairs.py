@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leaksift.functions.bits import word_hex
-from leaksift.functions.intervals import collision_probability, wilson
+from leaksift.functions.digest import split_by_digest
+from leaksift.functions.intervals import collision_probability
+from leaksift.operators.checks import concat_all
 from leaksift.operators.fingerprints import distinct_fingerprints, text_fingerprints
 from leaksift.operators.lookups import exact_matches, exact_membership, passage_hits
 from leaksift.operators.pairs import flagged_fingerprints, near_pairs, nearest_within
 from leaksift.operators.rates import histogram, leak_rate, threshold_counts, touched_rows
 from leaksift.operators.skew import salted_lookup
-from leaksift.queries.base import (DOCS, RADIUS, WORDS, Registry, document_count, document_prints, ham,
-                                   prints_cte, rounded, table, train_and_held, wilson_sql, words_sql)
+from leaksift.plans.audit import leakage_audit
+from leaksift.queries.base import (DOCS, RADIUS, WORDS, Registry, document_count, document_prints, ham, kept,
+                                   prints_cte, rounded, split_sql, table, train_and_held, wilson_sql, words_sql)
 from leaksift.session import materialise
 from leaksift.sources.scans import spread_input
 
@@ -293,6 +296,51 @@ def rows_in_any_pair(spark, sf):
     return touched_rows(pairs, groups, WORDS)
 
 
+_UNHASHED = "SELECT source, 'unhashed' AS report, 0::INTEGER AS threshold, count(*) n, count(*)-count(fp2) AS k FROM docs GROUP BY 1"
+
+
+@registry.add(f"""{DOCS},
+m AS (SELECT v.doc_id, v.source, min({_A}) d FROM va v LEFT JOIN tr t ON bit_count(xor(v.fp2,t.fp2))<=6 GROUP BY 1,2),
+f AS (SELECT v.source, {_near_sql(f'{_A}<=6 AND {_B}<=6')} AS s, {_near_sql(f'{_A}+{_B}<=6')} AS a FROM va v)
+SELECT source, 'by_source' AS report, t::INTEGER AS threshold, count(*) n, count(*) FILTER (WHERE d<=t) k FROM m, (SELECT unnest([0,2,6]) t) GROUP BY 1,3
+UNION ALL SELECT source, 'same_row', 6, count(*), count(*) FILTER (WHERE s) FROM f GROUP BY 1
+UNION ALL SELECT source, 'additive', 6, count(*), count(*) FILTER (WHERE a) FROM f GROUP BY 1 UNION ALL {_UNHASHED}""")
+def full_audit(spark, sf):
+    """The per-source tables of a whole audit in one long form."""
+    out = leakage_audit(document_prints(spark, sf), key="doc_id", words=WORDS, source="source", label="lang", split="split",
+                        rows=document_count(spark, sf), modes=("same_row", "additive"))
+    parts = [out["by_source"].select("source", F.lit("by_source").alias("report"), "threshold", "n", "k")]
+    parts += [out[m].select("source", F.lit(m).alias("report"), F.lit(6).alias("threshold"), "n", "k") for m in ("same_row", "additive")]
+    sizes = document_prints(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    parts.append(sizes.join(out["unhashed"], "source").select(
+        "source", F.lit("unhashed").alias("report"), F.lit(0).alias("threshold"), "n", F.col("n_unhashed").alias("k")))
+    return concat_all(parts)
+
+
+_LINES = f"""WITH lines AS (SELECT doc_id*1000000+i AS key, lang, {split_sql('doc_id')} AS split, l AS text
+ FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)),1)-1 i FROM documents)),
+{prints_cte('lines', 'key')}, x AS (SELECT key, lang, split, fp2 FROM lines JOIN fps USING (key)),
+d AS (SELECT DISTINCT fp2 FROM x WHERE split='training'), h AS (SELECT lang, fp2, count(*) n FROM x WHERE split='validation' GROUP BY 1,2),
+m AS (SELECT h.lang, h.fp2, h.n, min({ham('h.fp2', 'd.fp2')}) dist FROM h LEFT JOIN d ON bit_count(xor(h.fp2,d.fp2))<=6 GROUP BY 1,2,3),
+c AS (SELECT lang, t::INTEGER threshold, sum(n)::BIGINT n, coalesce(sum(n) FILTER (WHERE dist<=t),0)::BIGINT k FROM m, (SELECT unnest([0,2,6]) t) GROUP BY 1,2)"""
+
+
+@registry.add(f"{_LINES} SELECT lang, n, threshold, k, round(k/n,9) rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM c")
+def line_leak_by_class(spark, sf):
+    """Held-out lines with a near copy among the lines of training documents."""
+    def build():
+        docs = spread_input(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+        lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        prints = text_fingerprints(lines, ["doc_id", "line", "lang"], families={"fp2": 2})
+        return prints.where(F.col("fp2").isNotNull()).withColumn("split", split_by_digest(F.col("doc_id"), "split", 7))
+
+    lines = kept(spark, sf, "lines", build)
+    train, held = train_and_held(lines)
+    near = nearest_within(held, train, words=["fp2"], radius=RADIUS, rows=lines.count(), ref_key="doc_id")
+    counts = held.groupBy("lang", "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near.select("fp2", "distance"), "fp2", "left")
+    return rounded(threshold_counts(counts, "distance", (0, 2, 6), ["lang"], "_n"), "rate", "ci_low", "ci_high")
+
+
 @registry.add(f"""{DOCS}
 SELECT doc_id, lower(format('{{:016x}}', CASE WHEN fp2<0 THEN fp2::HUGEINT+18446744073709551616 ELSE fp2 END)) AS fp2_hex,
  bit_count(fp2)::INTEGER AS ones FROM docs""")
@@ -303,4 +351,3 @@ def document_fingerprints(spark, sf):
 
 
 QUERIES, SQL = registry.queries, registry.sql
-__all__ = ["QUERIES", "SQL", "leak_ladder", "wilson"]

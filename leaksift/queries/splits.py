@@ -13,6 +13,7 @@ from leaksift.operators.splits import (add_unseen, capped_addon, composition_mat
                                        leave_one_out_sizes, proportional_targets, random_subset, ratio_split,
                                        remove_internal_leaks, review_sample, shortfall, shuffle_labels,
                                        stratified_subset, swap_cell, threshold_splits, two_fold)
+from leaksift.plans.cleaning import cleaned_arms
 from leaksift.queries.base import (DOCS, RADIUS, WORDS, Registry, document_count, document_prints, ham, index_sql,
                                    table, train_and_held)
 
@@ -68,6 +69,26 @@ def dedup_plus_internal(spark, sf):
     return cell_counts(remove_internal_leaks(kept, leaks, "doc_id"), ["split", "source"])
 
 
+_ORDER = "row_number() OVER (PARTITION BY {by} ORDER BY md5('arms:{seed}:'||doc_id), doc_id)"
+
+
+@registry.add(f"""{_ANNOTATED}, nm AS (SELECT *, 'doc_'||(doc_id%300)::VARCHAR AS name FROM docs),
+leak AS (SELECT doc_id FROM nm v WHERE split='validation' AND (EXISTS (SELECT 1 FROM nm t WHERE t.split='training' AND t.source=v.source AND t.name=v.name)
+  OR EXISTS (SELECT 1 FROM nm t WHERE t.split='training' AND t.source=v.source AND t.fp2=v.fp2 AND t.fp3=v.fp3))),
+cl AS (SELECT doc_id, split, lang FROM kept WHERE threshold=6), s1 AS (SELECT split, count(*) t FROM cl GROUP BY 1), s2 AS (SELECT split, lang, count(*) t FROM cl GROUP BY 1,2),
+rn AS (SELECT doc_id, split, lang, {_ORDER.format(by='split', seed='random')} r FROM docs), mt AS (SELECT doc_id, split, lang, {_ORDER.format(by='split, lang', seed='matched')} r FROM docs),
+u AS (SELECT 'cleaned' AS arm, split, lang, doc_id FROM cl UNION ALL SELECT 'strict', split, lang, doc_id FROM cl WHERE doc_id NOT IN (SELECT doc_id FROM leak)
+ UNION ALL SELECT 'random', split, lang, doc_id FROM rn JOIN s1 USING (split) WHERE r<=t UNION ALL SELECT 'matched', split, lang, doc_id FROM mt JOIN s2 USING (split, lang) WHERE r<=t)
+SELECT arm, split, lang, count(*) n, sum(doc_id)::BIGINT id_sum FROM u GROUP BY 1,2,3""")
+def cleaning_arms(spark, sf):
+    """Cleaned, strict, random and composition-matched arms of one cleaning study."""
+    items = _annotated(spark, sf).withColumn("name", F.concat(F.lit("doc_"), (F.col("doc_id") % 300).cast("string")))
+    arms = cleaned_arms(items, key="doc_id", label="lang", source="source", split="split", distance="distance", name="name",
+                        words=WORDS, threshold=RADIUS, restrict=F.col("source") != "src0", seed="arms",
+                        rows=document_count(spark, sf))
+    return arms.groupBy("arm", "split", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"))
+
+
 @registry.add("""SELECT source, count(*) n FROM documents WHERE NOT (lang='en' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic=1)) GROUP BY 1""")
 def restricted_removal(spark, sf):
     """Flagged keys removed from one class only."""
