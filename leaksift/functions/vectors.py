@@ -49,7 +49,7 @@ def frequency_hash(vector: Column) -> Column:
 
         return _by_length(batch, words)
 
-    return hash_batch(vector)
+    return hash_batch.asNondeterministic()(vector)  # once, where it stands: see text_fingerprints
 
 
 def sign_planes(planes: int, size: int, seed: str) -> np.ndarray:
@@ -69,7 +69,7 @@ def plane_hash(vector: Column, size: int, planes: int = 256, seed: str = "planes
     def hash_batch(batch: pd.Series) -> pd.Series:
         return _by_length(batch, lambda rows: list(_pack(np.round(rows @ signs.T, 9) > 0)), size)
 
-    return hash_batch(vector)
+    return hash_batch.asNondeterministic()(vector)  # once, where it stands: see text_fingerprints
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:

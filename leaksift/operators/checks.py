@@ -120,8 +120,8 @@ def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     return df.where(check == "ok")
 
 
-def metric_status(organizer: Column, again: Column, tolerance: float = 1e-6) -> Column:
+def metric_status(official: Column, again: Column, tolerance: float = 1e-6) -> Column:
     """Status of a re-scored row: excluded without either score, ``drift`` beyond the tolerance."""
-    return (F.when(organizer.isNull(), "excluded_no_organizer_score")
+    return (F.when(official.isNull(), "excluded_no_official_score")
             .when(again.isNull(), "excluded_no_reproduction")
-            .when(F.abs(organizer - again) > tolerance, "drift").otherwise("ok"))
+            .when(F.abs(official - again) > tolerance, "drift").otherwise("ok"))

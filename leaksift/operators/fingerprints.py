@@ -50,6 +50,11 @@ def majority_word(hashes: pd.Series) -> pd.Series:
     return pd.Series([one(row) for row in hashes], dtype="Int64")
 
 
+# Keeps a later filter on a fingerprint from being pushed below its computation,
+# which would hash every text twice. The value itself depends on the text alone.
+majority_word = majority_word.asNondeterministic()
+
+
 def text_fingerprints(items: DataFrame, keep: Sequence[str], text: str = "text",
                       families: Mapping[str, int] | None = None, digest: str = "md5") -> DataFrame:
     """Simhash words of whole texts, one column per family (name → words per shingle).

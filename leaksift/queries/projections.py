@@ -148,7 +148,7 @@ def group_filter(spark, sf):
 
 
 @registry.add("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey%7=0 THEN NULL ELSE s_acctbal END a, CASE WHEN s_suppkey%5=0 THEN NULL WHEN s_suppkey%3=0 THEN s_acctbal+1 ELSE s_acctbal END b FROM supplier)
-SELECT s_suppkey, CASE WHEN a IS NULL THEN 'excluded_no_organizer_score' WHEN b IS NULL THEN 'excluded_no_reproduction' WHEN abs(a-b)>1e-6 THEN 'drift' ELSE 'ok' END AS status FROM s""")
+SELECT s_suppkey, CASE WHEN a IS NULL THEN 'excluded_no_official_score' WHEN b IS NULL THEN 'excluded_no_reproduction' WHEN abs(a-b)>1e-6 THEN 'drift' ELSE 'ok' END AS status FROM s""")
 def score_status(spark, sf):
     """Which re-scored rows count and which are excluded or drift."""
     key = F.col("s_suppkey")

@@ -12,11 +12,13 @@ from leaksift.functions.digest import sha256_digest
 from leaksift.functions.keys import basename, slash_path
 from leaksift.operators.skew import first_per_key
 
-ANNOTATION_SCHEMA = (
-    "source string, partition string, cv_dataset string, cv_split string, filename string, path string, "
-    "phash string, dhash string, min_phash_dist_to_kvasir int, min_dhash_dist_to_kvasir int, "
-    "nearest_kvasir_file string"
-)
+# Column names of annotation files; the reference corpus is part of three of them.
+def annotation_schema(reference: str) -> str:
+    return ("source string, partition string, cv_dataset string, cv_split string, filename string, path string, "
+            f"phash string, dhash string, min_phash_dist_to_{reference} int, min_dhash_dist_to_{reference} int, "
+            f"nearest_{reference}_file string")
+
+
 RUN_SCHEMA = (
     "args map<string,string>, meta map<string,string>, runs array<struct<seed: int, "
     "history: array<struct<epoch: int, loss: double, bal_acc: double>>, "
@@ -86,13 +88,13 @@ def missing_fingerprints(items: DataFrame, cache: DataFrame, key: str, digest: s
     return items.join(cache.select(key, digest), [key, digest], "left_anti")
 
 
-def read_annotations(spark: SparkSession, paths: Sequence[str], schema: str = ANNOTATION_SCHEMA) -> DataFrame:
+def read_annotations(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Annotation CSVs as one table with the file each row came from; no existing file is an error."""
     existing = [p for p in paths if _exists(spark, p)]
     if not existing:
         raise FileNotFoundError(f"no annotation file among {list(paths)}")
     return (spark.read.schema(schema).option("header", True).csv(existing)
-            .withColumn("file", basename(F.col("_metadata.file_path"))))
+            .withColumn("file", F.col("_metadata.file_name")))
 
 
 def unique_annotations(rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +112,7 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records as rows: file, seed and the nested ``history`` and ``last``."""
     records = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(path)
-    return (records.select(basename(F.col("_metadata.file_path")).alias("file"), "args", F.inline("runs")))
+    return (records.select(F.col("_metadata.file_name").alias("file"), "args", F.inline("runs")))
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def read_predictions(spark: SparkSession, path: str, classes: Sequence[str], end
     schema = T.StructType([T.StructField("image_path", T.StringType())]
                           + [T.StructField(c, T.DoubleType()) for c in classes])
     sheets = spark.read.schema(schema).option("header", True).csv(path)
-    name = basename(F.col("_metadata.file_path"))
+    name = F.col("_metadata.file_name")
     return sheets.select(
         name.substr(F.lit(1), F.length(name) - len(ending)).alias("team"),
         slash_path(F.col("image_path")).alias("item_id"), F.array(*[F.col(f"`{c}`") for c in classes]).alias("scores"))
