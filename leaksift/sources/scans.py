@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,11 @@ RUN_SCHEMA = (
 CELL_LINE = r"^\[(\w+) sev=(\d+) fold=(\d+) (\w+)\]\s+bal=([\d.]+)\s+ent=([\d.]+)\s+pass=([\d.]+)"
 
 
+def scanned_file() -> Column:
+    """Name of the file a row came from; Spark hands it over percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def spread_input(df: DataFrame, *key: str) -> DataFrame:
     """Spread an input with fewer scan partitions than cores; larger inputs stay as they are.
 
@@ -94,7 +99,7 @@ def read_annotations(spark: SparkSession, paths: Sequence[str], schema: str) ->
     if not existing:
         raise FileNotFoundError(f"no annotation file among {list(paths)}")
     return (spark.read.schema(schema).option("header", True).csv(existing)
-            .withColumn("file", F.col("_metadata.file_name")))
+            .withColumn("file", scanned_file()))
 
 
 def unique_annotations(rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +117,7 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records as rows: file, seed and the nested ``history`` and ``last``."""
     records = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(path)
-    return (records.select(F.col("_metadata.file_name").alias("file"), "args", F.inline("runs")))
+    return (records.select(scanned_file().alias("file"), "args", F.inline("runs")))
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def read_predictions(spark: SparkSession, path: str, classes: Sequence[str], end
     schema = T.StructType([T.StructField("image_path", T.StringType())]
                           + [T.StructField(c, T.DoubleType()) for c in classes])
     sheets = spark.read.schema(schema).option("header", True).csv(path)
-    name = F.col("_metadata.file_name")
+    name = scanned_file()
     return sheets.select(
         name.substr(F.lit(1), F.length(name) - len(ending)).alias("team"),
         slash_path(F.col("image_path")).alias("item_id"), F.array(*[F.col(f"`{c}`") for c in classes]).alias("scores"))

@@ -72,9 +72,9 @@ def test_run_records_of_both_schema_versions(spark, tmp_path):
 
 
 def test_predictions_logs_and_lists(spark, tmp_path):
-    write(tmp_path / "p" / "team one.csv", "image_path,A,B\nv\\x.jpg,0.25,0.75\n")
+    write(tmp_path / "p" / "team+one 1.csv", "image_path,A,B\nv\\x.jpg,0.25,0.75\n")
     row = scans.read_predictions(spark, str(tmp_path / "p"), ("A", "B")).first()
-    assert (row.team, row.item_id, row.scores) == ("team one", "v/x.jpg", [0.25, 0.75])
+    assert (row.team, row.item_id, row.scores) == ("team+one 1", "v/x.jpg", [0.25, 0.75])
     log = write(tmp_path / "log.txt", "start\n[fog sev=2 fold=1 tent] bal=0.5 ent=1.25 pass=0.75\n[broken line]\n")
     cells = scans.read_cells(spark, log).collect()
     assert [tuple(c) for c in cells] == [("fog", 2, 1, "tent", 0.5, 1.25, 0.75)]
