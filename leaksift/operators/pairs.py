@@ -203,21 +203,49 @@ def _tiled(a: DataFrame, b: DataFrame, words: Sequence[str], key: list[str], til
     return tile(a, "_pa", "_pb", "_ta", "_tb"), tile(b, "_pb", "_pa", "_tb", "_ta")
 
 
+def _radii(radius: int, rows: int) -> list[int]:
+    """Radii to search in turn: small inputs at once, large ones exact matches first."""
+    return [radius] if rows <= TILE_ROWS else sorted({0, radius // 3, radius})
+
+
+def _by_radius(left: DataFrame, keys: Sequence[str], radii: Sequence[int], search) -> DataFrame:
+    """``search(rows, radius)`` over growing radii, each only for rows the earlier ones left open.
+
+    In a large cluster of near copies nearly every row has a partner very close
+    by and is settled with long, rare keys; only the rest meets the many short
+    keys of the full radius.
+    """
+    found = None
+    for step in radii:
+        hits = search(left, step)
+        if step != radii[-1]:
+            hits = materialise(hits)
+            left = materialise(left.join(hits, list(keys), "left_anti"))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def nearest_within(items: DataFrame, reference: DataFrame, *, words: Sequence[str], radius: int, rows: int,
                    ref_key: str, rule: str = "sum", on: Sequence[str] = ()) -> DataFrame:
     """Smallest distance and first nearest reference key per distinct item fingerprint.
 
     Exact for every fingerprint with a neighbour inside ``radius``; the others
     are absent, which means "farther than ``radius``". Ties go to the smallest
-    reference key.
+    reference key. A fingerprint settled at a smaller radius has no nearer
+    neighbour, as all within that radius were met.
     """
+    keys = [*on, *words]
     left = distinct_fingerprints(items, words, by=on).drop("n")
     right = distinct_fingerprints(reference, words, first=ref_key, by=on).drop("n")
-    pairs = near_pairs(left, right, words=words, radius=radius, rows=rows, rule=rule, on=on)
-    nearest = F.min_by(f"{ref_key}_b", F.struct("distance", f"{ref_key}_b"))
-    keys = [*on, *words]
-    return (pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in keys])
-            .agg(F.min("distance").alias("distance"), nearest.alias("nearest")))
+
+    def search(open_rows: DataFrame, step: int) -> DataFrame:
+        pairs = near_pairs(open_rows, right, words=words, radius=step, rows=rows, rule=rule, on=on)
+        nearest = F.min_by(f"{ref_key}_b", F.struct("distance", f"{ref_key}_b"))
+        return (pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in keys])
+                .agg(F.min("distance").alias("distance"), nearest.alias("nearest")))
+
+    radii = _radii(radius, rows) if rule == "sum" else [radius]
+    return _by_radius(left, keys, radii, search)
 
 
 def nearest_exact(items: DataFrame, reference: DataFrame, *, words: Sequence[str], radius: int, rows: int,
@@ -296,10 +324,15 @@ def flag_additive(items: DataFrame, reference: DataFrame, *, words: Sequence[str
 
 
 def _flag(items, reference, words, radius, rows, rule, on) -> DataFrame:
+    keys = [*on, *words]
     left = distinct_fingerprints(items, words, by=on).drop("n")
     right = distinct_fingerprints(reference, words, by=on).drop("n")
-    pairs = near_pairs(left, right, words=words, radius=radius, rows=rows, rule=rule, on=on)
-    return pairs.select(*[F.col(f"{c}_a").alias(c) for c in [*on, *words]]).distinct()
+
+    def search(open_rows: DataFrame, step: int) -> DataFrame:
+        pairs = near_pairs(open_rows, right, words=words, radius=step, rows=rows, rule=rule, on=on)
+        return pairs.select(*[F.col(f"{c}_a").alias(c) for c in keys]).distinct()
+
+    return _by_radius(left, keys, _radii(radius, rows), search)
 
 
 FLAG_MODES = {"independent": flag_independent, "same_row": flag_same_row, "additive": flag_additive}

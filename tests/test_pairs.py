@@ -100,6 +100,24 @@ def test_nearest_takes_the_first_reference_on_ties(spark):
     assert [(r.distance, r.nearest) for r in near.collect()] == [(1, 10)]
 
 
+@pytest.mark.parametrize("rows", [500, 10**6])
+def test_nearest_and_flags_equal_brute_force(spark, rows):
+    """Small inputs search the radius at once, large ones by growing radii: the same rows."""
+    items, reference = clustered(150, 2), clustered(200, 2)
+    reference[:60] = items[:60] ^ RNG.integers(0, 4, size=(60, 2))
+    a, b = frame(spark, items), frame(spark, reference)
+    kw = dict(radius=6, rows=rows, ref_key="id")
+    got = {r.w0: (r.distance, r.nearest) for r in nearest_within(a, b, words=["w0"], **kw).collect()}
+    d = gaps(items, reference)
+    want = {int(items[i, 0]): (int(x.min()), int(x.argmin())) for i, x in enumerate(d[0]) if x.min() <= 6}
+    assert got == want
+    close = {"independent": (d[0] <= 6).any(1) & (d[1] <= 6).any(1), "same_row": ((d[0] <= 6) & (d[1] <= 6)).any(1),
+             "additive": (d[0] + d[1] <= 6).any(1)}
+    for mode, flags in close.items():
+        hits = flagged_fingerprints(a, b, mode, words=["w0", "w1"], **kw).collect()
+        assert {tuple(r) for r in hits} == {tuple(items[i]) for i in np.flatnonzero(flags)}
+
+
 @pytest.mark.parametrize("words", [1, 4])
 def test_nearest_exact_equals_brute_force(spark, words):
     items, reference = clustered(120, words), clustered(150, words)
