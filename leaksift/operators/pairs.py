@@ -17,7 +17,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksift.functions.bits import WORD_BITS, hamming, signed
@@ -27,6 +27,7 @@ from leaksift.session import materialise
 
 TILE_ROWS = 20_000
 MAX_BANDS = 4_000
+ROW_COST = 20
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,8 @@ def _choices(blocks: Sequence[tuple[int, int]], first: int, agree: int, words: i
 
 
 def _cost(rows: float, bands: int, key_bits: float) -> float:
-    return bands * (2 * rows + rows * rows / 2.0 ** key_bits)
+    """Candidate checks plus shuffled band rows, each as dear as ``ROW_COST`` checks."""
+    return bands * (ROW_COST * 2 * rows + rows * rows / 2.0 ** key_bits)
 
 
 def band_plan(words: int, radius: int, rows: int, rule: str = "sum") -> BandPlan:
@@ -109,14 +111,23 @@ def band_plan(words: int, radius: int, rows: int, rule: str = "sum") -> BandPlan
 
 def _banded(side: DataFrame, words: Sequence[str], plan: BandPlan) -> DataFrame:
     """One row per fingerprint and band, with the masked words as keys."""
-    names = ["_band", "_need", "_scope", *[f"_m{k}" for k in range(len(words))]]
-    entries = [f"struct({i}, {b.need}L, {b.scope}L, {', '.join(f'{signed(m)}L' for m in b.masks)})".replace(
-        f"{-(1 << 63)}L", "shiftleft(1L, 63)") for i, b in enumerate(plan.bands)]
+    names = ["_band", *[f"_m{k}" for k in range(len(words))]]
+    entries = [f"struct({i}, {', '.join(map(_long, b.masks))})" for i, b in enumerate(plan.bands)]
     fields = ", ".join(f"{n}: {'int' if n == '_band' else 'bigint'}" for n in names)
     bands = F.expr(f"array({', '.join(entries)})").cast(f"array<struct<{fields}>>")
-    wide = side.select("*", F.inline(bands))
     keys = [F.col(w).bitwiseAND(F.col(f"_m{k}")).alias(f"_k{k}") for k, w in enumerate(words)]
-    return wide.select(*side.columns, "_band", "_need", "_scope", *keys)
+    return side.select("*", F.inline(bands)).select(*side.columns, "_band", *keys)
+
+
+def _long(value: int) -> str:
+    """A 64-bit SQL literal (the lowest one cannot be written as digits)."""
+    value = signed(value)
+    return "shiftleft(1L, 63)" if value == -(1 << 63) else f"{value}L"
+
+
+def _of_band(values: Sequence[int], band: Column) -> Column:
+    """The entry of a constant array that belongs to a band."""
+    return F.get(F.expr(f"array({', '.join(map(_long, values))})"), band)
 
 
 def near_pairs(left: DataFrame, right: DataFrame | None = None, *, words: Sequence[str], radius: int,
@@ -145,7 +156,7 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None, *, words: Sequen
         tiles = _tiled(a, b, words, join_key, tile_rows, own)
         if tiles:
             (a, b), join_key = tiles, [*join_key, "_ta", "_tb"]
-    a = a.select(*[F.col(c).alias(f"{c}_a") for c in [*left.columns, *join_key[len(on):]]], "_need", "_scope")
+    a = a.select(*[F.col(c).alias(f"{c}_a") for c in [*left.columns, *join_key[len(on):]]])
     b = b.select(*[F.col(c).alias(f"{c}_b")
                    for c in [*(left if own else right).columns, *join_key[len(on):]]])
     meet = F.lit(True)
@@ -168,7 +179,9 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None, *, words: Sequen
         bit = F.when(differs.bitwiseAND(F.lit(signed(mask)).cast("bigint")) == 0,
                      F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         agree = bit if agree is None else agree.bitwiseOR(bit)
-    first_band = agree.bitwiseAND(F.col("_scope")) == F.col("_need")
+    band = F.col("_band_a")
+    first_band = agree.bitwiseAND(_of_band([x.scope for x in plan.bands], band)) == _of_band(
+        [x.need for x in plan.bands], band)
     keep = [f"{c}_a" for c in left.columns] + [f"{c}_b" for c in (left if own else right).columns]
     return joined.where(close).where(first_band).select(
         *keep, *[d.alias(f"dist_{w}") for d, w in zip(per_word, words)], total.alias("distance"))
