@@ -19,6 +19,7 @@ from leaksift.session import materialise
 
 ROWS_PER_TASK = 1_000_000
 BROADCAST_ROWS = 1_000_000
+SMALL_INPUT_BYTES = 256 << 20
 BUCKET_HEX = 4
 SCOUT_SHARE = 64
 
@@ -30,6 +31,11 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[int, DataFrame]:
     return rows, F.broadcast(table) if rows <= limit else table
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the size of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def scout(df: DataFrame, spread: Sequence[str]) -> DataFrame:
     """The rows whose ``spread`` columns hash into one of ``SCOUT_SHARE`` parts.
 
@@ -110,8 +116,9 @@ def quota_sample(df: DataFrame, targets: DataFrame | int, key: Sequence[str],
     ``targets`` is a table of ``by`` plus ``target``, or one number without
     groups. Per group the digest bucket holding the cut is found from bucket
     counts. Rows of earlier buckets pass as they are, without a shuffle when the
-    one-row-per-group table of cuts is small enough to broadcast; only the cut
-    bucket is ranked, a 65,536th part of a group.
+    one-row-per-group table of cuts is small enough to broadcast (counted first
+    for large inputs; for small ones Spark decides); only the cut bucket is
+    ranked, a 65,536th part of a group.
     """
     by, key = list(by), list(key)
     bucketed = _bucketed(df, seed, key)
@@ -125,7 +132,9 @@ def quota_sample(df: DataFrame, targets: DataFrame | int, key: Sequence[str],
                 .where((F.col("_before") <= F.col(target)) & (F.col("_before") + F.col("_in_bucket") > F.col(target)))
                 .select(*by, F.col("_bucket").alias("_cut"), (F.col(target) - F.col("_before")).alias("_room")))
     cuts = goals.join(crossing, by if by else F.lit(True), "left").drop(target)
-    placed = bucketed.join(sized(cuts)[1], match)
+    if estimated_bytes(df) > SMALL_INPUT_BYTES:
+        cuts = sized(cuts)[1]
+    placed = bucketed.join(cuts, match)
     within = Window.partitionBy(*by, "_bucket").orderBy("_digest", *key)
     whole = placed.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")))
     cut = (placed.where(F.col("_bucket") == F.col("_cut"))

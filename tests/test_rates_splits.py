@@ -19,7 +19,9 @@ def test_salted_lookup_splits_a_hot_key(spark):
     assert rows(got.select("id", "v")) == rows(want.select("id", "v")) and got.count() == 3000
 
 
-def test_hash_rank_and_quota(spark):
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_hash_rank_and_quota(spark, monkeypatch, small):
+    monkeypatch.setattr(skew, "SMALL_INPUT_BYTES", small)
     df = spark.range(5000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))))
     ranked = skew.hash_rank(df, ["id"], ["g"], "s").toPandas()
     for _, part in ranked.groupby("g"):
