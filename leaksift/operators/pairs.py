@@ -26,6 +26,7 @@ from leaksift.operators.skew import SCOUT_SHARE, scout, sized
 from leaksift.session import materialise
 
 TILE_ROWS = 20_000
+ONE_PASS_ROWS = 200_000
 MAX_BANDS = 4_000
 ROW_COST = 20
 
@@ -218,7 +219,7 @@ def _tiled(a: DataFrame, b: DataFrame, words: Sequence[str], key: list[str], til
 
 def _radii(radius: int, rows: int) -> list[int]:
     """Radii to search in turn: small inputs at once, large ones exact matches first."""
-    return [radius] if rows <= TILE_ROWS else sorted({0, radius // 3, radius})
+    return [radius] if rows <= ONE_PASS_ROWS else sorted({0, radius // 3, radius})
 
 
 def _by_radius(left: DataFrame, keys: Sequence[str], radii: Sequence[int], search) -> DataFrame:
