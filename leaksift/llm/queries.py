@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import mixing, secrets
+from leaksift.llm import mixing, quality, secrets
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -43,3 +43,10 @@ def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of every document: base patterns and linked parts of credentials."""
     return secrets.secret_digest(secrets.secret_spans(table(spark, sf, "documents")))
+
+
+@registry.add()
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document by nearest-neighbour voting."""
+    scored = quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
