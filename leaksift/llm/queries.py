@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import mixing, quality, secrets
+from leaksift.llm import mixing, quality, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -50,3 +50,10 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document by nearest-neighbour voting."""
     scored = quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@registry.add()
+def op2_toxicity_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document by the pattern grammar."""
+    scored = toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
