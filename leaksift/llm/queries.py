@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import mixing, quality, secrets, toxicity
+from leaksift.llm import mixing, neighbours, quality, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -57,3 +57,9 @@ def op2_toxicity_grammar(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document by the pattern grammar."""
     scored = toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@registry.add()
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, by collision counting."""
+    return neighbours.nearest(table(spark, sf, "embeddings"))
