@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import mixing, neighbours, quality, secrets, toxicity
+from leaksift.llm import html, mixing, neighbours, quality, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -63,3 +63,9 @@ def op2_toxicity_grammar(spark: SparkSession, sf: str) -> DataFrame:
 def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector, by collision counting."""
     return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
+@registry.add()
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page by trees over DOM nodes."""
+    return html.main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
