@@ -87,16 +87,17 @@ def _left_count(total: Column, marked: Column, taken: Column, draw: Column) -> C
                         (acc["sum"] * F.exp(acc["top"] - top) + F.exp(nxt - top)).alias("sum"))
 
     whole = F.aggregate(support, F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("top"), F.lit(1.0).alias("sum")), grow)
-    aim = whole["sum"] * draw
-    first = F.exp(-whole["top"])
+    # Totals ride in the accumulator: named inside the step they would be computed again at every count.
+    start = F.struct(F.lit(0.0).alias("log"), whole.alias("whole"), F.lit(-1.0).alias("sum"), F.lit(0).alias("at"))
 
     def pick(acc: Column, x: Column) -> Column:
+        first = acc["sum"] < 0
+        so_far = F.when(first, F.exp(-acc["whole"]["top"])).otherwise(acc["sum"])
         nxt = step(acc["log"], x)
-        passed = acc["sum"] < aim
-        return F.struct(nxt.alias("log"), (acc["sum"] + F.exp(nxt - whole["top"])).alias("sum"),
-                        (acc["at"] + F.when(passed, 1).otherwise(0)).alias("at"))
+        return F.struct(nxt.alias("log"), acc["whole"].alias("whole"), (so_far + F.exp(nxt - acc["whole"]["top"])).alias("sum"),
+                        (acc["at"] + F.when(so_far < acc["whole"]["sum"] * draw, 1).otherwise(0)).alias("at"))
 
-    at = F.aggregate(support, F.struct(F.lit(0.0).alias("log"), first.alias("sum"), F.lit(0).alias("at")), pick)["at"]
+    at = F.aggregate(support, start, pick)["at"]
     return F.when((total <= 0) | (marked <= 0) | (taken <= 0), F.lit(0).cast("bigint")) \
         .when(low >= high, low).otherwise(F.least(high, low + at))
 
