@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import html, mixing, neighbours, quality, secrets, toxicity
+from leaksift.llm import html, jaccard, mixing, neighbours, quality, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -69,3 +69,9 @@ def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page by trees over DOM nodes."""
     return html.main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@registry.add()
+def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Class and number of near duplicates of every document: five-word shingles, similarity of 0.8 and more."""
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
