@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import html, jaccard, mixing, neighbours, quality, secrets, toxicity
+from leaksift.llm import decontamination, html, jaccard, mixing, neighbours, quality, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -75,3 +75,9 @@ def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Class and number of near duplicates of every document: five-word shingles, similarity of 0.8 and more."""
     return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
+@registry.add()
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items in every document, within a fifth of their words in edits."""
+    return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
