@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import decontamination, html, jaccard, mixing, neighbours, quality, secrets, toxicity
+from leaksift.llm import decontamination, html, jaccard, mixing, neighbours, quality, repeats, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -81,3 +81,9 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items in every document, within a fifth of their words in edits."""
     return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@registry.add()
+def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of fifty words and more that occur again, per document."""
+    return repeats.repeated_passages(table(spark, sf, "documents"))
