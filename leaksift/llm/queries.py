@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import decontamination, html, jaccard, mixing, neighbours, quality, repeats, secrets, toxicity
+from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -87,3 +87,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Passages of fifty words and more that occur again, per document."""
     return repeats.repeated_passages(table(spark, sf, "documents"))
+
+
+@registry.add()
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licenses in every document, by patience alignment with templates."""
+    return licenses.license_spans(table(spark, sf, "documents"))
