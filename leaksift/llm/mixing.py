@@ -147,9 +147,15 @@ def shard_quotas(targets: DataFrame, shards: int, block_words: int, seed: int) -
                                                   lambda x: x["_end"]).alias("edges"))
 
 
+def row_digest(key: Column, text: Column, seed: int = 11) -> Column:
+    """The place of a document in its source's permutation, fixed by its key and text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, passes: int = 2,
              shards: int = 8, block_words: int = 4096, seed: int = 11, key: str = "doc_id", text: str = "text",
-             source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+             source: str = "source", keep: Sequence[str] = (),
+             named: str | None = None) -> DataFrame:
     """One row per document with the pieces of it that the mix takes.
 
     Columns: ``key``, ``keep``, ``size``, ``source_size``, ``target``,
@@ -158,17 +164,16 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     of its own; a null or empty text has size 0 and gives nothing; rows that
     are equal in key and text are interchangeable; an empty table gives an
     empty one. Other columns of ``docs`` are ignored unless named in ``keep``.
+    ``named`` is a name for the rows' digests, if they are wanted.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")),
-                               F.md5(F.coalesce(F.col(text), F.lit("")))))
     slim = materialise(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"),
-                                   digest.alias("_digest"), *[F.col(c).alias(f"_keep_{c}") for c in keep]))
+                                   row_digest(F.col(key), F.col(text), seed).alias("_digest"), *[F.col(c).alias(f"_keep_{c}") for c in keep]))
     sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, passes))
     lines = targets.join(shard_quotas(targets, shards, block_words, seed).withColumnRenamed("source", "_s"),
                          F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    named = slim.withColumn("_line", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("none")))
-    placed = running_total(named, "size", "_digest", F.substring("_digest", 1, 4), ["_line"], "_before")
+    tagged = slim.withColumn("_line", F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("none")))
+    placed = running_total(tagged, "size", "_digest", F.substring("_digest", 1, 4), ["_line"], "_before")
     lines = lines.withColumn("_line", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none"))).drop("source")
     joined = placed.join(lines, "_line")
 
@@ -187,8 +192,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     pieces = F.concat(*[on_pass(p) for p in range(passes)]).cast(PIECES)
     planned = joined.withColumn("pieces", pieces)
     taken = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, p: a + p["end"] - p["begin"])
-    return planned.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "size", "source_size",
-                          "target", "pieces", taken.alias("taken"))
+    return planned.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep],
+                          *([F.col("_digest").alias(named)] if named else []), "size", "source_size", "target", "pieces", taken.alias("taken"))
 
 
 def mixed_rows(plan: DataFrame, seed: int = 11, key: str = "doc_id") -> DataFrame:
