@@ -149,7 +149,7 @@ class Grammar:
                 here = True
                 if tag == INSULT and not mark & (DENIED | REPORTED):
                     strongest = max(strongest, weight)
-            elif mark & HIT:
+            elif mark & HIT and not mark & (DENIED | REPORTED):
                 out[PATTERNS - 1] += 1
         clauses += here
         out[PATTERNS], out[PATTERNS + 1] = strongest, clauses
@@ -167,6 +167,7 @@ def default_weights() -> np.ndarray:
         for mark in range(8):
             plain = 0.0 if mark & (DENIED | REPORTED) else 2.0 + bool(mark & AIMED)
             w[1 + threat * 8 + mark] = plain * (1.5 if not threat else (1.5 if mark & AIMED else 0.2))
+    w[PATTERNS] = 4.0  # a target that follows an insult or threat
     return w
 
 
