@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def slash_path(path: Column) -> Column:
@@ -179,9 +180,23 @@ def scrub(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
-def scrub_all(value: Column, rules: Sequence[tuple[str, str]], schema: str) -> Column:
-    """:func:`scrub` over every string of a nested value, through its JSON text."""
-    return F.from_json(scrub(F.to_json(value), rules), schema)
+def scrub_all(value: Column, rules: Sequence[tuple[str, str]], schema: T.DataType | str) -> Column:
+    """:func:`scrub` over every string of a nested value of the given type.
+
+    Only string values change: field names, map keys, numbers, escapes and
+    nulls stay as they are.
+    """
+    kind = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    if isinstance(kind, T.StringType):
+        return scrub(value, rules)
+    if isinstance(kind, T.StructType):
+        fields = [scrub_all(value.getField(f.name), rules, f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: scrub_all(x, rules, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: scrub_all(x, rules, kind.valueType))
+    return value
 
 
 def entropy(probs: Column, floor: float = 1e-8) -> Column:

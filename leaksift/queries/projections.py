@@ -132,11 +132,15 @@ def scrubbed_turns(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", scrub(F.col("text"), ((r"https?://\S+", "<URL>"), ("[0-9]+", "<N>"))).alias("text"))
 
 
-@registry.add(r"""SELECT event_id, regexp_replace(props::JSON->>'k','[0-9]+','N') AS k FROM events""")
+@registry.add(r"""SELECT event_id, regexp_replace(props::JSON->>'k','[0-9]+','N','g') AS k1, event_id AS n2,
+ string_split(regexp_replace(event_type,'[0-9]+','N','g'),'e') AS parts, regexp_replace('a\'||event_id::VARCHAR,'[0-9]+','N','g') AS path FROM events""")
 def scrubbed_values(spark, sf):
-    """Replacements over every string of a nested value."""
-    nested = F.struct(F.get_json_object("props", "$.k").alias("k"))
-    return table(spark, sf, "events").select("event_id", scrub_all(nested, (("[0-9]+", "N"),), "k string").alias("_v")).select("event_id", "_v.k")
+    """Replacements over every string of a nested value; numbers and names with digits stay."""
+    kind = "k1 string, n2 bigint, parts array<string>, inner struct<path: string>"
+    nested = F.struct(F.get_json_object("props", "$.k").alias("k1"), F.col("event_id").alias("n2"), F.split("event_type", "e").alias("parts"),
+                      F.struct(F.concat(F.lit("a\\"), F.col("event_id").cast("string")).alias("path")).alias("inner"))
+    rows = table(spark, sf, "events").select("event_id", scrub_all(nested, (("[0-9]+", "N"),), kind).alias("_v"))
+    return rows.select("event_id", "_v.k1", "_v.n2", "_v.parts", "_v.inner.path")
 
 
 @registry.add("""SELECT event_type, count(*) n FROM events WHERE event_type NOT IN ('error','signup') GROUP BY 1""")

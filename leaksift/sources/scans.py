@@ -27,8 +27,8 @@ RUN_SCHEMA = (
     "per_class: map<string, struct<recall: double, n: bigint>>, "
     "per_source: map<string, struct<n: bigint, bal_acc: double, acc: double>>>>>>"
 )
-# Fixed value: the published log line format, `[corr sev=N fold=N method] bal=x ent=x pass=x`.
-CELL_LINE = r"^\[(\w+) sev=(\d+) fold=(\d+) (\w+)\]\s+bal=([\d.]+)\s+ent=([\d.]+)\s+pass=([\d.]+)"
+# Fixed value: a cell anywhere in a log line, `[corr sev=N fold=N method] bal=x ent=x pass=x`; names hold no white space.
+CELL_LINE = r"\[(\S+) sev=(\d+) fold=(\d+) (\S+)\] bal=([\d.]+) ent=([\d.]+) pass=([\d.]+)"
 
 
 def scanned_file() -> Column:

@@ -139,3 +139,13 @@ def test_entropy_and_scrub(spark):
     nested = F.struct(F.lit("/home/a/x").alias("p"), F.array(F.lit("/home/a/y")).alias("q"))
     out = one(spark, keys.scrub_all(nested, (("/home/a", "<ROOT>"),), "p string, q array<string>"))
     assert out.p == "<ROOT>/x" and out.q == ["<ROOT>/y"]
+
+
+def test_scrub_changes_string_values_only(spark):
+    kind = "k1 int, `a.2` string, m map<string,string>, s struct<t9: array<string>, d: double>, gone struct<x: string>"
+    value = F.struct(F.lit(12).alias("k1"), F.lit('say "7" \\ 8').alias("a.2"), F.create_map(F.lit("key5"), F.lit("v5")).alias("m"),
+                     F.struct(F.array(F.lit("1a"), F.lit(None).cast("string")).alias("t9"), F.lit(2.5).alias("d")).alias("s"),
+                     F.lit(None).cast("struct<x: string>").alias("gone"))
+    out = one(spark, keys.scrub_all(value, (("[0-9]+", "N"),), kind))
+    assert out.k1 == 12 and out["a.2"] == 'say "N" \\ N' and out.m == {"key5": "vN"} and out.gone is None
+    assert out.s.t9 == ["Na", None] and out.s.d == 2.5

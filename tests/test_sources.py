@@ -75,15 +75,33 @@ def test_predictions_logs_and_lists(spark, tmp_path):
     write(tmp_path / "p" / "team+one 1.csv", "image_path,A,B\nv\\x.jpg,0.25,0.75\n")
     row = scans.read_predictions(spark, str(tmp_path / "p"), ("A", "B")).first()
     assert (row.team, row.item_id, row.scores) == ("team+one 1", "v/x.jpg", [0.25, 0.75])
-    log = write(tmp_path / "log.txt", "start\n[fog sev=2 fold=1 tent] bal=0.5 ent=1.25 pass=0.75\n[broken line]\n")
+    log = write(tmp_path / "log.txt", "start\n[fog sev=2 fold=1 tent] bal=0.5 ent=1.25 pass=0.75\n[broken line]\n"
+                "12:30 worker 3: [motion-blur sev=10 fold=0 no-adapt+] bal=1.0 ent=.5 pass=0. done\n")
     cells = scans.read_cells(spark, log).collect()
-    assert [tuple(c) for c in cells] == [("fog", 2, 1, "tent", 0.5, 1.25, 0.75)]
+    assert [tuple(c) for c in cells] == [("fog", 2, 1, "tent", 0.5, 1.25, 0.75), ("motion-blur", 10, 0, "no-adapt+", 1.0, 0.5, 0.0)]
     fold = write(tmp_path / "f.csv", "filename,label\na,Ulcer\nb,Unknown\n")
     assert [(r.filename, r.class_index) for r in scans.read_split_list(spark, {"0": fold}, ("Normal", "Ulcer")).collect()] == [("a", 1)]
     meta = write(tmp_path / "m.csv", "image,lesion_id\ni1,BCN00_1\ni2,\n")
     assert [r.source for r in scans.read_id_metadata(spark, meta, default="MSK").orderBy("image").collect()] == ["BCN", "MSK"]
 
 
+def test_a_failed_overwrite_leaves_the_earlier_result(spark, tmp_path):
+    good = spark.createDataFrame([("a", "training", 1), ("b", "validation", 2)], "source string, split string, v int")
+    bad = good.withColumn("v", F.when(F.col("v") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("v")))
+    writers = {"r": sinks.write_result, "s": sinks.write_by_source, "j": sinks.write_summary, "c": lambda d, p: sinks.write_splits(d, p, fmt="parquet")}
+    for name, save in writers.items():
+        path = str(tmp_path / name)
+        save(good, path)
+        with pytest.raises(Exception, match="broken"):
+            save(bad, path)
+        read = spark.read.json(path) if name == "j" else spark.read.parquet(path)
+        assert sorted(r.v for r in read.collect()) == [1, 2]
+        save(good.where("v = 1"), path)
+        read = spark.read.json(path) if name == "j" else spark.read.parquet(path)
+        assert [r.v for r in read.collect()] == [1]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == sorted(writers)
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "training", 1, 0), ("b", "validation", 2, 0)], "source string, split string, v int, helper int")
     sinks.write_by_source(rows, str(tmp_path / "s"))
