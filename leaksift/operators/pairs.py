@@ -15,8 +15,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations, product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +25,8 @@ from leaksift.session import materialise
 
 TILE_ROWS = 20_000
 ONE_PASS_ROWS = 200_000
-MAX_BANDS = 4_000
 ROW_COST = 20
+PATIENCE = 4
 
 
 @dataclass(frozen=True)
@@ -71,35 +69,67 @@ def _cost(rows: float, bands: int, key_bits: float) -> float:
     return bands * (ROW_COST * 2 * rows + rows * rows / 2.0 ** key_bits)
 
 
+def _best_shape(words: int, radius: int, rows: float, rule: str) -> tuple[float, int, int, int] | None:
+    """Cost, banded words, blocks and blocks per key of the cheapest plan.
+
+    Two fingerprints within the radius are within it on any of their words, so
+    keys may be cut from some words and the others only verified. For each
+    choice of words keys grow until they have not paid off ``PATIENCE`` times in
+    a row.
+    """
+    best = None
+    for used in range(1, words + 1):
+        bits = (used if rule == "sum" else 1) * WORD_BITS
+        power = 1 if rule == "sum" else used
+        worse, least = 0, None
+        for extra in range(1, bits - radius + 1):
+            count = radius + extra
+            if rule == "sum" and count < used:
+                continue
+            if count * power >= WORD_BITS:
+                break  # a pair's agreeing blocks are the bits of one number
+            cost = _cost(rows, math.comb(count, extra) ** power, bits * extra / count * power)
+            if best is None or cost < best[0]:
+                best = (cost, used, count, extra)
+            worse = 0 if least is None or cost < least else worse + 1
+            least = cost if least is None else min(least, cost)
+            if worse >= PATIENCE:
+                break
+    return best
+
+
+def plan_cost(words: int, radius: int, rows: int, rule: str = "sum") -> dict[str, float]:
+    """What :func:`near_pairs` would do: ``bands``, ``key_bits``, ``band_rows`` and ``candidates`` of one side.
+
+    No plan is cheap where the radius is a large share of the bits: this tells
+    before a job is run.
+    """
+    best = _best_shape(words, radius, rows, rule)
+    if best is None:
+        raise ValueError(f"radius {radius} leaves no band over {words * WORD_BITS} bits")
+    _, used, count, extra = best
+    power = 1 if rule == "sum" else used
+    bits = (used if rule == "sum" else 1) * WORD_BITS * extra / count * power
+    bands = math.comb(count, extra) ** power
+    return {"bands": bands, "key_bits": bits, "band_rows": float(bands) * rows, "candidates": bands * float(rows) ** 2 / 2.0 ** bits}
+
+
 def band_plan(words: int, radius: int, rows: int, rule: str = "sum") -> BandPlan:
     """Cheapest bands for ``rows`` distinct fingerprints of ``words`` words.
 
     ``sum``: total distance at most ``radius``. ``each``: every word at most
-    ``radius``, where each word contributes its own blocks to a key.
+    ``radius``, where each banded word contributes its own blocks to a key.
     """
-    best = None
-    most = words * WORD_BITS if rule == "sum" else WORD_BITS
-    for extra in range(1, 9):
-        count = radius + extra
-        if count > most or (rule == "sum" and count < words):
-            continue
-        per = math.comb(count, extra)
-        bands = per if rule == "sum" else per ** words
-        if bands > MAX_BANDS:
-            break
-        key_bits = most * extra / count * (1 if rule == "sum" else words)
-        cost = _cost(rows, bands, key_bits)
-        if best is None or cost < best[0]:
-            best = (cost, count, extra)
+    best = _best_shape(words, radius, rows, rule)
     if best is None:
-        raise ValueError(f"radius {radius} leaves no selective band over {words * WORD_BITS} bits")
-    _, count, extra = best
+        raise ValueError(f"radius {radius} leaves no band over {words * WORD_BITS} bits")
+    _, used, count, extra = best
     if rule == "sum":
-        blocks = _blocks(range(words), count)
+        blocks = _blocks(range(used), count)
         bands = [Band(tuple(m), need, scope) for m, need, scope in _choices(blocks, 0, extra, words)]
         return BandPlan(tuple(blocks), tuple(bands))
     blocks, per_word = [], []
-    for word in range(words):
+    for word in range(used):
         own = _blocks([word], count)
         per_word.append(list(_choices(own, len(blocks), extra, words)))
         blocks += own
@@ -262,55 +292,6 @@ def nearest_within(items: DataFrame, reference: DataFrame, *, words: Sequence[st
     return _by_radius(left, keys, radii, search)
 
 
-def nearest_exact(items: DataFrame, reference: DataFrame, *, words: Sequence[str], radius: int, rows: int,
-                  ref_key: str, block_rows: int = 4096, most_comparisons: float = 1e12) -> DataFrame:
-    """As :func:`nearest_within`, and exact beyond ``radius`` too, for bounded inputs.
-
-    No band prunes a neighbour that may be anywhere, so fingerprints without one
-    inside the radius are compared with every distinct reference fingerprint,
-    block against block, each pair of blocks in its own task with one vectorised
-    XOR and popcount; one row per fingerprint leaves a task. Their number is
-    counted first: above ``most_comparisons`` the call fails, and a larger radius
-    or :func:`nearest_within` is the way.
-    """
-    words = list(words)
-    near = materialise(nearest_within(items, reference, words=words, radius=radius, rows=rows, ref_key=ref_key))
-    left = materialise(distinct_fingerprints(items, words).drop("n").join(near, words, "left_anti"))
-    right = materialise(distinct_fingerprints(reference, words, first=ref_key).drop("n"))
-    unresolved, known = left.count(), right.count()
-    if unresolved * known > most_comparisons:
-        raise ValueError(f"{unresolved} unresolved x {known} reference fingerprints exceed {most_comparisons:.0e}")
-    blocks = max(1, math.ceil(max(unresolved, known) / block_rows))
-    own = F.pmod(F.xxhash64(*words), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = left.select(*words, own.alias("_a"), every.alias("_b"))
-    b = right.select(*words, F.col(ref_key).alias("_key"), own.alias("_b"), every.alias("_a"))
-
-    def closest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({**{w: pd.Series(dtype="int64") for w in words},
-                                 "distance": pd.Series(dtype="int32"), "nearest": theirs["_key"].iloc[:0]})
-        theirs = theirs.sort_values("_key", kind="stable")
-        x = mine[words].to_numpy().view(np.uint64)
-        y = theirs[words].to_numpy().view(np.uint64)
-        best, at = np.empty(len(x), np.int32), np.empty(len(x), np.int64)
-        for lo in range(0, len(x), 512):
-            gap = np.zeros((len(x[lo:lo + 512]), len(y)), np.int32)
-            for w in range(len(words)):
-                gap += np.bitwise_count(x[lo:lo + 512, w, None] ^ y[None, :, w])
-            best[lo:lo + 512], at[lo:lo + 512] = gap.min(axis=1), gap.argmin(axis=1)
-        out = mine[words].copy()
-        out["distance"], out["nearest"] = best, theirs["_key"].to_numpy()[at]
-        return out
-
-    key_type = dict(reference.dtypes)[ref_key]
-    schema = ", ".join([*[f"{w} bigint" for w in words], "distance int", f"nearest {key_type}"])
-    far = (a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(closest, schema)
-           .groupBy(*words).agg(F.min("distance").alias("distance"),
-                                F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest")))
-    return near.unionByName(far)
-
-
 def flag_independent(items: DataFrame, reference: DataFrame, *, words: Sequence[str], radius: int,
                      rows: int, ref_key: str, on: Sequence[str] = ()) -> DataFrame:
     """Distinct item fingerprints whose every word has some reference row within ``radius``.

@@ -21,10 +21,9 @@ from leaksift.functions.intervals import T_CRITICAL_DF9, collision_probability,
 from leaksift.operators.lookups import seed_pairs
 from leaksift.operators.metrics import combined_scores
 from leaksift.operators.ranks import average_rank, ordinal_rank
-from leaksift.operators.skew import hash_rank, quota_sample
+from leaksift.operators.skew import hash_rank, quota_sample, running_total
 
-EXACT_WILCOXON_MAX = 50
-BOARD_LIMIT = 1_000_000
+BOARD_EDGES = 64
 
 
 # --- means and contrasts -----------------------------------------------------
@@ -229,48 +228,56 @@ def paired_bootstrap(deltas: DataFrame, team: str, delta: str, reps: int, seed:
 
 # --- signed ranks and agreement ----------------------------------------------
 
-@F.pandas_udf(T.StructType([T.StructField("p_two_sided", T.DoubleType()), T.StructField("p_less", T.DoubleType())]))
-def _signed_rank_p(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.DataFrame:
-    def one(size: int, w: float, tied: float) -> tuple[float | None, float | None]:
-        if size == 0:
-            return None, None
-        if size <= EXACT_WILCOXON_MAX and tied == 0:
-            ways = np.zeros(size * (size + 1) // 2 + 1)
-            ways[0] = 1.0
-            for r in range(1, size + 1):
-                ways[r:] = ways[r:] + ways[:-r]
-            share = ways / ways.sum()
-            less, more = share[:int(w) + 1].sum(), share[int(w):].sum()
-        else:
-            mean = size * (size + 1) / 4
-            error = math.sqrt((size * (size + 1) * (2 * size + 1) - tied / 2) / 24)
-            less = NormalDist().cdf((w - mean) / error)
-            more = 1 - less
-        return min(1.0, 2 * min(less, more)), float(less)
-
-    return pd.DataFrame([one(int(a), float(b), float(c)) for a, b, c in zip(n, plus, ties)],
-                        columns=["p_two_sided", "p_less"]).astype("float64")
-
-
-def signed_rank(rows: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
+def _signed_rank_p(method: str):
+    @F.pandas_udf(T.StructType([T.StructField("p_two_sided", T.DoubleType()), T.StructField("p_less", T.DoubleType())]))
+    def p_values(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        def one(size: int, w: float, tied: float) -> tuple[float | None, float | None]:
+            if size == 0 or (method == "exact" and tied):
+                return None, None
+            if method == "exact":
+                ways = np.zeros(size * (size + 1) // 2 + 1)
+                ways[0] = 1.0
+                for r in range(1, size + 1):
+                    ways[r:] = (ways[r:] + ways[:-r]) / 2
+                    ways[:r] /= 2
+                less, more = ways[:int(w) + 1].sum(), ways[int(w):].sum()
+            else:
+                mean = size * (size + 1) / 4
+                error = math.sqrt((size * (size + 1) * (2 * size + 1) - tied / 2) / 24)
+                less = NormalDist().cdf((w - mean) / error)
+                more = 1 - less
+            return min(1.0, 2 * min(less, more)), float(less)
+
+        return pd.DataFrame([one(int(a), float(b), float(c)) for a, b, c in zip(n, plus, ties)],
+                            columns=["p_two_sided", "p_less"]).astype("float64")
+
+    return p_values
+
+
+def signed_rank(rows: DataFrame, by: Sequence[str], delta: str, method: str = "normal") -> DataFrame:
     """Wilcoxon signed-rank test of paired differences.
 
-    Zeros are dropped, ties share their mean rank. Exact p up to 50 untied
-    pairs, else the normal approximation with tie correction.
+    Zeros are dropped, ties share their mean rank. ``method`` is the caller's
+    choice at any size and comes back with the result: ``normal`` (with tie
+    correction) or ``exact`` (null p where differences tie; its work grows with
+    the cube of the pairs). Equal differences are counted first and ranks come
+    from bucket totals, so no task orders all rows.
     """
-    sized = rows.where(F.col(delta) != 0).select(*by, delta, F.abs(delta).alias("_abs"))
-    order, ties = Window.partitionBy(*by).orderBy("_abs"), Window.partitionBy(*by, "_abs")
-    same = F.count(F.lit(1)).over(ties)
-    ranked = sized.select(*by, delta, (F.rank().over(order) + (same - 1) / 2).alias("_rank"),
-                          (same * same - 1).alias("_tied"))
-    sums = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(delta) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(delta) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
-        F.sum("_tied").cast("double").alias("_ties"))
+    if method not in ("normal", "exact"):
+        raise ValueError("method must be normal or exact")
+    size, above = F.abs(F.col(delta).cast("double")), F.col(delta) > 0
+    cells = (rows.where(F.col(delta) != 0).select(*by, size.alias("_abs"), above.alias("_up")).groupBy(*by, "_abs")
+             .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_up").alias("_plus")))
+    cells = running_total(cells, "_n", "_abs", F.floor(F.log2("_abs") * 64), by, "_lower")
+    rank = F.col("_lower") + (F.col("_n") + 1) / 2
+    sums = cells.groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_plus") * rank).alias("w_plus"), F.sum((F.col("_n") - F.col("_plus")) * rank).alias("w_minus"),
+        F.sum(F.col("_n") * (F.col("_n") * F.col("_n") - 1)).cast("double").alias("_ties"))
+    if not by:  # an aggregate without groups has a row for no pairs too
+        sums = sums.fillna(0, ["n", "w_plus", "w_minus", "_ties"])
     return (sums.withColumn("w", F.least("w_plus", "w_minus"))
-            .withColumn("_p", _signed_rank_p("n", "w_plus", "_ties"))
-            .select(*by, "n", "w_plus", "w_minus", "w", "_p.p_two_sided", "_p.p_less"))
+            .withColumn("_p", _signed_rank_p(method)("n", "w_plus", "_ties"))
+            .select(*by, "n", "w_plus", "w_minus", "w", "_p.p_two_sided", "_p.p_less", F.lit(method).alias("method")))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -289,45 +296,75 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return pearson(ranked, by, "_rx", "_ry", "spearman")
 
 
-@F.pandas_udf(T.DoubleType())
-def _tau_b(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    def swaps(values: np.ndarray) -> int:
-        if len(values) < 2:
-            return 0
-        half = len(values) // 2
-        left, right = values[:half], values[half:]
-        inside = swaps(left) + swaps(right)
-        return inside + int((half - np.searchsorted(np.sort(left), right, side="right")).sum())
-
-    def tied(values: np.ndarray) -> int:
-        _, counts = np.unique(values, return_counts=True, axis=0)
-        return int((counts * (counts - 1) // 2).sum())
-
-    def one(x, y) -> float | None:
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        pairs = len(x) * (len(x) - 1) // 2
-        tx, ty, txy = tied(x), tied(y), tied(np.stack([x, y], axis=1))
-        scale = (pairs - tx) * (pairs - ty)
-        if len(x) < 2 or scale == 0:
-            return None
-        discordant = swaps(y[np.lexsort((y, x))])
-        return (pairs - tx - ty + txy - 2 * discordant) / math.sqrt(scale)
-
-    return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype="float64")
+def _inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Weighted pairs with smaller ``x`` and larger ``y``; equal values on either side do not count."""
+    order = np.lexsort((y, x))
+
+    def count(at: np.ndarray) -> tuple[float, np.ndarray]:
+        if len(at) < 2:
+            return 0.0, at
+        (a, left), (b, right) = count(at[:len(at) // 2]), count(at[len(at) // 2:])
+        larger = np.concatenate([np.cumsum(n[left][::-1])[::-1], [0.0]])
+        between = float((larger[np.searchsorted(y[left], y[right], side="right")] * n[right]).sum())
+        both = np.concatenate([left, right])
+        return a + b + between, both[np.argsort(y[both], kind="stable")]
+
+    return count(order)[0]
 
 
 def kendall(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Tau-b of two columns per board, counting inversions in n log n; pairs are never listed.
+    """Tau-b of two columns per board; pairs are never listed and no task holds a whole board.
 
-    A board (one row per team) is one array. Its size is checked: above a million
-    teams the job fails instead of overloading a task.
+    Equal rows are counted first. Both columns are cut at quantiles into
+    buckets, a value at a cut being a bucket of its own. Discordant pairs that
+    differ in both buckets come from bucket totals, those inside a bucket of
+    ``x`` or of ``y`` are counted there, in n log n. Rows with a null take no
+    part; a board without two different values on either side has a null tau.
     """
-    sized = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    allowed = sized.withColumn("n", F.when(F.col("n") <= BOARD_LIMIT, F.col("n")).otherwise(
-        F.raise_error(F.lit("board too large for one array")).cast("bigint")))
-    arrays = (rows.join(allowed, list(by)) if by else rows.join(allowed, F.lit(True))) \
-        .groupBy(*by, "n").agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_v"))
-    return arrays.select(*by, "n", _tau_b(F.col("_v.x"), F.col("_v.y")).alias("kendall"))
+    by = list(by)
+    cells = (rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+             .groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    cuts = F.array(*[F.lit(i / BOARD_EDGES) for i in range(1, BOARD_EDGES)])
+    edges = cells.groupBy(*by).agg(*[F.percentile_approx(c, cuts, F.lit(10_000)).alias(f"{c}e") for c in ("_x", "_y")])
+
+    def bucket(c: str) -> Column:
+        below = F.size(F.filter(F.col(f"{c}e"), lambda e: e < F.col(c)))
+        return (2 * below + F.array_contains(f"{c}e", F.col(c)).cast("int")).alias(f"{c}b")
+
+    placed = cells.join(edges, by or F.lit(True)).select(*by, "_x", "_y", "_n", bucket("_x"), bucket("_y"))
+    total = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
+
+    def tied(*on: str) -> DataFrame:
+        name = "_t" + "".join(on)
+        t = placed.groupBy(*by, *on).agg(F.sum("_n").alias("_c")).groupBy(*by)
+        return t.agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias(name))
+
+    schema = ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in by], "_d double"])
+
+    def counted(kind: str):
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            key = part.iloc[0][by].to_dict() if by else {}
+            n = part["_n"].to_numpy()
+            if kind == "both":
+                d = _inversions(part["_xb"].to_numpy(), part["_yb"].to_numpy(), n)
+            else:
+                d = _inversions(part["_x"].to_numpy(), part["_y"].to_numpy(), n)
+            if kind == "y":  # pairs that share the bucket of x too are counted there
+                d -= sum(_inversions(p["_x"].to_numpy(), p["_y"].to_numpy(), p["_n"].to_numpy()) for _, p in part.groupby("_xb"))
+            return pd.DataFrame([{**key, "_d": d}])
+        return one
+
+    grid = placed.groupBy(*by, "_xb", "_yb").agg(F.sum("_n").alias("_n"))
+    # An odd bucket is one value: no pair inside it is discordant.
+    inside = [placed.where(F.col(c) % 2 == 0).groupBy(*by, c).applyInPandas(counted(k), schema) for c, k in (("_xb", "x"), ("_yb", "y"))]
+    apart = grid.withColumn("_board", F.lit(0)).groupBy(*by, "_board").applyInPandas(counted("both"), schema)
+    wrong = apart.unionByName(inside[0]).unionByName(inside[1]).groupBy(*by).agg(F.sum("_d").alias("_d"))
+    on = by or F.lit(True)
+    out = total.join(tied("_x"), on).join(tied("_y"), on).join(tied("_x", "_y"), on).join(wrong, on, "left")
+    pairs = F.col("_all") * (F.col("_all") - 1) / 2
+    scale = (pairs - F.col("_t_x")) * (pairs - F.col("_t_y"))
+    tau = (pairs - F.col("_t_x") - F.col("_t_y") + F.col("_t_x_y") - 2 * F.coalesce("_d", F.lit(0.0))) / F.sqrt(scale)
+    return out.select(*by, F.col("_all").cast("bigint").alias("n"), F.when(scale > 0, tau).alias("kendall"))
 
 
 def agreement_errors(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

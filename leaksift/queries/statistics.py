@@ -188,10 +188,10 @@ s AS (SELECT count(*) n, sum(r) FILTER (WHERE delta>0) p, sum(r) FILTER (WHERE d
 w AS (SELECT b, sum(CASE WHEN (b>>(r-1))&1=1 THEN r ELSE 0 END) w FROM (SELECT unnest(range(2048)) b), r GROUP BY b),
 p AS (SELECT avg((w<=p)::INTEGER) less, avg((w>=p)::INTEGER) more FROM w, s)
 SELECT n, coalesce(p,0)::DOUBLE w_plus, coalesce(m,0)::DOUBLE w_minus, least(coalesce(p,0),coalesce(m,0))::DOUBLE w,
- round(least(1.0,2*least(less,more)),9)::DOUBLE p_two_sided, round(less,9)::DOUBLE p_less FROM s, p""")
+ round(least(1.0,2*least(less,more)),9)::DOUBLE p_two_sided, round(less,9)::DOUBLE p_less, 'exact' AS method FROM s, p""")
 def signed_rank_test(spark, sf):
     """Exact Wilcoxon test of paired differences, against all sign assignments."""
-    return rounded(signed_rank(_deltas(spark, sf, 11), [], "delta"), "p_two_sided", "p_less")
+    return rounded(signed_rank(_deltas(spark, sf, 11), [], "delta", "exact"), "p_two_sided", "p_less")
 
 
 @registry.add(f"""WITH {_deltas_sql(40)} SELECT count(*) n, round(avg(delta),6) mean, round(stddev_samp(delta),6) sd_sample,

@@ -87,7 +87,7 @@ def test_leave_top_out_published_totals(spark):
 def test_wilcoxon_exact_and_tied(spark):
     d = np.array([3.1, -0.4, 2.2, 1.7, -1.1, 0.9, 4.0, 0.0])
     df = spark.createDataFrame(pd.DataFrame({"d": d}))
-    out = stats.signed_rank(df, [], "d").first()
+    out = stats.signed_rank(df, [], "d", "exact").first()
     x = d[d != 0]
     r = np.abs(x).argsort().argsort() + 1
     sums = [sum(a for a, s in zip(r, signs) if s) for signs in itertools.product([0, 1], repeat=len(x))]
@@ -96,7 +96,19 @@ def test_wilcoxon_exact_and_tied(spark):
     assert out.n == 7 and out.w == min(plus, r.sum() - plus)
     assert out.p_less == pytest.approx(less) and out.p_two_sided == pytest.approx(min(1, 2 * min(less, more)))
     tied = stats.signed_rank(spark.createDataFrame([(1.0,), (-1.0,), (2.0,)], "d double"), [], "d").first()
-    assert (tied.w_plus, tied.w_minus) == (4.5, 1.5)
+    assert (tied.w_plus, tied.w_minus, tied.method) == (4.5, 1.5, "normal")
+    assert stats.signed_rank(spark.createDataFrame([(1.0,), (-1.0,)], "d double"), [], "d", "exact").first().p_less is None
+    with pytest.raises(ValueError):
+        stats.signed_rank(df, [], "d", "auto")
+
+
+def test_wilcoxon_by_bucket_totals_equals_ranks(spark):
+    values = np.concatenate([RNG.integers(-40, 60, 1500) / 8, RNG.standard_normal(1500) * 1e-3, np.zeros(7)])
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a", "b"] * 1503 + ["a"], "d": values}))
+    for r in stats.signed_rank(df, ["g"], "d").collect():
+        mine = np.array([v for v, g in zip(values, ["a", "b"] * 1503 + ["a"]) if g == r.g and v != 0])
+        ranks = pd.Series(np.abs(mine)).rank()
+        assert r.n == len(mine) and r.w_plus == ranks[mine > 0].sum() and r.w_minus == ranks[mine < 0].sum()
 
 
 def test_wilcoxon_published_value(spark):
@@ -104,7 +116,7 @@ def test_wilcoxon_published_value(spark):
     ranks_ = list(range(1, 26))
     positive = {1, 2, 3, 4, 5}
     df = spark.createDataFrame([(float(r) if r in positive else -float(r),) for r in ranks_], "d double")
-    out = stats.signed_rank(df, [], "d").first()
+    out = stats.signed_rank(df, [], "d", "exact").first()
     ways = np.zeros(326)
     ways[0] = 1
     for r in ranks_:
@@ -112,6 +124,16 @@ def test_wilcoxon_published_value(spark):
     assert out.w == 15 and out.p_less == pytest.approx(ways[:16].sum() / 2**25)
 
 
+def test_kendall_by_buckets_equals_all_pairs(spark):
+    n = 600
+    x = np.concatenate([np.full(200, 3.0), RNG.standard_normal(250), RNG.integers(0, 9, 150).astype(float)])
+    y = np.where(RNG.random(n) < 0.4, x, np.where(RNG.random(n) < 0.3, 1.0, RNG.standard_normal(n)))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "_n": 1}))
+    sx, sy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    got = stats.kendall(df, [], "x", "y").first()
+    assert got.n == n and got.kendall == pytest.approx((sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum()))
+
+
 def test_agreement_statistics(spark):
     x, y = RNG.integers(0, 6, 40).astype(float), RNG.integers(0, 6, 40).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"b": ["p"] * 20 + ["q"] * 20, "x": x, "y": y}))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaksift.operators.fingerprints import distinct_fingerprints
-from leaksift.operators.pairs import (band_plan, flagged_fingerprints, near_pairs, nearest_exact, nearest_within,
+from leaksift.operators.pairs import (band_plan, flagged_fingerprints, near_pairs, nearest_within, plan_cost,
                                       random_non_matches)
 
 RNG = np.random.default_rng(7)
@@ -118,22 +118,6 @@ def test_nearest_and_flags_equal_brute_force(spark, rows):
         assert {tuple(r) for r in hits} == {tuple(items[i]) for i in np.flatnonzero(flags)}
 
 
-@pytest.mark.parametrize("words", [1, 4])
-def test_nearest_exact_equals_brute_force(spark, words):
-    items, reference = clustered(120, words), clustered(150, words)
-    reference[:20] = items[:20]
-    names = [f"w{i}" for i in range(words)]
-    near = nearest_exact(frame(spark, items), frame(spark, reference), words=names, radius=4, rows=200,
-                         ref_key="id", block_rows=40)
-    got = {tuple(r[n] for n in names): (r.distance, r.nearest) for r in near.collect()}
-    d = sum(gaps(items, reference))
-    for i, row in enumerate(items):
-        assert got[tuple(row)] == (d[i].min(), d[i].argmin())
-    with pytest.raises(ValueError, match="exceed"):
-        nearest_exact(frame(spark, items), frame(spark, reference), words=names, radius=4, rows=200,
-                      ref_key="id", most_comparisons=10)
-
-
 def test_band_plan_grows_keys_with_rows():
     few, many = band_plan(1, 6, 1000), band_plan(1, 6, 10**8)
     assert len(few.bands) == 7 and len(many.bands) > len(few.bands)
@@ -141,6 +125,21 @@ def test_band_plan_grows_keys_with_rows():
         band_plan(1, 64, 10)
 
 
+@pytest.mark.parametrize("words,radius,rule", [(2, 6, "sum"), (2, 6, "each"), (4, 12, "sum"), (2, 12, "sum"), (4, 7, "each")])
+def test_plans_stay_selective_as_rows_grow(words, radius, rule):
+    bits = [plan_cost(words, radius, rows, rule)["key_bits"] for rows in (10**6, 10**8, 10**10)]
+    assert bits == sorted(bits) and bits[-1] > bits[0]
+    for rows in (10**6, 10**8, 10**10):
+        cost = plan_cost(words, radius, rows, rule)
+        # Each band row meets few others: the work follows the rows, not their square.
+        assert cost["candidates"] <= 200 * cost["band_rows"] and cost["candidates"] < 1e-2 * rows * rows
+
+
+def test_each_rule_may_band_some_words_only():
+    assert plan_cost(2, 6, 10**9, "each")["bands"] < 784
+    assert all(b.masks[1] == 0 for b in band_plan(2, 6, 10**9, "each").bands)
+
+
 def test_non_matches_are_no_matches(spark):
     matches = spark.range(30).select(F.col("id").alias("item"), (F.col("id") % 7).alias("matched"))
     refs = spark.range(7).withColumnRenamed("id", "ref")
