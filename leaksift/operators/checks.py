@@ -114,14 +114,25 @@ def provenance(results: DataFrame, known: DataFrame, digest: str) -> DataFrame:
     return results.join(known.select(digest).distinct(), digest, "left_anti")
 
 
-def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
+def require(df: DataFrame, ok: Column, message: str | Column) -> DataFrame:
     """The rows again; the first one failing ``ok`` fails the job."""
-    check = F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(F.lit(message))).otherwise(F.lit("ok"))
+    message = F.lit(message) if isinstance(message, str) else message
+    check = F.when(~F.coalesce(ok, F.lit(False)), F.raise_error(message)).otherwise(F.lit("ok"))
     return df.where(check == "ok")
 
 
-def metric_status(official: Column, again: Column, tolerance: float = 1e-6) -> Column:
-    """Status of a re-scored row: excluded without either score, ``drift`` beyond the tolerance."""
+def metric_status(official: Column, again: Column, tolerance: float = 1e-6, name: Column | None = None,
+                  allowed: Sequence[str] = ()) -> Column:
+    """Status of a re-scored row: excluded without either score, ``drift`` beyond the tolerance.
+
+    With ``allowed``, the drift of a row whose ``name`` is listed is expected and called ``excluded_known_drift``.
+    """
+    drift = F.lit("drift") if name is None else F.when(name.isin(*allowed), "excluded_known_drift").otherwise("drift")
     return (F.when(official.isNull(), "excluded_no_official_score")
             .when(again.isNull(), "excluded_no_reproduction")
-            .when(F.abs(official - again) > tolerance, "drift").otherwise("ok"))
+            .when(F.abs(official - again) > tolerance, drift).otherwise("ok"))
+
+
+def without_drift(rows: DataFrame, status: str = "status", name: str = "name") -> DataFrame:
+    """The rows again; drift outside the allowed list fails the job and names its row."""
+    return require(rows, ~F.col(status).eqNullSafe("drift"), F.concat(F.lit("score does not reproduce: "), F.coalesce(F.col(name).cast("string"), F.lit("?"))))

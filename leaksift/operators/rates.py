@@ -155,6 +155,13 @@ def agreement(rows: DataFrame, left: str, right: str) -> DataFrame:
     return out.withColumn("agree_fraction", F.when(seen > 0, F.col("n_agree") / seen))
 
 
+def unmappable(rows: DataFrame, label: str, left: str, right: str) -> DataFrame:
+    """Rows per ``label`` that lack one of two labels, with the share of the label's rows."""
+    lost = F.col(left).isNull() | F.col(right).isNull()
+    counts = rows.groupBy(label).agg(F.count_if(lost).alias("n_unmappable"), F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n_unmappable") > 0).withColumn("share", F.col("n_unmappable") / F.col("n"))
+
+
 def rule_coverage(rows: DataFrame, rule: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per cascade rule."""
     return rows.groupBy(*by, rule).agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksift.operators.lookups import exact_membership, remove_keys
-from leaksift.operators.skew import hash_rank, quota_sample
+from leaksift.operators.skew import hash_rank, quota_sample, salted_lookup
 
 
 def threshold_splits(items: DataFrame, distance: str, thresholds: Sequence[int],
@@ -160,6 +160,15 @@ def group_holdout(items: DataFrame, *, group: str, label: str, priority: Sequenc
     return fill if chosen is None else chosen.unionByName(fill)
 
 
+def holdout_rows(items: DataFrame, chosen: DataFrame, group: str, key: Sequence[str], out: str = "part") -> DataFrame:
+    """The rows, each ``held_out`` or ``reduced`` by its group; a null group is never held out.
+
+    A group that holds many of the rows is spread over tasks by ``key``.
+    """
+    marked = chosen.select(group).distinct().withColumn(out, F.lit("held_out"))
+    return salted_lookup(items, marked, [group], key).withColumn(out, F.coalesce(out, F.lit("reduced")))
+
+
 def ratio_split(items: DataFrame, key: str, shares: Sequence[tuple[str, float]], seed: object,
                 by: Sequence[str] = ()) -> DataFrame:
     """Assign rows to named parts by seeded order; cumulative shares times n, rounded down, are the cuts."""

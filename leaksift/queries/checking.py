@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leaksift.functions.digest import split_by_digest
 from leaksift.functions.keys import squash_name
-from leaksift.operators.checks import (cell_counts, claims, common_keys, contract, equal_claims, left_only_keys,
+from leaksift.operators.checks import (cell_counts, claims, concat_all, common_keys, contract, equal_claims, left_only_keys,
                                        long_form, metadata_agreement, preflight, provenance, scorecard,
                                        seed_status, strict_merge, tolerant_merge)
 from leaksift.operators.lookups import majority_vote, manifest_check, priority_cascade, reconcile
@@ -82,14 +82,21 @@ def table_claims(spark, sf):
     return out.select("claim", F.round("expected", 6).alias("expected"), "tolerance", F.round("observed", 6).alias("observed"), "ok")
 
 
-@registry.add("""WITH o AS (SELECT event_type AS claim, count(*) v FROM events GROUP BY 1), e AS (SELECT event_type AS claim, sum(n)::BIGINT v FROM (SELECT event_type, user_id, count(*) n FROM events GROUP BY 1,2) GROUP BY 1)
-SELECT claim, e.v AS expected, o.v AS observed, o.v=e.v AS ok FROM e LEFT JOIN o USING (claim)""")
+@registry.add("""WITH o AS (SELECT 'lines' AS claim, count(*) v FROM lineitem UNION ALL SELECT 'orders', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders
+ UNION ALL SELECT 'nations', count(DISTINCT c_nationkey) FROM customer),
+e AS (SELECT 'lines' AS claim, max(l_linenumber)*count(DISTINCT l_orderkey) v FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customers', count(*) FROM customer
+ UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'regions', count(*) FROM region)
+SELECT claim, e.v::BIGINT AS expected, o.v::BIGINT AS observed, e.v IS NOT DISTINCT FROM o.v AS ok FROM e LEFT JOIN o USING (claim)""")
 def equal_table_claims(spark, sf):
-    """Claims of exact equality between two ways to the same counts."""
-    events = table(spark, sf, "events")
-    observed = events.groupBy(F.col("event_type").alias("claim")).agg(F.count(F.lit(1)).alias("value"))
-    expected = (events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("_n"))
-                .groupBy(F.col("event_type").alias("claim")).agg(F.sum("_n").alias("value")))
+    """Claims of exact equality: counts seen in one table against the size another gives; some hold, one is never observed."""
+    lines, orders, customers = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    claim = lambda name, df, value: df.agg(F.lit(name).alias("claim"), value.cast("bigint").alias("value"))
+    rows = F.count(F.lit(1))
+    observed = concat_all([claim("lines", lines, rows), claim("orders", lines, F.count_distinct("l_orderkey")),
+                           claim("customers", orders, F.count_distinct("o_custkey")), claim("nations", customers, F.count_distinct("c_nationkey"))])
+    expected = concat_all([claim("lines", lines, F.max("l_linenumber") * F.count_distinct("l_orderkey")), claim("orders", orders, rows),
+                           claim("customers", customers, rows), claim("nations", table(spark, sf, "nation"), rows),
+                           claim("regions", table(spark, sf, "region"), rows)])
     return equal_claims(observed, expected)
 
 
@@ -102,12 +109,19 @@ def cell_contract(spark, sf):
     return contract(cell_counts(labelled, ["source", "lang"]), cell_counts(docs, ["source", "lang"]), ["source", "lang"])
 
 
-@registry.add(f"""SELECT split, n AS actual, n AS expected, TRUE AS ok FROM (SELECT {split_sql('doc_id')} AS split, count(*) n FROM documents GROUP BY 1)""")
+@registry.add(f"""WITH s AS (SELECT {split_sql('doc_id')} AS split FROM documents), n AS (SELECT count(*) n FROM s),
+a AS (SELECT split, count(*) n FROM s GROUP BY 1 UNION ALL SELECT '(all)', n FROM n),
+e AS (SELECT 'training' AS split, n*7//10 AS n FROM n UNION ALL SELECT 'validation', n-n*7//10 FROM n UNION ALL SELECT '(all)', count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'test', n//20 FROM n)
+SELECT split, coalesce(a.n,0)::BIGINT AS actual, coalesce(e.n,0)::BIGINT AS expected, coalesce(a.n,0)=coalesce(e.n,0) AS ok FROM a FULL JOIN e USING (split)""")
 def row_contract(spark, sf):
-    """Rows per split against the size the split was cut to."""
+    """Rows per split against the sizes it was planned with: seven tenths, three tenths, and a test split that was never cut."""
     docs = table(spark, sf, "documents").select("doc_id", split_by_digest(F.col("doc_id"), "split", 7).alias("split"))
-    expected = docs.groupBy("split").agg(F.count_distinct("doc_id").alias("n"))
-    return contract(cell_counts(docs, ["split"]), expected, ["split"])
+    actual = cell_counts(docs, ["split"]).unionByName(docs.agg(F.lit("(all)").alias("split"), F.count(F.lit(1)).alias("n")))
+    sized = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d"))
+    train = F.expr("n * 7 div 10")
+    planned = {"training": train, "validation": F.col("n") - train, "(all)": F.col("d"), "test": F.expr("n div 20")}
+    expected = sized.select(F.inline(F.array(*[F.struct(F.lit(k).alias("split"), v.alias("n")) for k, v in planned.items()])))
+    return contract(actual, expected, ["split"])
 
 
 def _shards(spark, sf):
@@ -116,11 +130,13 @@ def _shards(spark, sf):
     return runs, runs.select("arm").distinct().join(spark.range(10).withColumnRenamed("id", "seed"), F.lit(True))
 
 
-@registry.add("SELECT l_returnflag arm, l_orderkey%10 seed, count(*) AS value FROM lineitem GROUP BY 1,2")
+@registry.add("SELECT l_returnflag arm, l_orderkey%10 seed, CASE WHEN l_orderkey%10<5 THEN count(*) ELSE sum(l_linenumber) END::BIGINT AS value FROM lineitem GROUP BY 1,2")
 def shard_merge(spark, sf):
-    """Shards of runs merged; every arm needs each of ten seeds exactly once."""
+    """Shards of two different runs merged; every arm needs each of ten seeds exactly once."""
     runs, expected = _shards(spark, sf)
-    return strict_merge([runs.where(F.col("arm") == a) for a in ("A", "N", "R")], expected, ["arm", "seed"])
+    other = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), (F.col("l_orderkey") % 10).alias("seed")).agg(
+        F.sum("l_linenumber").cast("bigint").alias("value"))
+    return strict_merge([runs.where(F.col("seed") < 5), other.where(F.col("seed") >= 5)], expected, ["arm", "seed"])
 
 
 @registry.add("""WITH r AS (SELECT l_returnflag arm, l_orderkey%10 seed FROM lineitem GROUP BY 1,2),
@@ -137,11 +153,13 @@ def shard_status(spark, sf):
     return seed_status(shards, expected, ["arm", "seed"])
 
 
-@registry.add("SELECT l_returnflag arm, l_orderkey%10 seed, count(*) AS value FROM lineitem GROUP BY 1,2")
+@registry.add("""SELECT l_returnflag arm, l_orderkey%10 seed, count(*) + CASE WHEN (l_returnflag='A' AND l_orderkey%10<>4) OR l_returnflag='N' THEN 0 ELSE 1000 END AS value
+FROM lineitem GROUP BY 1,2 HAVING NOT (l_returnflag='R' AND l_orderkey%10=7)""")
 def tolerant_shards(spark, sf):
-    """Incomplete shards filled from an earlier complete result."""
+    """Incomplete shards filled from an earlier result that has other values and lacks a run itself."""
     runs, expected = _shards(spark, sf)
-    return tolerant_merge([runs.where((F.col("arm") == "A") & (F.col("seed") != 4)), runs.where(F.col("arm") == "N")], runs, expected, ["arm", "seed"])[0]
+    earlier = runs.where(~((F.col("arm") == "R") & (F.col("seed") == 7))).withColumn("value", F.col("value") + 1000)
+    return tolerant_merge([runs.where((F.col("arm") == "A") & (F.col("seed") != 4)), runs.where(F.col("arm") == "N")], earlier, expected, ["arm", "seed"])[0]
 
 
 @registry.add("SELECT user_id, count(DISTINCT event_type) n_values, count(DISTINCT event_type)=1 AS ok FROM events GROUP BY 1")

@@ -15,6 +15,7 @@ from leaksift.operators.skew import first_per_key
 from leaksift.plans.rescore import rescore
 from leaksift.queries.base import (CLASSES, PREDICTIONS, Registry, auc_sql, kept, label_metrics_sql, predictions,
                                    rounded, table)
+from leaksift.session import materialise
 
 registry = Registry()
 LABEL_COLUMNS = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "null_accuracy")
@@ -116,12 +117,19 @@ def entropy_pass_rate(spark, sf):
     return rounded(filter_pass_rate(rows, ["team"], "probs", 0.9, CLASSES), "mean_entropy", "pass_rate")
 
 
-@registry.add(f"""{PREDICTIONS}, {combined_sql('s', 'team', 'zero')}
-SELECT team, n, round(combined,9) combined, TRUE AS ok FROM s""")
+@registry.add(f"""{PREDICTIONS}, {combined_sql('s', 'team', 'zero')},
+rec AS (SELECT team, CASE WHEN team='team2' THEN n+1 ELSE n END AS n, balanced_accuracy, CASE WHEN team='team3' THEN mean_auc+1e-6 ELSE mean_auc END AS mean_auc,
+ CASE WHEN team='team4' THEN combined*(1+1e-9) ELSE combined END AS combined FROM s UNION ALL SELECT 'team9', n, balanced_accuracy, mean_auc, combined FROM s WHERE team='team0')
+SELECT rec.team, rec.n, round(rec.combined,9) combined, coalesce(rec.n=s.n AND abs(rec.mean_auc-s.mean_auc)<=1e-12 AND abs(rec.combined-s.combined)<=1e-12, FALSE) AS ok
+FROM rec LEFT JOIN s USING (team)""")
 def metric_replay(spark, sf):
-    """Recorded scores recomputed from confusion cells and class AUCs."""
+    """Recorded scores recomputed from confusion cells and class AUCs; some records are altered, one team has no rows."""
     rows = scored(spark, sf)
-    recorded = combined_scores(rows, ["team"], "zero").select("team", "n", "balanced_accuracy", "mean_auc", "combined")
+    true = materialise(combined_scores(rows, ["team"], "zero").select("team", "n", "balanced_accuracy", "mean_auc", "combined"))
+    at = lambda team, value, column: F.when(F.col("team") == team, value).otherwise(F.col(column)).alias(column)
+    recorded = true.select("team", at("team2", F.col("n") + 1, "n"), "balanced_accuracy", at("team3", F.col("mean_auc") + 1e-6, "mean_auc"),
+                           at("team4", F.col("combined") * (1 + 1e-9), "combined"))
+    recorded = recorded.unionByName(true.where(F.col("team") == "team0").withColumn("team", F.lit("team9")))
     out = replay(confusion(rows, ["team"]), one_vs_rest_auc(rows, ["team"]), recorded, ["team"])
     return rounded(out.select("team", "n", "combined", "ok"), "combined")
 
@@ -148,15 +156,17 @@ def run_selection(spark, sf):
     return rounded(select_runs(history, ["run"], "v", fixed=4), "last_mean")
 
 
-@registry.add(f"""{PREDICTIONS}, p AS (SELECT DISTINCT team, vec_id FROM pred WHERE NOT (team='team1' AND part=3)),
-t AS (SELECT vec_id FROM items WHERE part<>5)
-SELECT team, (SELECT count(*) FROM t)-count(t.vec_id) AS n_missing, count(*)-count(t.vec_id) AS n_unexpected, 0::BIGINT AS n_repeated, FALSE AS aligned
-FROM p LEFT JOIN t USING (vec_id) GROUP BY 1""")
+@registry.add(f"""{PREDICTIONS}, p AS (SELECT team, vec_id FROM pred WHERE NOT (team='team1' AND part=3) AND (part<>5 OR team='team3') UNION ALL SELECT team, vec_id FROM pred WHERE team='team2' AND part=1),
+t AS (SELECT vec_id FROM items WHERE part<>5), g AS (SELECT team, vec_id, count(*) c FROM p GROUP BY 1,2),
+o AS (SELECT team, (SELECT count(*) FROM t)-count(t.vec_id) AS n_missing, count(*)-count(t.vec_id) AS n_unexpected, count(*) FILTER (WHERE c>1) AS n_repeated FROM g LEFT JOIN t USING (vec_id) GROUP BY 1)
+SELECT *, n_missing=0 AND n_unexpected=0 AND n_repeated=0 AS aligned FROM o""")
 def sheet_alignment(spark, sf):
-    """Missing, unexpected and repeated rows per team against the reference keys."""
+    """Missing, unexpected and repeated rows per team against the reference keys; one team each has some, the rest none."""
     rows = predictions(spark, sf)
     truth = rows.where((F.col("team") == "team0") & (F.col("part") != 5)).select("vec_id")
-    return check_alignment(rows.where(~((F.col("team") == "team1") & (F.col("part") == 3))), truth, "team", "vec_id")
+    team, part = F.col("team"), F.col("part")
+    sheets = rows.where(~((team == "team1") & (part == 3)) & ((part != 5) | (team == "team3")))
+    return check_alignment(sheets.unionByName(rows.where((team == "team2") & (part == 1))), truth, "team", "vec_id")
 
 
 # --- leaderboards --------------------------------------------------------------

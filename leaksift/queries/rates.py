@@ -12,7 +12,7 @@ from leaksift.operators.pairs import near_pairs
 from leaksift.operators.rates import (agreement, band_summary, bounded_examples, corruption_summary,
                                       cross_source_groups, curve, density, disagreement, duplicate_groups,
                                       fraction_buckets, group_coverage, group_profile, histogram,
-                                      location_summary, source_split_counts)
+                                      location_summary, source_split_counts, unmappable)
 from leaksift.queries.base import (DOCS, PREDICTIONS, WORDS, Registry, document_count, document_prints, ham,
                                    predictions, rounded, split_sql, table)
 
@@ -195,6 +195,15 @@ def label_agreement(spark, sf):
     return rounded(agreement(mapped, "mapped", "lang"), "agree_fraction")
 
 
+@registry.add("""WITH j AS (SELECT d.lang, CASE WHEN quality=1 THEN 'en' ELSE NULL END AS mapped FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT lang, count(*) FILTER (WHERE mapped IS NULL) n_unmappable, count(*) n, round(count(*) FILTER (WHERE mapped IS NULL)/count(*),9) share FROM j
+GROUP BY 1 HAVING count(*) FILTER (WHERE mapped IS NULL)>0""")
+def unmappable_labels(spark, sf):
+    """Rows per class whose label maps to nothing."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rounded(unmappable(rows.withColumn("mapped", F.when(F.col("quality") == 1, "en")), "lang", "mapped", "lang"), "share")
+
+
 @registry.add("""SELECT l_linenumber, count(*) n, round(avg(l_extendedprice),6) mean, round(stddev_pop(l_extendedprice),6) sd_population,
  round(stddev_samp(l_extendedprice),6) sd_sample, count(DISTINCT l_partkey) n_unique FROM lineitem GROUP BY 1""")
 def scale_curve(spark, sf):

@@ -9,7 +9,7 @@ from leaksift.operators.checks import cell_counts
 from leaksift.operators.lookups import keep_keys, remove_keys, salted_lookup
 from leaksift.operators.pairs import nearest_within
 from leaksift.operators.splits import (add_unseen, capped_addon, composition_matched, displace_and_add,
-                                       duplicate_cell, group_holdout, held_in_sample, internal_leaks,
+                                       duplicate_cell, group_holdout, holdout_rows, held_in_sample, internal_leaks,
                                        leave_one_out_sizes, proportional_targets, random_subset, ratio_split,
                                        remove_internal_leaks, review_sample, shortfall, shuffle_labels,
                                        stratified_subset, swap_cell, threshold_splits, two_fold)
@@ -218,20 +218,29 @@ def unseen_addition(spark, sf):
     return add_unseen(_labelled(spark, sf), docs.where(F.col("lang") == "en"), 30, "doc_id", "unseen").select("doc_id", "lang")
 
 
-@registry.add("""WITH c AS (SELECT user_id, event_type, count(*) nc FROM events GROUP BY 1,2),
+_HOLDOUT = """WITH c AS (SELECT user_id, event_type, count(*) nc FROM events GROUP BY 1,2),
 s AS (SELECT user_id, sum(nc)::BIGINT n FROM c GROUP BY 1 HAVING sum(nc)>=4),
 o AS (SELECT user_id, n, event_type, nc FROM s JOIN c USING (user_id) WHERE nc>=2),
 g1 AS (SELECT user_id, n FROM o WHERE event_type='error' ORDER BY nc DESC, user_id LIMIT 1),
 g2 AS (SELECT user_id, n FROM o WHERE event_type='purchase' AND user_id NOT IN (SELECT user_id FROM g1) ORDER BY nc DESC, user_id LIMIT 1),
 ch AS (SELECT user_id, n, 0 AS step FROM g1 UNION ALL SELECT user_id, n, 1 FROM g2),
-f AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) r FROM s WHERE user_id NOT IN (SELECT user_id FROM ch))
-SELECT user_id, n, step FROM ch UNION ALL SELECT user_id, n, 2 FROM f WHERE r<=5-(SELECT count(*) FROM ch)""")
+f AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) r FROM s WHERE user_id NOT IN (SELECT user_id FROM ch)),
+h AS (SELECT user_id, n, step FROM ch UNION ALL SELECT user_id, n, 2 FROM f WHERE r<=5-(SELECT count(*) FROM ch))"""
+
+
+@registry.add(f"{_HOLDOUT} SELECT user_id, n, step FROM h")
 def user_holdout(spark, sf):
     """Five users to hold out: one per priority type, then the largest."""
     return group_holdout(table(spark, sf, "events"), group="user_id", label="event_type",
                          priority=("error", "purchase"), k=5, min_rows=4)
 
 
+@registry.add(f"{_HOLDOUT} SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM h) THEN 'held_out' ELSE 'reduced' END AS part FROM events")
+def user_holdout_rows(spark, sf):
+    """Every event on its side of the held-out users."""
+    return holdout_rows(table(spark, sf, "events"), user_holdout(spark, sf), "user_id", ["event_id"]).select("event_id", "part")
+
+
 _PART = index_sql(10, "'part'", "vec_id")
 
 
