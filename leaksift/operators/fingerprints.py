@@ -56,7 +56,7 @@ majority_word = majority_word.asNondeterministic()
 
 
 def text_fingerprints(items: DataFrame, keep: Sequence[str], text: str = "text",
-                      families: Mapping[str, int] | None = None, digest: str = "md5") -> DataFrame:
+                      families: Mapping[str, int] | None = None, digest: str = "xxhash64") -> DataFrame:
     """Simhash words of whole texts, one column per family (name → words per shingle).
 
     ``keep`` names the columns to carry; the text itself goes no further. The

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,19 +50,32 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[r9(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
-def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per application and read by every later query.
+def content_mark(spark: SparkSession, path: str) -> str:
+    """A mark of a table's files: names, sizes and times of change, from the file listing alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    mark = hashlib.sha256()
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    mark.update("\n".join(sorted(found)).encode())
+    return mark.hexdigest()
+
+
+def kept(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], of: str | None = None) -> DataFrame:
+    """A table derived from table ``of`` (``name`` if not given), written once per application and read by every later query.
 
     Fingerprints are far smaller than what they are made from, and an audit asks
-    many questions of them.
+    many questions of them. A table whose files have changed is derived anew.
     """
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _KEPT:
-        _KEPT[key] = materialise(build())
-    return _KEPT[key]
+    key, mark = (spark.sparkContext.applicationId, sf, name), content_mark(spark, f"{sf}/{of or name}.parquet")
+    if key not in _KEPT or _KEPT[key][0] != mark:
+        _KEPT[key] = mark, materialise(build())
+    return _KEPT[key][1]
 
 
 # --- documents with fingerprints and a split ---------------------------------
@@ -73,12 +87,18 @@ def document_prints(spark: SparkSession, sf: str) -> DataFrame:
     """
     def build() -> DataFrame:
         docs = spread_input(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
-        prints = text_fingerprints(docs, ["doc_id", "source", "lang"])
+        prints = text_fingerprints(docs, ["doc_id", "source", "lang"], digest="md5")
         return prints.withColumn("split", split_by_digest(F.col("doc_id"), "split", 7))
 
     return kept(spark, sf, "documents", build)
 
 
+def document_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, lang, source, digest and size of every text; one scan of the texts serves all queries of it."""
+    return kept(spark, sf, "digests", lambda: table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.md5("text").alias("digest"), F.octet_length("text").alias("size")), of="documents")
+
+
 def document_count(spark: SparkSession, sf: str) -> int:
     """Row count from the parquet footers: an upper bound on distinct fingerprints."""
     return table(spark, sf, "documents").count()

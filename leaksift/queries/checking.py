@@ -11,8 +11,9 @@ from leaksift.operators.checks import (cell_counts, claims, concat_all, common_k
                                        seed_status, strict_merge, tolerant_merge)
 from leaksift.operators.lookups import majority_vote, manifest_check, priority_cascade, reconcile
 from leaksift.operators.rates import duplicate_groups, rule_coverage
-from leaksift.queries.base import (DOCS, Registry, document_count, document_prints, rounded, split_sql, table,
+from leaksift.queries.base import (DOCS, Registry, document_count, document_digests, document_prints, rounded, split_sql, table,
                                    train_and_held)
+from leaksift.session import materialise
 
 registry = Registry()
 
@@ -58,11 +59,11 @@ def cascade_coverage(spark, sf):
 SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'unlisted' WHEN a.h=b.h THEN 'ok' ELSE 'mismatch' END AS status FROM a1 a FULL JOIN b1 b USING (path)""")
 def manifest_reconcile(spark, sf):
     """Document digests against a manifest: some entries right, some wrong, some naming no document."""
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    listing = docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("digest"))
-    right = F.when(F.col("item_id") % 3 == 0, F.col("digest")).otherwise(F.md5("text"))
+    listing = document_digests(spark, sf).select(F.col("doc_id").alias("path"), "digest")
+    items = materialise(table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("own")))
+    right = F.when(F.col("item_id") % 3 == 0, F.col("digest")).otherwise(F.col("own"))
     named = items.join(listing, F.col("path") == F.col("item_id"), "left").select(F.col("item_id").alias("path"), right.alias("digest"))
-    absent = items.select((-1 - F.col("item_id")).alias("path"), F.md5("text").alias("digest"))
+    absent = items.select((-1 - F.col("item_id")).alias("path"), F.col("own").alias("digest"))
     return manifest_check(listing, named.unionByName(absent), "path", "digest")
 
 
@@ -172,7 +173,7 @@ def metadata_check(spark, sf):
 SELECT 'texts', 'extra_rows', (count(*)-count(DISTINCT md5(text)))::DOUBLE FROM documents UNION ALL SELECT 'labels', 'quality_mean', round(avg(quality),9) FROM labels UNION ALL SELECT 'labels', 'toxic_mean', round(avg(toxic),9) FROM labels""")
 def audit_scorecard(spark, sf):
     """One long table out of several metric tables."""
-    docs = duplicate_groups(table(spark, sf, "documents").select(F.md5("text").alias("digest")), ["digest"])
+    docs = duplicate_groups(document_digests(spark, sf).select("digest"), ["digest"])
     labels = table(spark, sf, "labels").agg(F.avg("quality").alias("quality_mean"), F.avg("toxic").alias("toxic_mean"))
     return rounded(scorecard({"texts": long_form(docs, ["n_rows", "extra_rows"]), "labels": long_form(labels, ["quality_mean", "toxic_mean"])}), "value")
 
@@ -190,7 +191,7 @@ def input_preflight(spark, sf):
 @registry.add("SELECT md5(text) AS digest, doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id))")
 def untraced_results(spark, sf):
     """Digests of documents that no labelled document has."""
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("digest"), "doc_id")
+    docs = document_digests(spark, sf).select("digest", "doc_id")
     return provenance(docs, docs.join(table(spark, sf, "labels"), "doc_id", "left_semi"), "digest")
 
 

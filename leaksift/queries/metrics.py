@@ -24,7 +24,7 @@ _LABELS = ", ".join(f"round({c},9) {c}" for c in LABEL_COLUMNS)
 
 def scored(spark, sf):
     """Predictions, kept once: label metrics and AUC both read them."""
-    return kept(spark, sf, "predictions", lambda: predictions(spark, sf))
+    return kept(spark, sf, "predictions", lambda: predictions(spark, sf), of="embeddings")
 
 
 def combined_sql(name, keys, absent, rows="pred", longs="long", weight="1"):

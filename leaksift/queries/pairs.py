@@ -271,7 +271,7 @@ def cross_corpus_control(spark, sf):
     """Negative control: conversation turns against every document source, with the hits chance would give."""
     docs = document_prints(spark, sf)
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("key"), "text")
-    turns = materialise(text_fingerprints(spread_input(turns, "key"), ["key"]))
+    turns = materialise(text_fingerprints(spread_input(turns, "key"), ["key"], digest="md5"))
     rows = max(document_count(spark, sf), table(spark, sf, "conversations").count())
     copies = distinct_fingerprints(docs, WORDS, by=["source"])
     pairs = near_pairs(copies, distinct_fingerprints(turns, WORDS), words=WORDS, radius=RADIUS, rows=rows)
@@ -331,10 +331,10 @@ def line_leak_by_class(spark, sf):
     def build():
         docs = spread_input(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
         lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        prints = text_fingerprints(lines, ["doc_id", "line", "lang"], families={"fp2": 2})
+        prints = text_fingerprints(lines, ["doc_id", "line", "lang"], families={"fp2": 2}, digest="md5")
         return prints.where(F.col("fp2").isNotNull()).withColumn("split", split_by_digest(F.col("doc_id"), "split", 7))
 
-    lines = kept(spark, sf, "lines", build)
+    lines = kept(spark, sf, "lines", build, of="documents")
     train, held = train_and_held(lines)
     near = nearest_within(held, train, words=["fp2"], radius=RADIUS, rows=lines.count(), ref_key="doc_id")
     counts = held.groupBy("lang", "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near.select("fp2", "distance"), "fp2", "left")

@@ -13,7 +13,7 @@ from leaksift.operators.rates import (agreement, band_summary, bounded_examples,
                                       cross_source_groups, curve, density, disagreement, duplicate_groups,
                                       fraction_buckets, group_coverage, group_profile, histogram,
                                       location_summary, source_split_counts, unmappable)
-from leaksift.queries.base import (DOCS, PREDICTIONS, WORDS, Registry, document_count, document_prints, ham,
+from leaksift.queries.base import (DOCS, PREDICTIONS, WORDS, Registry, document_count, document_digests, document_prints, ham,
                                    predictions, rounded, split_sql, table)
 
 registry = Registry()
@@ -35,7 +35,7 @@ SELECT lang, sum(n)::BIGINT n_rows, count(*) FILTER (WHERE n>1) n_groups,
  round(100.0::DOUBLE*(coalesce(sum(n) FILTER (WHERE n>1),0) - count(*) FILTER (WHERE n>1))/sum(n),9) extra_percent FROM g GROUP BY lang""")
 def exact_text_groups(spark, sf):
     """Groups of identical texts per class."""
-    docs = table(spark, sf, "documents").select("lang", F.md5("text").alias("digest"))
+    docs = document_digests(spark, sf).select("lang", "digest")
     return rounded(duplicate_groups(docs, ["digest"], ["lang"]), "extra_percent")
 
 
@@ -43,7 +43,7 @@ def exact_text_groups(spark, sf):
 FROM documents GROUP BY 1 HAVING count(DISTINCT source)>=2""")
 def cross_source_text_groups(spark, sf):
     """Identical texts seen in two or more sources."""
-    docs = table(spark, sf, "documents").select("source", F.md5("text").alias("digest"))
+    docs = document_digests(spark, sf).select("source", "digest")
     return cross_source_groups(docs, ["digest"], "source")
 
 
@@ -53,7 +53,7 @@ r AS (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) r FRO
 SELECT h AS digest, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS examples FROM r WHERE r<=3 GROUP BY h""")
 def duplicate_examples(spark, sf):
     """First three members of every group of identical texts."""
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
+    docs = document_digests(spark, sf).select("doc_id", "digest")
     many = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("digest")
     found = bounded_examples(docs.join(many, "digest", "left_semi"), ["digest"], "doc_id", 3)
     return found.select("digest", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))

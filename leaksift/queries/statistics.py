@@ -112,7 +112,15 @@ def rate_tests(spark, sf):
     return g.join(first, F.lit(True)).where(F.col("lang") != F.col("_f.lang")).select("lang", r9(z).alias("z"))
 
 
-@registry.add(None)
+_TAIL_STEPS, _TAIL_REACH = 4000, 12.0
+
+
+@registry.add(f"""{_USERS}, t AS (SELECT sum(n) tn, sum(k) tk FROM g),
+q AS (SELECT user_id, k::DOUBLE k1, n::DOUBLE n1, (tk-k)::DOUBLE k2, (tn-n)::DOUBLE n2, (tk::DOUBLE/tn) pool FROM g, t),
+z AS (SELECT user_id, (k1/n1-k2/n2)/sqrt(pool*(1-pool)*(1/n1+1/n2)) z FROM q),
+a AS (SELECT user_id, z, i, abs(z)+i*{_TAIL_REACH}/{_TAIL_STEPS} x FROM z, (SELECT unnest(range({_TAIL_STEPS}+1)) i))
+SELECT user_id, round(z,9) z, round(2*sum(exp(-x*x/2)*CASE WHEN i IN (0,{_TAIL_STEPS}) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*{_TAIL_REACH}/{_TAIL_STEPS}/3/sqrt(2*pi()),9) p
+FROM a GROUP BY user_id, z""")
 def rate_test_p(spark, sf):
     """Two-sided p-values of error rates per user against all other users."""
     users = _user_rates(spark, sf)

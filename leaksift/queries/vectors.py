@@ -79,7 +79,15 @@ def wide_hashes(spark, sf):
     return rounded(_wide(items, ["vec_id", "quality"]), "quality")
 
 
-@registry.add(None)
+_QUANTISED = "list_transform(embedding, lambda x: round(x::DOUBLE*90)/90)"
+_COPY_PLANES = (_PLANES.replace("embedding[j]::DOUBLE", "v[j]").replace("FROM embeddings, sg", f"FROM (SELECT vec_id, {_QUANTISED} v FROM embeddings), sg")
+                .replace("pj AS", "pj2 AS").replace("FROM pj ", "FROM pj2 ").replace("wd AS", "wd2 AS").replace("FROM wd ", "FROM wd2 ").replace("wide AS", "copy AS"))
+_COPY_PLANES = _COPY_PLANES[_COPY_PLANES.index("pj2 AS"):]
+_GAP = "+".join(f"bit_count(xor(c.w{i},o.w{i}))::INTEGER" for i in range(4))
+
+
+@registry.add(f"""WITH {_PLANES}, {_COPY_PLANES}, d AS (SELECT c.vec_id, o.vec_id AS near, ({_GAP})::INTEGER AS distance FROM copy c JOIN wide o ON {_GAP}<=12)
+SELECT copy.vec_id, min(d.distance) AS distance, arg_min(d.near, d.distance*1000000000+d.near) AS nearest FROM copy LEFT JOIN d USING (vec_id) GROUP BY 1""")
 def wide_nearest(spark, sf):
     """Nearest original of lightly quantised copies over 256-bit hashes, within 12 bits."""
     base = _vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
@@ -103,7 +111,7 @@ def _copies(spark, sf):
         return base.select("vec_id", "label", gradient_hash(F.col("_v")).alias("original"),
                            gradient_hash(F.transform("_v", lambda x: F.round(x * 40) / 40)).alias("copy"))
 
-    both = kept(spark, sf, "copies", build)
+    both = kept(spark, sf, "copies", build, of="embeddings")
     return (both.select("vec_id", "label", F.col("original").alias("dhash")),
             both.select("vec_id", "label", F.col("copy").alias("dhash")))
 
@@ -235,16 +243,19 @@ SELECT a, b, x.text=y.text AS identical FROM p JOIN documents x ON x.doc_id=a JO
 def identical_matches(spark, sf):
     """Whether an exact fingerprint match is also byte-identical."""
     from leaksift.operators.lookups import exact_matches
-    from leaksift.queries.base import WORDS, document_count, document_prints, train_and_held
+    from leaksift.operators.skew import salted_lookup
+    from leaksift.queries.base import WORDS, document_count, document_digests, document_prints, train_and_held
 
     train, held = train_and_held(document_prints(spark, sf))
     found = exact_matches(held, train, on=WORDS, item="doc_id", ref_key="doc_id", group="source",
                           rows=document_count(spark, sf)).select(
         F.col("doc_id").alias("a"), F.col("first_match").alias("b"))
-    docs = table(spark, sf, "documents")
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"))
-    return found.join(left, "a").join(right, "b").select("a", "b", byte_identical(F.col("_x"), F.col("_y")).alias("identical"))
+    # Digests and sizes are joined, not texts; copies of one text share their match, so it is looked up split.
+    docs = document_digests(spark, sf)
+    left = docs.select(F.col("doc_id").alias("a"), F.col("digest").alias("_dx"), F.col("size").alias("_sx"))
+    right = docs.select(F.col("doc_id").alias("b"), F.col("digest").alias("_dy"), F.col("size").alias("_sy"))
+    same = (F.col("_dx") == F.col("_dy")) & (F.col("_sx") == F.col("_sy"))
+    return salted_lookup(found.join(left, "a"), right, ["b"], ["a"], "inner").select("a", "b", same.alias("identical"))
 
 
 QUERIES, SQL = registry.queries, registry.sql
