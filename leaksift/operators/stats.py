@@ -24,6 +24,7 @@ from leaksift.operators.ranks import average_rank, ordinal_rank
 from leaksift.operators.skew import hash_rank, quota_sample, running_total
 
 BOARD_EDGES = 64
+CLUSTER_REPS, PAIRED_REPS, NULL_TRIALS, RANK_REPS = 20_000, 10_000, 1_000, 1_000
 
 
 # --- means and contrasts -----------------------------------------------------
@@ -147,7 +148,7 @@ def bootstrap_sums(groups: DataFrame, group: str, reps: int, seed: str, sums: Se
             .agg(*[F.sum(s).alias(s) for s in sums]))
 
 
-def cluster_rates(groups: DataFrame, group: str, reps: int, seed: str) -> DataFrame:
+def cluster_rates(groups: DataFrame, group: str, reps: int = CLUSTER_REPS, seed: str = "boot") -> DataFrame:
     """Replicate rates of a cluster bootstrap over per-group (``n``, ``k``); no rows counts as rate 0."""
     return bootstrap_sums(groups, group, reps, seed, ["n", "k"]).select(
         "rep", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0).alias("rate"))
@@ -218,7 +219,7 @@ def leave_top_out(groups: DataFrame, group: str, most: int = 3) -> DataFrame:
     return left.withColumn("rate", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.0))
 
 
-def paired_bootstrap(deltas: DataFrame, team: str, delta: str, reps: int, seed: str,
+def paired_bootstrap(deltas: DataFrame, team: str, delta: str, reps: int = PAIRED_REPS, seed: str = "pair",
                      by: Sequence[str] = ()) -> DataFrame:
     """Percentile interval of the mean of team deltas."""
     ones = deltas.select(*by, team, F.col(delta).alias("_d"), F.lit(1).alias("_one"))
@@ -378,7 +379,7 @@ def agreement_errors(rows: DataFrame, by: Sequence[str], x: str, y: str) -> Data
 
 # --- nulls and rank uncertainty ----------------------------------------------
 
-def random_memberships(items: DataFrame, key: str, trials: int, seed: str, size: int | None = None,
+def random_memberships(items: DataFrame, key: str, trials: int = NULL_TRIALS, seed: str = "null", size: int | None = None,
                        targets: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Seeded subsets: ``trial`` and ``key``; one size, or ``targets`` per class."""
     trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
@@ -425,7 +426,7 @@ def attributable(observed: DataFrame, null: DataFrame) -> DataFrame:
         (o - F.col("mean_delta_high")).alias("low"), (o - F.col("mean_delta_low")).alias("high"))
 
 
-def resample_weights(items: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
+def resample_weights(items: DataFrame, key: str, reps: int = RANK_REPS, seed: str = "boot") -> DataFrame:
     """How often each item is drawn in each of ``reps`` resamples: ``rep``, ``key``, ``weight``."""
     numbered = hash_rank(items.select(key), [key], (), seed, "_at")
     size = items.agg(F.count(F.lit(1)).alias("_size"))

@@ -19,7 +19,8 @@ from leaksift.queries.metrics import combined_sql, scored
 from leaksift.session import materialise
 
 registry = Registry()
-BOOT, NULLS, RANKS = 200, 12, 10
+# Replicates that the SQL can repeat in its time; the library's defaults are larger.
+BOOT, PAIRS, NULLS, RANKS = 2_000, 10_000, 40, 40
 
 # --- runs: (arm, seed) means of line items ---------------------------------------
 
@@ -182,12 +183,12 @@ def _deltas_sql(groups):
 
 
 @registry.add(f"""WITH {_deltas_sql(40)}, num AS (SELECT *, row_number() OVER (ORDER BY md5('pair:'||team), team) pos, count(*) OVER () c FROM d),
-draws AS (SELECT rep, {index_sql('c', "'pair'", 'rep', 'pos')}+1 AS pos FROM num, (SELECT unnest(range({BOOT})) rep)),
+draws AS (SELECT rep, {index_sql('c', "'pair'", 'rep', 'pos')}+1 AS pos FROM num, (SELECT unnest(range({PAIRS})) rep)),
 m AS (SELECT rep, avg(delta) m FROM draws JOIN num USING (pos) GROUP BY 1)
 SELECT round(avg(m),6) boot_mean, round(median(m),6) boot_median, round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.975),6) high FROM m""")
 def paired_delta_bootstrap(spark, sf):
     """Percentile interval of the mean of paired differences."""
-    out = paired_bootstrap(_deltas(spark, sf, 40), "team", "delta", BOOT, "pair")
+    out = paired_bootstrap(_deltas(spark, sf, 40), "team", "delta", PAIRS, "pair")
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

@@ -87,7 +87,7 @@ _GAP = "+".join(f"bit_count(xor(c.w{i},o.w{i}))::INTEGER" for i in range(4))
 
 
 @registry.add(f"""WITH {_PLANES}, {_COPY_PLANES}, d AS (SELECT c.vec_id, o.vec_id AS near, ({_GAP})::INTEGER AS distance FROM copy c JOIN wide o ON {_GAP}<=12)
-SELECT copy.vec_id, min(d.distance) AS distance, arg_min(d.near, d.distance*1000000000+d.near) AS nearest FROM copy LEFT JOIN d USING (vec_id) GROUP BY 1""")
+SELECT copy.vec_id, min(d.distance) AS distance, arg_min(d.near, d.distance::BIGINT*1000000000+d.near) AS nearest FROM copy LEFT JOIN d USING (vec_id) GROUP BY 1""")
 def wide_nearest(spark, sf):
     """Nearest original of lightly quantised copies over 256-bit hashes, within 12 bits."""
     base = _vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
