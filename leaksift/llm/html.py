@@ -390,10 +390,13 @@ def _layout(rng: random.Random, long: list[str], short: list[str]) -> str:
     return f"<html><head><title>x</title></head><body>{''.join(before)}{body}{''.join(after)}{end}</body></html>"
 
 
-def fitted(pages: DataFrame, key: str, html: str, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> Trees | None:
+def fitted(pages: DataFrame, html: str, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 5) -> Trees | None:
     """Trees fitted on layouts around the texts of at most ``sample`` pages, chosen in seeded order."""
-    chosen = (pages.where(F.col(html).isNotNull()).select(F.xxhash64(F.lit(seed), key, html).alias("_o"), F.substring(html, 1, 200_000).alias("_h"))
-              .orderBy("_o", "_h").limit(sample))
+    # Only digests are ordered; the few pages they name are then read, so no task sends pages it is not asked for.
+    mark = F.xxhash64(F.lit(seed), F.col(html))
+    named = pages.where(F.col(html).isNotNull()).select(mark.alias("_o")).distinct().orderBy("_o").limit(sample)
+    chosen = (pages.select(mark.alias("_o"), F.substring(html, 1, 200_000).alias("_h")).join(F.broadcast(named), "_o")
+              .groupBy("_o").agg(F.first("_h").alias("_h")))
     texts = sorted({t for r in chosen.collect() for _, t, _ in Page(r["_h"]).blocks})
     if not texts:
         return None
@@ -431,7 +434,7 @@ def extract(htmls: list[str | None], trees: Trees | None) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars`` (code points); every row kept.
 
     A null or empty page, and one without text, gives an empty text and 0.
@@ -440,7 +443,7 @@ def main_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     Equal pages give equal texts; an empty table gives an empty one. A column
     called ``text`` or ``n_chars`` is replaced.
     """
-    trees = fitted(pages, key, html)
+    trees = fitted(pages, html)
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("string")
