@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = materialise(texts)
     kept = texts.select("digest", F.inline("suffixes"))
     often = kept.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("kmer", (F.col("_n") > hot).alias("hot"))
-    shared = salted_lookup(kept, often, ["kmer"], ["digest", "at"], "inner")
+    shared = salted_lookup(kept, often, ["kmer"], ["digest", "at"], "inner", rows_per_task=hot)
     per_text = (shared.groupBy("digest").agg(F.collect_list(F.struct("kmer", "hot", "at", "first", "last")).alias("kept"))
                 .join(texts.select("digest", "least_key"), "digest"))
     body = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_digest"))
