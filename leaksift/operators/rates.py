@@ -41,6 +41,25 @@ def threshold_counts(rows: DataFrame, distance: str, thresholds: Sequence[int],
     return long.withColumn("ci_low", low).withColumn("ci_high", high)
 
 
+def censored_median(rows: DataFrame, distance: str, by: Sequence[str] = (), weight: str | None = None, out: str = "median_distance") -> DataFrame:
+    """Median of an integer distance that is null beyond a radius: exact where the middle rows lie within it, else null.
+
+    Rows are counted per distance first, so a window sees one row per distance.
+    """
+    by, one = list(by), F.col(weight) if weight else F.lit(1)
+    counts = rows.groupBy(*by, distance).agg(F.sum(one).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy(F.col(distance).asc_nulls_last())
+    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+
+    def middle(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") >= place, F.col(distance)))
+
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    found = placed.groupBy(*by).agg(middle(low).alias("_low"), middle(high).alias("_high"), F.max(high).alias("_place"),
+                                    F.max(F.when(F.col(distance).isNotNull(), F.col("_upto")).otherwise(0)).alias("_known"))
+    return found.select(*by, F.when(F.col("_known") >= F.col("_place"), (F.col("_low") + F.col("_high")) / 2).alias(out))
+
+
 def histogram(rows: DataFrame, value: str, edges: Sequence[float], by: Sequence[str] = (),
               weight: str | None = None, outside: str = "outside") -> DataFrame:
     """Counts per half-open bin named ``lo,hi`` (last bin closed); nulls and others under ``outside``."""

@@ -11,7 +11,7 @@ from leaksift.operators.checks import concat_all
 from leaksift.operators.fingerprints import distinct_fingerprints, text_fingerprints
 from leaksift.operators.lookups import exact_matches, exact_membership, passage_hits
 from leaksift.operators.pairs import flagged_fingerprints, near_pairs, nearest_within
-from leaksift.operators.rates import histogram, leak_rate, threshold_counts, touched_rows
+from leaksift.operators.rates import censored_median, histogram, leak_rate, threshold_counts, touched_rows
 from leaksift.operators.skew import salted_lookup
 from leaksift.plans.audit import leakage_audit
 from leaksift.queries.base import (DOCS, RADIUS, WORDS, Registry, document_count, document_prints, ham, kept,
@@ -153,33 +153,59 @@ c AS (SELECT lang, t::INTEGER threshold, count(*) n, count(*) FILTER (WHERE d<=t
 SELECT lang, n, threshold, k, round(k/n,9) rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM c"""
 
 
-@registry.add(_LADDER_SQL)
+def _median_sql(d: str, radius: int) -> str:
+    """Median of a distance that is null beyond the radius; null where a middle row is."""
+    nth = lambda at: f"list_sort(list(coalesce({d},{radius + 1})))[{at}]"
+    low, high = nth("((count(*)+1)//2)::INTEGER"), nth("(count(*)//2+1)::INTEGER")
+    return f"CASE WHEN {high}<={radius} THEN ({low}+{high})/2.0::DOUBLE END"
+
+
+@registry.add(_LADDER_SQL.replace("\nSELECT lang, n,", f",\nmd AS (SELECT lang, {_median_sql('d', 10)} AS median_distance FROM d GROUP BY 1)\nSELECT lang, n,")
+              .replace("AS ci_high FROM c", "AS ci_high, median_distance FROM c JOIN md USING (lang)"))
 def train_val_leak_by_class(spark, sf):
-    return leak_ladder(spark, sf)
+    """Leak rates per radius and class, with the median distance where it lies within radius 10."""
+    train, held = train_and_held(document_prints(spark, sf))
+    near = nearest_within(held, train, words=["fp2"], radius=10, rows=document_count(spark, sf), ref_key="doc_id")
+    counts = held.groupBy("lang", "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near.select("fp2", "distance"), "fp2", "left")
+    return leak_ladder(spark, sf).join(censored_median(counts, "distance", ["lang"], "_n"), "lang")
 
 
 @registry.add(f"""{DOCS},
-x AS (SELECT v.doc_id, v.source, (SELECT count(*)>0 FROM tr t WHERE t.source=v.source AND {_A}<=6) near,
-  (SELECT count(*)>0 FROM tr t WHERE t.source=v.source AND {_A}<=6 AND {_B}<=6) joint FROM va v),
+x AS (SELECT v.doc_id, v.source, (SELECT min({_A}) FROM tr t WHERE t.source=v.source AND {_A}<=6) da, (SELECT min({_B}) FROM tr t WHERE t.source=v.source AND {_B}<=6) db,
+  (SELECT count(*)>0 FROM tr t WHERE t.source=v.source AND {_A}<=6 AND {_B}<=6) joint,
+  EXISTS (SELECT 1 FROM tr t WHERE t.source=v.source AND 'doc_'||(t.doc_id%300)='doc_'||(v.doc_id%300)) named FROM va v),
 n AS (SELECT source, count(*) n_train FROM tr GROUP BY 1)
-SELECT x.source, max(n_train) n_train, count(*) n_held, count(*) FILTER (WHERE near) k_near, count(*) FILTER (WHERE joint) k_joint,
- round(count(*) FILTER (WHERE joint)/count(*),9) joint_rate FROM x JOIN n USING (source) GROUP BY 1""")
+SELECT x.source, max(n_train) n_train, count(*) n_held, count(da) k_near, count(*) FILTER (WHERE joint) k_joint,
+ round(count(*) FILTER (WHERE joint)/count(*),9) joint_rate, count(*) FILTER (WHERE da=0) k_zero, round(count(*) FILTER (WHERE da=0)/count(*),9) zero_rate,
+ count(*) FILTER (WHERE da IS NOT NULL AND db IS NOT NULL) k_independent, count(*) FILTER (WHERE named) n_named,
+ {_median_sql('da', 6)} AS median_fp2, {_median_sql('db', 6)} AS median_fp3 FROM x JOIN n USING (source) GROUP BY 1""")
 def internal_leak_by_source(spark, sf):
-    """Leaks between the splits of one and the same source: one-word and same-row counts."""
+    """Leaks between the splits of one and the same source: within the radius in one word, both, or both in one row; equal;
+    names that occur on both sides; and medians where they lie within the radius."""
     prints = document_prints(spark, sf)
     train, held = train_and_held(prints)
     rows = document_count(spark, sf)
-    near = nearest_within(held, train, words=["fp2"], radius=RADIUS, rows=rows, ref_key="doc_id", on=["source"])
+    near = {w: nearest_within(held, train, words=[w], radius=RADIUS, rows=rows, ref_key="doc_id", on=["source"])
+            .select("source", w, F.col("distance").alias(f"_d_{w}")) for w in WORDS}
     joint = flagged_fingerprints(held, train, "same_row", words=WORDS, radius=RADIUS, rows=rows,
                                  ref_key="doc_id", on=["source"])
-    counts = (held.groupBy("source", *WORDS).agg(F.count(F.lit(1)).alias("_n"))
-              .join(near.select("source", "fp2", "distance"), ["source", "fp2"], "left")
-              .join(joint.withColumn("_joint", F.lit(True)), ["source", *WORDS], "left"))
+    counts = materialise(held.groupBy("source", *WORDS).agg(F.count(F.lit(1)).alias("_n"))
+                         .join(near["fp2"], ["source", "fp2"], "left").join(near["fp3"], ["source", "fp3"], "left")
+                         .join(joint.withColumn("_joint", F.lit(True)), ["source", *WORDS], "left"))
     sizes = train.groupBy("source").agg(F.count(F.lit(1)).alias("n_train"))
+    some = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    a, b = F.col("_d_fp2"), F.col("_d_fp3")
     out = counts.groupBy("source").agg(
-        F.sum("_n").alias("n_held"), F.sum(F.when(F.col("distance").isNotNull(), F.col("_n")).otherwise(0)).alias("k_near"),
-        F.sum(F.when(F.col("_joint"), F.col("_n")).otherwise(0)).alias("k_joint"))
-    return rounded(sizes.join(out, "source").withColumn("joint_rate", F.col("k_joint") / F.col("n_held")), "joint_rate")
+        F.sum("_n").alias("n_held"), some(a.isNotNull()).alias("k_near"), some(F.col("_joint")).alias("k_joint"),
+        some(a == 0).alias("k_zero"), some(a.isNotNull() & b.isNotNull()).alias("k_independent"))
+    name = F.concat(F.lit("doc_"), (F.col("doc_id") % 300).cast("string")).alias("_name")
+    named = (held.select("source", name).join(train.select("source", name).distinct(), ["source", "_name"], "left_semi")
+             .groupBy("source").agg(F.count(F.lit(1)).alias("n_named")))
+    out = out.join(named, "source", "left").withColumn("n_named", F.coalesce("n_named", F.lit(0).cast("bigint")))
+    for w in WORDS:
+        out = out.join(censored_median(counts, f"_d_{w}", ["source"], "_n", f"median_{w}"), "source")
+    out = sizes.join(out, "source").withColumn("joint_rate", F.col("k_joint") / F.col("n_held")).withColumn("zero_rate", F.col("k_zero") / F.col("n_held"))
+    return rounded(out, "joint_rate", "zero_rate")
 
 
 @registry.add(f"""{DOCS},
