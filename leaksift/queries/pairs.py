@@ -137,16 +137,23 @@ def cross_source_matrix(spark, sf):
             .agg(F.sum("_v").alias("item_pairs"), F.sum("_e").alias("exact_pairs")))
 
 
-def leak_ladder(spark, sf, by="lang", thresholds=LADDER):
-    """Held-out rows with a training neighbour within each radius, per class, with Wilson intervals."""
-    prints = document_prints(spark, sf)
-    train, held = train_and_held(prints)
-    near = nearest_within(held, train, words=["fp2"], radius=max(thresholds), rows=document_count(spark, sf),
+def _class_distances(spark, sf, by, radius):
+    """Held-out fingerprints per class with their rows and smallest training distance (null beyond the radius)."""
+    train, held = train_and_held(document_prints(spark, sf))
+    near = nearest_within(held, train, words=["fp2"], radius=radius, rows=document_count(spark, sf),
                           ref_key="doc_id").select("fp2", "distance")
-    counts = held.groupBy(by, "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near, "fp2", "left")
+    return held.groupBy(by, "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near, "fp2", "left")
+
+
+def _ladder(counts, by, thresholds):
     return rounded(threshold_counts(counts, "distance", thresholds, [by], "_n"), "rate", "ci_low", "ci_high")
 
 
+def leak_ladder(spark, sf, by="lang", thresholds=LADDER):
+    """Held-out rows with a training neighbour within each radius, per class, with Wilson intervals."""
+    return _ladder(_class_distances(spark, sf, by, max(thresholds)), by, thresholds)
+
+
 _LADDER_SQL = f"""{DOCS},
 d AS (SELECT v.doc_id, v.lang, min({ham('v.fp2', 't.fp2')}) d FROM va v LEFT JOIN tr t ON bit_count(xor(v.fp2,t.fp2))<=10 GROUP BY 1,2),
 c AS (SELECT lang, t::INTEGER threshold, count(*) n, count(*) FILTER (WHERE d<=t) k FROM d, (SELECT unnest([0,2,6,10]) t) GROUP BY 1,2)
@@ -164,10 +171,8 @@ def _median_sql(d: str, radius: int) -> str:
               .replace("AS ci_high FROM c", "AS ci_high, median_distance FROM c JOIN md USING (lang)"))
 def train_val_leak_by_class(spark, sf):
     """Leak rates per radius and class, with the median distance where it lies within radius 10."""
-    train, held = train_and_held(document_prints(spark, sf))
-    near = nearest_within(held, train, words=["fp2"], radius=10, rows=document_count(spark, sf), ref_key="doc_id")
-    counts = held.groupBy("lang", "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near.select("fp2", "distance"), "fp2", "left")
-    return leak_ladder(spark, sf).join(censored_median(counts, "distance", ["lang"], "_n"), "lang")
+    counts = materialise(_class_distances(spark, sf, "lang", max(LADDER)))
+    return _ladder(counts, "lang", LADDER).join(censored_median(counts, "distance", ["lang"], "_n"), "lang")
 
 
 @registry.add(f"""{DOCS},
