@@ -383,9 +383,12 @@ def pair_scores(pairs: DataFrame, vectors: DataFrame, *, left: str, right: str,
     their length is returned with the score.
     """
     from leaksift.functions.vectors import dot
+    from leaksift.operators.skew import salted_lookup
 
     a = vectors.select(F.col(key).alias(left), F.col(unit).alias("_ua"))
     b = vectors.select(F.col(key).alias(right), F.col(unit).alias("_ub"))
-    return (pairs.join(a, left).join(b, right)
+    # A row that many pairs name has its vector joined in parts; either side may hold such a row.
+    with_left = salted_lookup(pairs, a, [left], [right], "inner")
+    return (salted_lookup(with_left, b, [right], [left], "inner")
             .withColumn("score", dot(F.col("_ua"), F.col("_ub")))
             .withColumn("vector_length", F.size("_ua")).drop("_ua", "_ub"))

@@ -11,7 +11,7 @@ from leaksift.functions.vectors import centred_unit_vector, gradient_hash, plane
 from leaksift.operators.fingerprints import perturbation_robustness, perturbed, vector_fingerprints
 from leaksift.operators.pairs import flagged_fingerprints, nearest_within, pair_scores, random_non_matches
 from leaksift.operators.rates import location_summary
-from leaksift.operators.skew import quota_sample
+from leaksift.operators.skew import quota_sample, salted_lookup
 from leaksift.queries.base import DOCS, Registry, ham, index_sql, kept, rounded, table
 from leaksift.session import materialise
 from leaksift.sources.scans import spread_input
@@ -96,7 +96,7 @@ def wide_nearest(spark, sf):
     changed = materialise(_wide(copies, ["vec_id"]))
     words = [f"w{i}" for i in range(4)]
     near = nearest_within(changed, originals, words=words, radius=12, rows=base.count(), ref_key="vec_id")
-    return changed.join(near, words, "left").select("vec_id", "distance", "nearest")
+    return salted_lookup(changed, near, words, ["vec_id"]).select("vec_id", "distance", "nearest")
 
 
 _COPY = "list_transform(embedding, lambda x: round(x::DOUBLE*40)/40)"
@@ -122,7 +122,7 @@ def nearest_original(spark, sf):
     """Nearest original of every quantised copy within 10 bits."""
     original, copy = _copies(spark, sf)
     near = nearest_within(copy, original, words=["dhash"], radius=10, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
-    return copy.join(near, "dhash", "left").select("vec_id", "label", "distance", "nearest")
+    return salted_lookup(copy, near, ["dhash"], ["vec_id"]).select("vec_id", "label", "distance", "nearest")
 
 
 @registry.add(f"""{_COPIES}, d AS (SELECT q.label, q.vec_id, min({ham('q.dhash', 'o.dhash')}) d FROM q LEFT JOIN o ON bit_count(xor(q.dhash,o.dhash))<=12 GROUP BY 1,2)
@@ -131,7 +131,7 @@ def nn_hamming_by_label(spark, sf):
     """Distance of the quantised copies to their nearest original within 12 bits, per label; rows farther away are counted."""
     original, copy = _copies(spark, sf)
     near = nearest_within(copy, original, words=["dhash"], radius=12, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
-    joined = copy.join(near, "dhash", "left")
+    joined = salted_lookup(copy, near, ["dhash"], ["vec_id"])
     sizes = joined.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
     out = sizes.join(location_summary(joined, "distance", ["label"]), "label")
     return rounded(out.select("label", "n_rows", "n", "min", "max", "mean", "p50"), "mean")
@@ -243,7 +243,6 @@ SELECT a, b, x.text=y.text AS identical FROM p JOIN documents x ON x.doc_id=a JO
 def identical_matches(spark, sf):
     """Whether an exact fingerprint match is also byte-identical."""
     from leaksift.operators.lookups import exact_matches
-    from leaksift.operators.skew import salted_lookup
     from leaksift.queries.base import WORDS, document_count, document_digests, document_prints, train_and_held
 
     train, held = train_and_held(document_prints(spark, sf))

@@ -145,3 +145,19 @@ def test_non_matches_are_no_matches(spark):
     refs = spark.range(7).withColumnRenamed("id", "ref")
     got = random_non_matches(matches, refs, 500, item="item", matched="matched", ref_key="ref").join(matches, "item").collect()
     assert len(got) == 500 and all(r.ref != r.matched for r in got) and len({r.ref for r in got}) == 7
+
+
+def test_scores_of_pairs_that_share_one_popular_row(spark):
+    import leaksift.operators.skew as skew
+    from leaksift.operators.pairs import pair_scores
+
+    pairs = spark.range(2000).select(F.col("id").alias("a"), F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("b"))
+    vectors = spark.range(2000).select("id", F.array((F.col("id") % 5).cast("double"), F.lit(1.0)).alias("unit"))
+    want = sorted((r.a, r.b, float((r.a % 5) * (r.b % 5) + 1)) for r in pairs.collect())
+    limit = skew.salted_lookup.__defaults__
+    skew.salted_lookup.__defaults__ = ("left", 100, None)  # every key above a hundred rows is split
+    try:
+        got = pair_scores(pairs, vectors, left="a", right="b", key="id").collect()
+    finally:
+        skew.salted_lookup.__defaults__ = limit
+    assert sorted((r.a, r.b, r.score) for r in got) == want
