@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from leaksift.llm.boosting import Trees, boosted
 
 SAMPLE_PAGES = 256
+SAMPLE_CHARS = 200_000  # of each page of the sample that the trees are fitted on; pages are extracted whole
 LAYOUTS = 1000
 BATCH = 256
 
@@ -395,7 +396,7 @@ def fitted(pages: DataFrame, html: str, sample: int = SAMPLE_PAGES, layouts: int
     # Only digests are ordered; the few pages they name are then read, so no task sends pages it is not asked for.
     mark = F.xxhash64(F.lit(seed), F.col(html))
     named = pages.where(F.col(html).isNotNull()).select(mark.alias("_o")).distinct().orderBy("_o").limit(sample)
-    chosen = (pages.select(mark.alias("_o"), F.substring(html, 1, 200_000).alias("_h")).join(F.broadcast(named), "_o")
+    chosen = (pages.select(mark.alias("_o"), F.substring(html, 1, SAMPLE_CHARS).alias("_h")).join(F.broadcast(named), "_o")
               .groupBy("_o").agg(F.first("_h").alias("_h")))
     texts = sorted({t for r in chosen.collect() for _, t, _ in Page(r["_h"]).blocks})
     if not texts:
