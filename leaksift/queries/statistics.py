@@ -14,7 +14,7 @@ from leaksift.operators.stats import (agreement_errors, arm_means, attributable,
                                       random_memberships, rank_ranges, rank_replicates, rate_gap,
                                       ratio_bootstrap, resample_weights, signed_rank, spearman, t_interval,
                                       win_probabilities)
-from leaksift.queries.base import PREDICTIONS, Registry, index_sql, r9, rounded, table
+from leaksift.queries.base import PREDICTIONS, Registry, Z, index_sql, r9, rounded, table
 from leaksift.queries.metrics import combined_sql, scored
 from leaksift.session import materialise
 
@@ -154,7 +154,29 @@ def cluster_bootstrap_rate(spark, sf):
     return rounded(percentile_interval(rates, "rate"), "boot_mean", "boot_median", "low", "high")
 
 
-@registry.add(None)
+def _phi_sql(x):
+    """The normal distribution function by a Simpson sum from 0."""
+    return (f"(0.5+list_sum(list_transform(range(0,2001), lambda t: exp(-pow(({x})*t/2000.0,2)/2)*CASE WHEN t IN (0,2000) THEN 1.0 "
+            f"WHEN t%2=1 THEN 4.0 ELSE 2.0 END))*({x})/2000.0/3/sqrt(2*pi()))")
+
+
+_MID = "((lo+hi)/2)"
+
+
+def _bca_end_sql(z):
+    q = f"greatest(0.0,least(1.0,{_phi_sql(f'z0+(z0+({z}))/(1-a*(z0+({z})))')}))"
+    return f"(SELECT l[floor(p)::INTEGER+1]+(p-floor(p))*(l[least(floor(p)::INTEGER+2,len(l))]-l[floor(p)::INTEGER+1]) FROM (SELECT l, {q}*(len(l)-1) p FROM one))"
+
+
+@registry.add(f"""{_RATES.replace('WITH', 'WITH RECURSIVE', 1)}, pt AS (SELECT sum(k)/sum(n) rate, sum(n) tn, sum(k) tk FROM g),
+jk AS (SELECT CASE WHEN tn-n>0 THEN (tk-k)/(tn-n) ELSE 0 END::DOUBLE j FROM g, pt),
+mo AS (SELECT sum(pow(mu-j,3)) m3, sum(pow(mu-j,2)) m2 FROM jk, (SELECT avg(j) mu FROM jk)),
+be AS (SELECT count(*) FILTER (WHERE rates.rate<pt.rate) c, count(*) FILTER (WHERE rates.rate<pt.rate)/count(*) p FROM rates, pt),
+bi AS (SELECT 0 AS i, -8.0::DOUBLE lo, 8.0::DOUBLE hi UNION ALL SELECT i+1, CASE WHEN {_phi_sql(_MID)}<p THEN {_MID} ELSE lo END,
+ CASE WHEN {_phi_sql(_MID)}<p THEN hi ELSE {_MID} END FROM bi, be WHERE i<50),
+one AS (SELECT pt.rate, CASE WHEN c>0 THEN lo ELSE 0.0 END z0, CASE WHEN m2>0 THEN m3/(6*pow(m2,1.5)) ELSE 0.0 END a, (SELECT list_sort(list(rate)) FROM rates) l
+ FROM pt, mo, be, bi WHERE i=50)
+SELECT round(rate,9) rate, round(z0,9) z0, round(a,9) acceleration, round({_bca_end_sql(f'-{Z}')},9) bca_low, round({_bca_end_sql(f'{Z}')},9) bca_high FROM one""")
 def bca_rate(spark, sf):
     """Bias-corrected accelerated interval of the same rate."""
     users = materialise(_user_rates(spark, sf))
