@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,23 +25,31 @@ HEADLINE = (
 
 def main() -> None:
     from leaksift import build_session
+    from leaksift.queries.base import document_digests, document_prints
     from leaksift.queries.catalog import all_queries
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
-                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     queries = all_queries()
     names = sys.argv[1:] or HEADLINE
-    times = {}
+    times, shared = {}, {}
+    # What every query of texts needs is made once and timed apart; the queries then read it.
+    for name, build in (("fingerprints", document_prints), ("digests", document_digests)) if not sys.argv[1:] else ():
+        started = time.perf_counter()
+        build(spark, sf).count()
+        shared[name] = round(time.perf_counter() - started, 3)
     for name in names:
         started = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
+    total = sum(times.values()) + sum(shared.values())
+    print(json.dumps({"metric": "headline_total", "value": round(total, 3), "unit": "sec", "queries": times,
+                      "shared_text_tables": shared, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()
 
 
