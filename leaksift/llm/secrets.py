@@ -70,19 +70,20 @@ def part_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 def linked_parts(table: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts with a complementary part within ``scope`` code points: ``_key``, ``_text``, ``linked``.
 
-    Parts are dealt by (row, scope-sized slice of the text). A part meets those
-    that begin in its own slice and the two beside it, so no text, however
-    long, is compared with itself as a whole. Two parts complement each other
-    when their roles differ and at least one is a secret.
+    Parts are dealt by (row, scope-sized slice of the text). The gap is measured
+    from the nearer ends, so a part goes to the slices of its first and last
+    code point and the ones beside them and meets all that begin or end there:
+    no text, however long, is compared with itself as a whole. Two parts
+    complement each other when their roles differ and at least one is a secret.
     """
     roles = F.create_map(*[v for i, k in enumerate(KINDS) for v in (F.lit(i), F.lit(ROLE[k]))])
     rows = (table.where(F.size("parts") > 0).select("_key", "_text", F.concat("base", "parts").alias("_all")).dropDuplicates(["_key", "_text"])
             .select("_key", "_text", F.inline("_all")).withColumn("role", roles[F.col("kind")]))
-    weak = (rows.where(F.col("kind") >= len(BASE)).withColumn("_slot", F.floor(F.col("start") / scope))
-            .withColumn("slice", F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1))).drop("_slot"))
-    # A part reaches from its first to its last slice, so long parts meet those near their end too.
+    first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    weak = rows.where(F.col("kind") >= len(BASE)).withColumn("slice", F.explode(F.array_distinct(F.array(first - 1, first, last, last + 1))))
+    # What ends before a part is met by its end, what follows it by its start.
     near = rows.select("_key", "_text", F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"),
-                       F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("slice"))
+                       F.explode(F.array_distinct(F.array(first, last))).alias("slice"))
     meet = weak.join(near, [weak["_key"].eqNullSafe(near["_key"]), weak["_text"] == near["_text"], weak["slice"] == near["slice"]])
     gap = F.greatest(F.col("start2") - F.col("end"), F.col("start") - F.col("end2"))
     kept = meet.where((gap >= 0) & (gap <= scope) & (F.col("role") != F.col("role2"))

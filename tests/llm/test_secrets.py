@@ -1,6 +1,7 @@
 """Secret scans against Python's own pattern search."""
 
 import hashlib
+import random
 import re
 
 from leaksift.llm import secrets
@@ -66,3 +67,28 @@ def test_redaction_keeps_rows_columns_and_clean_text(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.secret_digest(secrets.secret_spans(docs)).collect() == []
+
+
+def test_links_equal_a_comparison_of_all_pairs(spark):
+    rng = random.Random(3)
+    role = [secrets.ROLE[k] for k in secrets.KINDS]
+
+    def gap(a, b):
+        return max(b[0] - a[2], a[0] - b[2])
+
+    rows = [(0, [], [(150, 6, 214), (410, 4, 430)]), (1, [], [(0, 6, 405), (410, 3, 418)])]
+    for d in (199, 200, 201):  # both sides of a part longer than the scope, at every place in a slice
+        rows += [(len(rows) + i, [], [(500 + i, 5, 950 + i), (950 + i + d, 3, 960 + i + d), (490 + i - d, 4, 500 + i - d)]) for i in range(0, 200, 7)]
+    for _ in range(60):
+        spans = [(s := rng.randint(0, 3000), rng.randrange(7), s + rng.choice((6, 30, 100, 199, 200, 201, 450, 900))) for _ in range(25)]
+        rows.append((len(rows), [x for x in spans if x[1] < 3], [x for x in spans if x[1] >= 3]))
+    rows = [(k, k, base, parts) for k, (_, base, parts) in enumerate(rows)]
+    table = spark.createDataFrame(rows, f"_key long, _text long, base {secrets.SPAN}, parts {secrets.SPAN}")
+    got = {r._key: [tuple(x) for x in r.linked] for r in secrets.linked_parts(table).collect()}
+    want = {}
+    for k, _, base, parts in rows:
+        linked = sorted({a for a in parts for b in base + parts if 0 <= gap(a, b) <= 200 and role[a[1]] != role[b[1]]
+                         and "secret" in (role[a[1]], role[b[1]])})
+        if linked:
+            want[k] = linked
+    assert got == want and got[0] == rows[0][3] and got[1] == rows[1][3]
