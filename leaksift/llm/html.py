@@ -62,6 +62,8 @@ _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+# Lower case can be longer than the text itself, so the text is searched, with ASCII letters of either case.
+_RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in RAW}
 MARK = "x-main"
 
 GROUPS = len(WORDS)
@@ -83,7 +85,7 @@ class Page:
         node, never, inside_link = 0, 0, 0
         run: list[str] = []
         linked = 0
-        at, low = 0, None
+        at = 0
 
         def flush() -> None:
             nonlocal linked
@@ -145,10 +147,8 @@ class Page:
                     never += name in NEVER
                     inside_link += name == "a"
                     if name in RAW:
-                        if low is None:
-                            low = html.lower()
-                        end = low.find("</" + name, at)
-                        at = len(html) if end < 0 else end
+                        end = _RAW_END[name].search(html, at)
+                        at = end.start() if end else len(html)
                 continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:

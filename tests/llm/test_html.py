@@ -71,6 +71,12 @@ def test_parsing_of_odd_markup():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+@pytest.mark.parametrize("name", sorted(html.RAW))
+def test_raw_elements_end_after_letters_that_grow_in_lower_case(name):
+    blocks = [t for _, t, _ in html.Page(f"<body><p>{'İ' * 20}stanbul</p><{name}>x < İ</{name.upper()}><article>text İ</article><p>end</p></body>").blocks]
+    assert blocks == ["İ" * 20 + "stanbul", "text İ", "end"]
+
+
 def test_decoding_is_consistent():
     page = html.Page("<div><p>a</p><p>b</p></div><section><p>c</p></section>")
     # The section is surely none of the article: its paragraph goes with it, whatever is said of it.
