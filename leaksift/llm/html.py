@@ -59,7 +59,9 @@ WORDS = (
 _WORD_GROUP = {w: i for i, group in enumerate(WORDS) for w in group}
 _TOKEN = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I | re.A)
+_HIDING = re.compile(r"(?:\A|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|\Z)", re.I | re.A)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 # Lower case can be longer than the text itself, so the text is searched, with ASCII letters of either case.
@@ -70,6 +72,18 @@ GROUPS = len(WORDS)
 NODE_FEATURES = len(TAGS) * 2 + GROUPS * 2 + 24
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether attributes hide their element: ``hidden``, ``aria-hidden=true``, or a style of display none or visibility hidden."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for found in _ATTRIBUTE.finditer(attrs):
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if (name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true")
+                or (name == "style" and _HIDING.search(value))):
+            return True
+    return False
+
+
 class Page:
     """Block elements of one page in document order, and its text blocks."""
 
@@ -175,7 +189,7 @@ class Page:
             tokens = [t for value in _ATTR.findall(attrs) for t in _TOKEN.findall(value.lower())]
             groups = tuple(sorted({_WORD_GROUP[t] for t in tokens if t in _WORD_GROUP}
                                   | {_WORD_GROUP[t[:-1]] for t in tokens if t[:-1] in _WORD_GROUP and t not in _WORD_GROUP}))
-            hidden, marked = bool(_HIDDEN.search(attrs)), MARK in attrs
+            hidden, marked = is_hidden(attrs), MARK in attrs
         self.words.append(groups)
         self.hidden.append(hidden)
         self.marked.append(marked)
@@ -308,6 +322,9 @@ def decoded(page: Page, odds: np.ndarray) -> list[bool]:
 
 # --- layouts for fitting -------------------------------------------------------
 
+SHOWN = (' style="overflow:hidden"', ' aria-hidden="false"', ' data-state="hidden"', ' style="backface-visibility:hidden"')
+
+
 def _layout(rng: random.Random, long: list[str], short: list[str]) -> str:
     """One page around given texts; article blocks carry ``MARK``."""
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
@@ -315,13 +332,15 @@ def _layout(rng: random.Random, long: list[str], short: list[str]) -> str:
     tell = lambda: esc(rng.choice(long))
     named = lambda *names: rng.choice(("class", "id")) + f'="{rng.choice(names)}{rng.choice(("", "", "-1", " wide", "-inner"))}"'
     plain = rng.random() < 0.12  # a site that names nothing
+    # Attributes that speak of hiding and hide nothing, on blocks of every kind.
+    shown = lambda: rng.choice(SHOWN) if rng.random() < 0.1 else ""
 
     def box(tag: str, body: str, *names: str) -> str:
         if plain and tag in ("nav", "aside", "footer", "header", "div", "section"):
-            return f"<div>{body}</div>"
+            return f"<div{shown()}>{body}</div>"
         if rng.random() < 0.5 and tag != "div":
-            return f"<{tag}>{body}</{tag}>"
-        return f"<div {named(*names)}>{body}</div>" if rng.random() < 0.7 else f"<{tag} {named(*names)}>{body}</{tag}>"
+            return f"<{tag}{shown()}>{body}</{tag}>"
+        return f"<div {named(*names)}{shown()}>{body}</div>" if rng.random() < 0.7 else f"<{tag} {named(*names)}{shown()}>{body}</{tag}>"
 
     def links(n: int) -> str:
         items = "".join(f'<li><a href="/{i}">{say()[:rng.randint(4, 40)]}</a></li>' for i in range(n))
@@ -353,7 +372,7 @@ def _layout(rng: random.Random, long: list[str], short: list[str]) -> str:
         if kind < 0.75:
             inner = tell() if rng.random() < (0.05 if tiny else 0.8) else say()
             inner = f"<b>{inner}<br>" if rng.random() < 0.1 else inner
-            return f"<p {MARK}>{inner}" + ("</p>" if rng.random() < 0.9 else "")
+            return f"<p {MARK}{shown()}>{inner}" + ("</p>" if rng.random() < 0.9 else "")
         if kind < 0.82:
             return f"<h{rng.randint(2, 4)} {MARK}>{say()[:60]}</h2></h3></h4>"
         if kind < 0.89:
@@ -382,7 +401,7 @@ def _layout(rng: random.Random, long: list[str], short: list[str]) -> str:
     else:
         body = f"<div>{body}</div>"
     if rng.random() < 0.3:
-        body = f"<div {named('container', 'wrapper', 'page', 'row', 'layout')}>{body}</div>"
+        body = f"<div {named('container', 'wrapper', 'page', 'row', 'layout')}{shown()}>{body}</div>"
     before = [part() for part, chance in ((header, 0.5), (nav, 0.8), (notice, 0.25), (ad, 0.35), (side, 0.15), (form, 0.1)) if rng.random() < chance]
     after = [part() for part, chance in ((comments, 0.3), (side, 0.35), (ad, 0.2), (form, 0.2), (nav, 0.1), (notice, 0.15)) if rng.random() < chance]
     rng.shuffle(before)

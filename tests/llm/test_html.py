@@ -77,6 +77,23 @@ def test_raw_elements_end_after_letters_that_grow_in_lower_case(name):
     assert blocks == ["İ" * 20 + "stanbul", "text İ", "end"]
 
 
+SHOWN = ("style='overflow:hidden'", "aria-hidden=false", "class='hidden-print'", "data-state=hidden", 'title="hidden, style=\'display:none\'"',
+         "style='overflow-x: hidden; color:red'", "style='backface-visibility:hidden'", "data-style='display:none'", "style='display:none-such'")
+HIDDEN = ("hidden", "HIDDEN=''", "class=x hidden", "aria-hidden='True'", "aria-hidden=true", "style='display : none'", "style=display:none",
+          'style="color:red; DISPLAY:none !important"', "style='visibility:hidden;'", 'id=a style="overflow:hidden;visibility: hidden"')
+
+
+def test_only_what_is_hidden_counts_as_hidden():
+    for attrs in SHOWN + HIDDEN:
+        assert html.Page(f"<div {attrs}>text</div>").hidden == [False, attrs in HIDDEN], attrs
+    for attrs in SHOWN:
+        page = html.Page(f"<article><p>a</p><p {attrs}>b</p><div {attrs}><p>c</p></div></article>")
+        assert html.decoded(page, np.full(len(page.tag), 3.0)) == [True] * 3, attrs
+    rng = random.Random(2)
+    made = "".join(html._layout(rng, [PROSE], ["short"]) for _ in range(100))
+    assert all(s in made for s in html.SHOWN)
+
+
 def test_decoding_is_consistent():
     page = html.Page("<div><p>a</p><p>b</p></div><section><p>c</p></section>")
     # The section is surely none of the article: its paragraph goes with it, whatever is said of it.
