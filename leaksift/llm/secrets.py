@@ -24,11 +24,12 @@ ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"  # runs of 20 characters and more; a shorter run holds no longer one
 HEX = "[0-9a-f]{24,}"
 
-# Parts that count only together.
-LOGIN = r"(?i)\b(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}"
+# Parts that count only together. A name may follow an underscore (DB_USER), no letter or digit.
+LOGIN = r"(?i)(?<![\p{L}\p{N}])(?:user(?:name|_?id)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}"
 ENDPOINT = r"(?i)\b(?:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}|(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?)"
-WEAK = r"(?i)\b(?:pwd|pass|passphrase|auth|bearer|credential|private_?key|signature)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}"
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,80}[0-9])(?=[A-Za-z0-9+/_=-]{0,80}[A-Z])(?=[A-Za-z0-9+/_=-]{0,80}[a-z])[A-Za-z0-9+/_=-]{20,}"
+WEAK = r"(?i)(?<![\p{L}\p{N}])(?:pwd|pass|passphrase|auth|bearer|credential|private_?key|signature)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}"
+# Each look-ahead ends at the first character of its class, so a token of any length is read a fixed number of times.
+MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "login", "endpoint", "weak", "mixed")
 BASE = KINDS[:3]

@@ -92,3 +92,13 @@ def test_links_equal_a_comparison_of_all_pairs(spark):
         if linked:
             want[k] = linked
     assert got == want and got[0] == rows[0][3] and got[1] == rows[1][3]
+
+
+def test_names_after_underscores_and_late_letters(spark):
+    token, never = "z" * 5000 + "B7", "z" * 5000 + "7"
+    texts = ["DB_USER=app\nDB_PWD=hunter22\nDB_HOST=10.0.0.5", "SMTP_PASS=hunter22 at 10.0.0.5", "xuser=app BYPASS=hunter22 10.0.0.5",
+             f"user=bob {token}", f"user=bob {never}", f"user=bob {'A' * 90}b{'7' * 3}", f"user=bob {'-' * 90}7bA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(secrets.secret_spans(docs)).collect()}
+    assert got == {0: "login:3:11,weak:15:27,endpoint:36:44", 1: "weak:5:18,endpoint:22:30", 2: "", 3: "login:0:8,mixed:9:5011", 4: "",
+                   5: "login:0:8,mixed:9:103", 6: "login:0:8,mixed:9:102"}
