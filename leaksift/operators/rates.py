@@ -157,11 +157,15 @@ def bounded_examples(rows: DataFrame, key: Sequence[str], order: str, k: int, ou
     return short.groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias(out))
 
 
-def disagreement(rows: DataFrame, left: str, right: str, top: int = 15) -> DataFrame:
-    """Most frequent (mapped, actual) label pairs that differ."""
-    return (rows.where(F.col(left).isNotNull() & (F.col(left) != F.col(right)))
-            .groupBy(left, right).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), left, right).limit(top))
+def disagreement(rows: DataFrame, left: str, right: str, top: int = 15, by: Sequence[str] = ()) -> DataFrame:
+    """Most frequent (mapped, actual) label pairs that differ, ``top`` for each value of ``by``."""
+    pairs = (rows.where(F.col(left).isNotNull() & (F.col(left) != F.col(right)))
+             .groupBy(*by, left, right).agg(F.count(F.lit(1)).alias("n")))
+    order = [F.desc("n"), F.col(left), F.col(right)]
+    if not by:
+        return pairs.orderBy(*order).limit(top)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return pairs.withColumn("_place", place).where(F.col("_place") <= top).drop("_place")
 
 
 def agreement(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -217,15 +221,16 @@ def corruption_summary(cells: DataFrame) -> DataFrame:
 
 
 def group_profile(rows: DataFrame, group: str, label: str, correct: str,
-                  high: float = 0.8, low: float = 0.2) -> DataFrame:
-    """Accuracy per group, its dominant label, and weighted accuracy outside that label."""
-    cells = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"),
+                  high: float = 0.8, low: float = 0.2, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy per group, its dominant label, and weighted accuracy outside that label; each for every value of ``by``."""
+    keys = [*by, group]
+    cells = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"),
                                            F.sum(F.col(correct).cast("int")).alias("_k"))
-    top = cells.groupBy(group).agg(
+    top = cells.groupBy(*keys).agg(
         F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("dominant_label"),
         F.sum("_n").alias("n"), (F.sum("_k") / F.sum("_n")).alias("accuracy"))
-    other = (cells.join(top.select(group, "dominant_label"), group)
+    other = (cells.join(top.select(*keys, "dominant_label"), keys)
              .where(F.col(label) != F.col("dominant_label"))
-             .groupBy(group).agg((F.sum("_k") / F.sum("_n")).alias("accuracy_other")))
+             .groupBy(*keys).agg((F.sum("_k") / F.sum("_n")).alias("accuracy_other")))
     level = F.when(F.col("accuracy") >= high, "high").when(F.col("accuracy") <= low, "low").otherwise("mid")
-    return top.join(other, group, "left").withColumn("level", level)
+    return top.join(other, keys, "left").withColumn("level", level)

@@ -185,6 +185,28 @@ def label_disagreement(spark, sf):
     return disagreement(predictions(spark, sf).where(F.col("team") == "team4"), "y", "pred")
 
 
+@registry.add(f"""{PREDICTIONS},
+c AS (SELECT team, source, y, count(*) n, count(*) FILTER (WHERE y=pred) k FROM pred GROUP BY 1,2,3),
+t AS (SELECT team, source, sum(n) n, sum(k)/sum(n) acc FROM c GROUP BY 1,2),
+d AS (SELECT team, source, y AS dominant_label FROM c QUALIFY row_number() OVER (PARTITION BY team, source ORDER BY n DESC, y)=1),
+o AS (SELECT c.team, c.source, sum(k)/sum(n) acc FROM c JOIN d USING (team, source) WHERE y<>dominant_label GROUP BY 1,2)
+SELECT team, source, dominant_label, t.n::BIGINT n, round(t.acc,9) accuracy, round(o.acc,9) accuracy_other,
+ CASE WHEN t.acc>=0.8 THEN 'high' WHEN t.acc<=0.2 THEN 'low' ELSE 'mid' END AS level
+FROM t JOIN d USING (team, source) LEFT JOIN o USING (team, source)""")
+def group_accuracy_by_team(spark, sf):
+    """``group_accuracy_profile`` for every team."""
+    rows = predictions(spark, sf).withColumn("correct", F.col("y") == F.col("pred"))
+    return rounded(group_profile(rows, "source", "y", "correct", by=["team"]), "accuracy", "accuracy_other")
+
+
+@registry.add(f"""{PREDICTIONS}
+SELECT team, y, pred, count(*) n FROM pred WHERE y<>pred GROUP BY 1,2,3
+QUALIFY row_number() OVER (PARTITION BY team ORDER BY n DESC, y, pred)<=15""")
+def label_disagreement_by_team(spark, sf):
+    """The fifteen most frequent differing label pairs of every team."""
+    return disagreement(predictions(spark, sf), "y", "pred", by=["team"])
+
+
 @registry.add("""WITH j AS (SELECT l.quality, d.lang, CASE WHEN quality=1 THEN 'en' ELSE NULL END AS mapped FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT count(*) FILTER (WHERE mapped=lang) n_agree, count(*) FILTER (WHERE mapped<>lang) n_disagree, count(*) FILTER (WHERE mapped IS NULL) n_unmappable,
  round(count(*) FILTER (WHERE mapped=lang)/(count(*) FILTER (WHERE mapped=lang)+count(*) FILTER (WHERE mapped<>lang)),9) agree_fraction FROM j""")

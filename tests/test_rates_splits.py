@@ -144,3 +144,17 @@ def test_holdout_prefers_priority_classes(spark):
     df = spark.createDataFrame(data, "grp string, label string")
     out = splits.group_holdout(df, group="grp", label="label", priority=("x", "y"), k=3, min_rows=4)
     assert [(r.grp, r.step) for r in out.orderBy("step").collect()] == [("g1", 0), ("g2", 1), ("g3", 2)]
+
+
+def test_profiles_and_label_pairs_of_every_team(spark):
+    from leaksift.operators.rates import disagreement, group_profile
+
+    rows = spark.createDataFrame([(t, "s", y, p) for t in ("a", "b") for y in range(5) for p in range(5) for _ in range(y + 1 if t == "a" else 1)],
+                                 "team string, source string, y int, pred int")
+    got = disagreement(rows, "y", "pred", by=["team"]).collect()
+    want = sorted([(t, -(y + 1 if t == "a" else 1), y, p) for t in ("a", "b") for y in range(5) for p in range(5) if y != p])
+    assert sorted((r.team, -r.n, r.y, r.pred) for r in got) == [w for t in ("a", "b") for w in [x for x in want if x[0] == t][:15]]
+    rows = rows.withColumn("correct", rows.y == rows.pred)
+    found = {r.team: r for r in group_profile(rows, "source", "y", "correct", by=["team"]).collect()}
+    assert [(found[t].n, found[t].dominant_label, round(found[t].accuracy, 9), round(found[t].accuracy_other, 9)) for t in "ab"] == [
+        (75, 4, 0.2, 0.2), (25, 0, 0.2, 0.2)]
