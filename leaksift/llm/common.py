@@ -125,7 +125,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Large-star and small-star steps in turn: every node hangs its larger, then
     its smaller neighbours on the least it knows, until nothing changes. A star
     with very many leaves is split by :func:`salted_lookup`. Each round is
-    written to the shared checkpoint folder.
+    written to the shared checkpoint folder. Rounds that end unsettled are an
+    error: the classes would be wrong.
     """
     links = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -146,5 +147,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         links = new
         if not many.unionByName(deep.select("a", F.lit(0).cast("bigint").alias("n"))).head(1):
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

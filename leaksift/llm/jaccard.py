@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash bands of one length and exact verification.
 
-Every distinct set of word shingles gets a signature of several sorted prefix
-tries: a trie sorts signatures by a run of minimum hashes, and sets under one
-prefix are candidates. The prefix matched starts at its full length and is
-shortened until the expected recall at the threshold reaches the target.
+Every distinct set of word shingles gets a signature of several runs of minimum
+hashes, and sets with an equal prefix of one run are candidates: plain banding.
+One prefix length is used for all sets and runs, the longest whose expected
+recall at the threshold reaches the target.
 
 Candidates below one prefix are first compared by whole signatures; what may
 reach the threshold is linked, and linked sets form families. The sets of a

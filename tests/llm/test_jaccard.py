@@ -83,3 +83,14 @@ def test_empty_table(spark):
 
 def test_prefixes_are_shortened_until_the_target():
     assert jaccard.prefix_length(0.8, 0.99) == 6 and jaccard.prefix_length(0.8, 0.999) == 5 and jaccard.prefix_length(0.5, 0.999) < 3
+
+
+def test_unsettled_components_are_an_error(spark):
+    import pytest
+
+    from leaksift.llm.common import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError, match="not settled after 1 rounds"):
+        components(chain, rounds=1)
