@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, secrets, toxicity
+from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, runs, secrets, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -93,3 +93,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Licenses in every document, by patience alignment with templates."""
     return licenses.license_spans(table(spark, sf, "documents"))
+
+
+@registry.add()
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words in every document, and what is left without their repeats."""
+    return runs.run_digest(runs.periodic_runs(runs.with_planted_period(table(spark, sf, "documents"))))
