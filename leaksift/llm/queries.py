@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, runs, secrets, toxicity
+from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, runs, secrets, tokens, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -99,3 +99,12 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Periodic runs of words in every document, and what is left without their repeats."""
     return runs.run_digest(runs.periodic_runs(runs.with_planted_period(table(spark, sf, "documents"))))
+
+
+@registry.add()
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document, by the digest cache in the shared folder."""
+    import public_tokenizers
+
+    cache = f"{tokens.shared_folder(spark)}/token_counts"
+    return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
