@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksift.llm import decontamination, html, jaccard, licenses, mixing, neighbours, quality, repeats, runs, secrets, tokens, toxicity
+from leaksift.llm import decontamination, html, jaccard, licenses, mixing, negatives, neighbours, quality, repeats, runs, secrets, tokens, toxicity
 from leaksift.queries.base import Registry, table
 
 registry = Registry()
@@ -32,6 +34,19 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN (SELECT *, least(round(target)::BIGINT, cap::BIGINT) AS quota FROM targets) t ON p.source IS NOT DISTINCT FROM t.source
 """
 
+NEGATIVES_SQL = """
+WITH vectors AS (SELECT DISTINCT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER ranked::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW ranked AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER ranked <= 3
+"""
+
 
 @registry.add(MIX_SQL)
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,8 +118,18 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.add()
 def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of every document, by the digest cache in the shared folder."""
+    """Tokens of every document, by a digest cache in the shared folder.
+
+    The cache is new for every run of the query, so each run encodes every
+    distinct text; a pipeline passes one that lasts.
+    """
     import public_tokenizers
 
-    cache = f"{tokens.shared_folder(spark)}/token_counts"
+    cache = f"{tokens.shared_folder(spark)}/token_counts/{uuid.uuid4().hex}"
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
+@registry.add(NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its positives, by an inverted multi-index."""
+    return negatives.hard_negatives(negatives.with_shifted_labels(table(spark, sf, "embeddings")))
