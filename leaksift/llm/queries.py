@@ -36,8 +36,8 @@ FROM placed p JOIN (SELECT *, least(round(target)::BIGINT, cap::BIGINT) AS quota
 
 NEGATIVES_SQL = """
 WITH vectors AS (SELECT DISTINCT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    [floor(x::DOUBLE * 256) FOR x IN embedding] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
     FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
