@@ -255,9 +255,11 @@ def _search(asked: DataFrame, index: MultiIndex, placed: DataFrame, width: int,
         found = materialise(hits.withColumn("rank", rank).where(F.col("rank") <= keep))
         last = found.where(F.col("rank") == keep).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("p", "score"))).alias("_last"))
         need = lambda w: F.greatest(w.lo, F.coalesce(F.try_element_at("_last", w.p), F.lit(LOWEST)))
-        windows = F.filter("windows", lambda w: F.col("frontier") >= need(w).cast("double"))
+        # A window still open asks from now on for what can enter its first rows.
+        windows = F.transform(F.filter("windows", lambda w: F.col("frontier") >= need(w).cast("double")),
+                              lambda w: F.struct(w.p.alias("p"), need(w).alias("lo"), w.hi.alias("hi")))
         still = (plan.drop("cells").join(last, "qid", "left").withColumn("windows", windows).where(F.size("windows") > 0)
-                 .withColumns({"floor": F.array_min(F.transform("windows", need)).cast("double"), "ceiling": ceiling})
+                 .withColumns({"floor": floor, "ceiling": ceiling})
                  .select("qid", "v", "label", "windows", "done", "floor", "ceiling"))
         still = materialise(still)
         if not still.head(1):
