@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from leaksift.functions.bits import word_hex
 from leaksift.functions.digest import split_by_digest
 from leaksift.functions.intervals import collision_probability
+from leaksift.operators.balls import median_distance, nearest
 from leaksift.operators.checks import concat_all
 from leaksift.operators.fingerprints import distinct_fingerprints, text_fingerprints
 from leaksift.operators.lookups import exact_matches, exact_membership, passage_hits
 from leaksift.operators.pairs import flagged_fingerprints, near_pairs, nearest_within
-from leaksift.operators.rates import censored_median, histogram, leak_rate, threshold_counts, touched_rows
+from leaksift.operators.rates import histogram, leak_rate, threshold_counts, touched_rows
 from leaksift.operators.skew import salted_lookup
 from leaksift.plans.audit import leakage_audit
 from leaksift.queries.base import (DOCS, RADIUS, WORDS, Registry, document_count, document_prints, ham, kept,
@@ -160,33 +161,33 @@ c AS (SELECT lang, t::INTEGER threshold, count(*) n, count(*) FILTER (WHERE d<=t
 SELECT lang, n, threshold, k, round(k/n,9) rate, {_LOW} AS ci_low, {_HIGH} AS ci_high FROM c"""
 
 
-def _median_sql(d: str, radius: int) -> str:
-    """Median of a distance that is null beyond the radius; null where a middle row is."""
-    nth = lambda at: f"list_sort(list(coalesce({d},{radius + 1})))[{at}]"
-    low, high = nth("((count(*)+1)//2)::INTEGER"), nth("(count(*)//2+1)::INTEGER")
-    return f"CASE WHEN {high}<={radius} THEN ({low}+{high})/2.0::DOUBLE END"
+def _nearest_sql(name: str, word: str, same: str = "TRUE") -> str:
+    """A CTE: the distance of every held-out row to its nearest training row, however far."""
+    return f"{name} AS (SELECT v.doc_id, v.source, v.lang, min({ham(f'v.{word}', f't.{word}')}) d FROM va v JOIN tr t ON {same} GROUP BY 1,2,3)"
 
 
-@registry.add(_LADDER_SQL.replace("\nSELECT lang, n,", f",\nmd AS (SELECT lang, {_median_sql('d', 10)} AS median_distance FROM d GROUP BY 1)\nSELECT lang, n,")
+@registry.add(_LADDER_SQL.replace("\nSELECT lang, n,", f",\n{_nearest_sql('nd', 'fp2')},\nmd AS (SELECT lang, median(d)::DOUBLE AS median_distance FROM nd GROUP BY 1)\nSELECT lang, n,")
               .replace("AS ci_high FROM c", "AS ci_high, median_distance FROM c JOIN md USING (lang)"))
 def train_val_leak_by_class(spark, sf):
-    """Leak rates per radius and class, with the median distance where it lies within radius 10."""
-    counts = materialise(_class_distances(spark, sf, "lang", max(LADDER)))
-    return _ladder(counts, "lang", LADDER).join(censored_median(counts, "distance", ["lang"], "_n"), "lang")
+    """Leak rates per radius and class, with the median distance to the nearest training row, however far."""
+    train, held = train_and_held(document_prints(spark, sf))
+    medians = median_distance(held, train, words=["fp2"], rows=document_count(spark, sf), ref_key="doc_id", by=["lang"])
+    return _ladder(_class_distances(spark, sf, "lang", max(LADDER)), "lang", LADDER).join(medians, "lang")
 
 
 @registry.add(f"""{DOCS},
 x AS (SELECT v.doc_id, v.source, (SELECT min({_A}) FROM tr t WHERE t.source=v.source AND {_A}<=6) da, (SELECT min({_B}) FROM tr t WHERE t.source=v.source AND {_B}<=6) db,
   (SELECT count(*)>0 FROM tr t WHERE t.source=v.source AND {_A}<=6 AND {_B}<=6) joint,
   EXISTS (SELECT 1 FROM tr t WHERE t.source=v.source AND 'doc_'||(t.doc_id%300)='doc_'||(v.doc_id%300)) named FROM va v),
-n AS (SELECT source, count(*) n_train FROM tr GROUP BY 1)
+n AS (SELECT source, count(*) n_train FROM tr GROUP BY 1), {_nearest_sql('n2', 'fp2', 't.source=v.source')}, {_nearest_sql('n3', 'fp3', 't.source=v.source')},
+m2 AS (SELECT source, median(d)::DOUBLE AS median_fp2 FROM n2 GROUP BY 1), m3 AS (SELECT source, median(d)::DOUBLE AS median_fp3 FROM n3 GROUP BY 1)
 SELECT x.source, max(n_train) n_train, count(*) n_held, count(da) k_near, count(*) FILTER (WHERE joint) k_joint,
  round(count(*) FILTER (WHERE joint)/count(*),9) joint_rate, count(*) FILTER (WHERE da=0) k_zero, round(count(*) FILTER (WHERE da=0)/count(*),9) zero_rate,
  count(*) FILTER (WHERE da IS NOT NULL AND db IS NOT NULL) k_independent, count(*) FILTER (WHERE named) n_named,
- {_median_sql('da', 6)} AS median_fp2, {_median_sql('db', 6)} AS median_fp3 FROM x JOIN n USING (source) GROUP BY 1""")
+ max(median_fp2) AS median_fp2, max(median_fp3) AS median_fp3 FROM x JOIN n USING (source) JOIN m2 USING (source) JOIN m3 USING (source) GROUP BY 1""")
 def internal_leak_by_source(spark, sf):
     """Leaks between the splits of one and the same source: within the radius in one word, both, or both in one row; equal;
-    names that occur on both sides; and medians where they lie within the radius."""
+    names that occur on both sides; and medians of the distance to the nearest training row, however far."""
     prints = document_prints(spark, sf)
     train, held = train_and_held(prints)
     rows = document_count(spark, sf)
@@ -208,31 +209,31 @@ def internal_leak_by_source(spark, sf):
              .groupBy("source").agg(F.count(F.lit(1)).alias("n_named")))
     out = out.join(named, "source", "left").withColumn("n_named", F.coalesce("n_named", F.lit(0).cast("bigint")))
     for w in WORDS:
-        out = out.join(censored_median(counts, f"_d_{w}", ["source"], "_n", f"median_{w}"), "source")
+        out = out.join(median_distance(held, train, words=[w], rows=rows, ref_key="doc_id", by=["source"], on=["source"], out=f"median_{w}"), "source")
     out = sizes.join(out, "source").withColumn("joint_rate", F.col("k_joint") / F.col("n_held")).withColumn("zero_rate", F.col("k_zero") / F.col("n_held"))
     return rounded(out, "joint_rate", "zero_rate")
 
 
 @registry.add(f"""{DOCS},
-m AS (SELECT v.doc_id, min({_A}) d FROM va v JOIN tr t ON bit_count(xor(v.fp2,t.fp2))<=10 GROUP BY 1)
+m AS (SELECT v.doc_id, min({_A}) d FROM va v, tr t GROUP BY 1)
 SELECT v.doc_id, v.source, v.lang, m.d AS distance,
  (SELECT min(t.doc_id) FROM tr t WHERE {_A}=m.d) AS nearest FROM va v LEFT JOIN m USING (doc_id)""")
 def annotated_documents(spark, sf):
-    """Every held-out row with its smallest training distance (within 10) and first nearest row."""
+    """Every held-out row with its smallest training distance, however large, and first nearest row."""
     train, held = train_and_held(document_prints(spark, sf))
-    near = nearest_within(held, train, words=["fp2"], radius=10, rows=document_count(spark, sf), ref_key="doc_id")
+    near = nearest(held, train, words=["fp2"], rows=document_count(spark, sf), ref_key="doc_id")
     return salted_lookup(held, near, ["fp2"], ["doc_id"], rows=document_count(spark, sf)).select("doc_id", "source", "lang", "distance", "nearest")
 
 
 @registry.add(f"""{DOCS},
-m AS (SELECT v.doc_id, v.lang, min({_A}) d FROM va v LEFT JOIN tr t ON bit_count(xor(v.fp2,t.fp2))<=10 GROUP BY 1,2)
-SELECT lang, CASE WHEN d<3 THEN '0,3' WHEN d<6 THEN '3,6' WHEN d<=10 THEN '6,10' ELSE 'outside' END AS bin, count(*) n FROM m GROUP BY 1,2""")
+m AS (SELECT v.doc_id, v.lang, min({_A}) d FROM va v, tr t GROUP BY 1,2)
+SELECT lang, CASE WHEN d<3 THEN '0,3' WHEN d<6 THEN '3,6' WHEN d<10 THEN '6,10' WHEN d<20 THEN '10,20' WHEN d<=64 THEN '20,64' ELSE 'outside' END AS bin, count(*) n FROM m GROUP BY 1,2""")
 def nearest_histogram(spark, sf):
-    """Distances to the nearest training row in half-open bins; rows beyond radius 10 stay visible."""
+    """Distances to the nearest training row in half-open bins up to all 64 bits; only unhashed rows are outside."""
     train, held = train_and_held(document_prints(spark, sf))
-    near = nearest_within(held, train, words=["fp2"], radius=10, rows=document_count(spark, sf), ref_key="doc_id")
+    near = nearest(held, train, words=["fp2"], rows=document_count(spark, sf), ref_key="doc_id")
     counts = held.groupBy("lang", "fp2").agg(F.count(F.lit(1)).alias("_n")).join(near.select("fp2", "distance"), "fp2", "left")
-    return histogram(counts, "distance", (0, 3, 6, 10), ["lang"], "_n")
+    return histogram(counts, "distance", (0, 3, 6, 10, 20, 64), ["lang"], "_n")
 
 
 @registry.add(f"""{DOCS},

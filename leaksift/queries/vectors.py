@@ -8,9 +8,10 @@ from leaksift.functions.bits import word_hex
 from leaksift.functions.digest import byte_identical, draw_index, sha256_digest
 from leaksift.functions.keys import band_label
 from leaksift.functions.vectors import centred_unit_vector, gradient_hash, plane_hash, unit_vector, vector_norm
-from leaksift.operators.fingerprints import perturbation_robustness, perturbed, vector_fingerprints
-from leaksift.operators.pairs import flagged_fingerprints, nearest_within, pair_scores, random_non_matches
-from leaksift.operators.rates import location_summary
+from leaksift.operators.balls import ball_pairs, nearest
+from leaksift.operators.fingerprints import distinct_fingerprints, perturbation_robustness, perturbed, vector_fingerprints
+from leaksift.operators.pairs import flagged_fingerprints, pair_scores, random_non_matches
+from leaksift.operators.rates import location_summary, threshold_counts
 from leaksift.operators.skew import quota_sample, salted_lookup
 from leaksift.queries.base import DOCS, Registry, ham, index_sql, kept, rounded, table
 from leaksift.session import materialise
@@ -79,24 +80,66 @@ def wide_hashes(spark, sf):
     return rounded(_wide(items, ["vec_id", "quality"]), "quality")
 
 
-_QUANTISED = "list_transform(embedding, lambda x: round(x::DOUBLE*90)/90)"
-_COPY_PLANES = (_PLANES.replace("embedding[j]::DOUBLE", "v[j]").replace("FROM embeddings, sg", f"FROM (SELECT vec_id, {_QUANTISED} v FROM embeddings), sg")
-                .replace("pj AS", "pj2 AS").replace("FROM pj ", "FROM pj2 ").replace("wd AS", "wd2 AS").replace("FROM wd ", "FROM wd2 ").replace("wide AS", "copy AS"))
-_COPY_PLANES = _COPY_PLANES[_COPY_PLANES.index("pj2 AS"):]
+def _copy_planes(steps):
+    """CTEs ending in ``copy``: wide hashes of vectors rounded to a ``steps``-th."""
+    copied = f"(SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE*{steps})/{steps}) v FROM embeddings)"
+    cte = (_PLANES.replace("embedding[j]::DOUBLE", "v[j]").replace("FROM embeddings, sg", f"FROM {copied}, sg").replace("pj AS", "pj2 AS")
+           .replace("FROM pj ", "FROM pj2 ").replace("wd AS", "wd2 AS").replace("FROM wd ", "FROM wd2 ").replace("wide AS", "copy AS"))
+    return cte[cte.index("pj2 AS"):]
+
+
 _GAP = "+".join(f"bit_count(xor(c.w{i},o.w{i}))::INTEGER" for i in range(4))
 
 
-@registry.add(f"""WITH {_PLANES}, {_COPY_PLANES}, d AS (SELECT c.vec_id, o.vec_id AS near, ({_GAP})::INTEGER AS distance FROM copy c JOIN wide o ON {_GAP}<=12)
-SELECT copy.vec_id, min(d.distance) AS distance, arg_min(d.near, d.distance::BIGINT*1000000000+d.near) AS nearest FROM copy LEFT JOIN d USING (vec_id) GROUP BY 1""")
-def wide_nearest(spark, sf):
-    """Nearest original of lightly quantised copies over 256-bit hashes, within 12 bits."""
+WIDE = [f"w{i}" for i in range(4)]
+WIDE_RADIUS = 50
+
+
+def _wide_sides(spark, sf, steps):
+    """Wide hashes of the vectors and of copies rounded to a ``steps``-th."""
     base = _vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
-    copies = base.withColumn("_v", F.transform("_v", lambda x: F.round(x * 90) / 90))
-    originals = materialise(_wide(base, ["vec_id"]))
-    changed = materialise(_wide(copies, ["vec_id"]))
-    words = [f"w{i}" for i in range(4)]
-    near = nearest_within(changed, originals, words=words, radius=12, rows=base.count(), ref_key="vec_id")
-    return salted_lookup(changed, near, words, ["vec_id"]).select("vec_id", "distance", "nearest")
+    copies = base.withColumn("_v", F.transform("_v", lambda x: F.round(x * steps) / steps))
+    return materialise(_wide(base, ["vec_id"])), materialise(_wide(copies, ["vec_id"]))
+
+
+@registry.add(f"""WITH {_PLANES}, {_copy_planes(90)}, d AS (SELECT c.vec_id, o.vec_id AS near, ({_GAP})::INTEGER AS distance FROM copy c, wide o)
+SELECT vec_id, min(distance) AS distance, arg_min(near, distance::BIGINT*1000000000+near) AS nearest FROM d GROUP BY 1""")
+def wide_nearest(spark, sf):
+    """Nearest original of lightly quantised copies over 256-bit hashes, however far."""
+    originals, changed = _wide_sides(spark, sf, 90)
+    near = nearest(changed, originals, words=WIDE, rows=originals.count(), ref_key="vec_id")
+    return salted_lookup(changed, near, WIDE, ["vec_id"]).select("vec_id", "distance", "nearest")
+
+
+_ROUGH = f"WITH {_PLANES}, {_copy_planes(6)}, pr AS (SELECT c.vec_id, o.vec_id AS original, ({_GAP})::INTEGER AS distance FROM copy c, wide o WHERE {_GAP}<={WIDE_RADIUS})"
+
+
+def _rough_pairs(spark, sf):
+    """Distinct hashes of rough copies and of originals within 50 of 256 bits, with their counts."""
+    originals, changed = _wide_sides(spark, sf, 6)
+    left, right = (materialise(distinct_fingerprints(side, WIDE)) for side in (changed, originals))
+    return changed, originals, ball_pairs(left, right, words=WIDE, radius=WIDE_RADIUS, rows=originals.count())
+
+
+@registry.add(f"{_ROUGH} SELECT vec_id, original, distance FROM pr")
+def wide_pairs(spark, sf):
+    """Rough copies and originals within 50 of 256 bits, by balls with a threshold per part."""
+    changed, originals, pairs = _rough_pairs(spark, sf)
+    a = changed.select("vec_id", *[F.col(w).alias(f"{w}_a") for w in WIDE])
+    b = originals.select(F.col("vec_id").alias("original"), *[F.col(w).alias(f"{w}_b") for w in WIDE])
+    return (pairs.join(a, [f"{w}_a" for w in WIDE]).join(b, [f"{w}_b" for w in WIDE]).select("vec_id", "original", "distance"))
+
+
+@registry.add(f"""{_ROUGH}, m AS (SELECT vec_id, min(distance) d FROM pr GROUP BY 1)
+SELECT label, t::INTEGER AS threshold, count(*) n, count(*) FILTER (WHERE d<=t) k, round(count(*) FILTER (WHERE d<=t)/count(*),9) rate
+FROM embeddings LEFT JOIN m USING (vec_id), (SELECT unnest([20,30,40,50]) t) GROUP BY 1,2""")
+def wide_leak_by_label(spark, sf):
+    """Rough copies with an original within 20 to 50 of 256 bits, per label."""
+    changed, _, pairs = _rough_pairs(spark, sf)
+    least = pairs.groupBy(*[F.col(f"{w}_a").alias(w) for w in WIDE]).agg(F.min("distance").alias("distance"))
+    marked = salted_lookup(changed, least, WIDE, ["vec_id"]).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    counted = threshold_counts(marked, "distance", (20, 30, 40, WIDE_RADIUS), ["label"], intervals=False)
+    return rounded(counted.select("label", "threshold", "n", "k", "rate"), "rate")
 
 
 _COPY = "list_transform(embedding, lambda x: round(x::DOUBLE*40)/40)"
@@ -116,21 +159,21 @@ def _copies(spark, sf):
             both.select("vec_id", "label", F.col("copy").alias("dhash")))
 
 
-@registry.add(f"""{_COPIES}, d AS (SELECT q.vec_id, q.label, min({ham('q.dhash', 'o.dhash')}) d FROM q JOIN o ON bit_count(xor(q.dhash,o.dhash))<=10 GROUP BY 1,2)
+@registry.add(f"""{_COPIES}, d AS (SELECT q.vec_id, q.label, min({ham('q.dhash', 'o.dhash')}) d FROM q, o GROUP BY 1,2)
 SELECT q.vec_id, q.label, d.d AS distance, (SELECT min(o.vec_id) FROM o WHERE bit_count(xor(q.dhash,o.dhash))=d.d) AS nearest FROM q LEFT JOIN d USING (vec_id)""")
 def nearest_original(spark, sf):
-    """Nearest original of every quantised copy within 10 bits."""
+    """Nearest original of every quantised copy, however far."""
     original, copy = _copies(spark, sf)
-    near = nearest_within(copy, original, words=["dhash"], radius=10, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
+    near = nearest(copy, original, words=["dhash"], rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
     return salted_lookup(copy, near, ["dhash"], ["vec_id"]).select("vec_id", "label", "distance", "nearest")
 
 
-@registry.add(f"""{_COPIES}, d AS (SELECT q.label, q.vec_id, min({ham('q.dhash', 'o.dhash')}) d FROM q LEFT JOIN o ON bit_count(xor(q.dhash,o.dhash))<=12 GROUP BY 1,2)
+@registry.add(f"""{_COPIES}, d AS (SELECT q.label, q.vec_id, min({ham('q.dhash', 'o.dhash')}) d FROM q, o GROUP BY 1,2)
 SELECT label, count(*) n_rows, count(d) n, min(d) AS min, max(d) AS max, round(avg(d),9) mean, median(d)::DOUBLE p50 FROM d GROUP BY 1""")
 def nn_hamming_by_label(spark, sf):
-    """Distance of the quantised copies to their nearest original within 12 bits, per label; rows farther away are counted."""
+    """Distance of the quantised copies to their nearest original, however far, per label."""
     original, copy = _copies(spark, sf)
-    near = nearest_within(copy, original, words=["dhash"], radius=12, rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
+    near = nearest(copy, original, words=["dhash"], rows=table(spark, sf, "embeddings").count(), ref_key="vec_id")
     joined = salted_lookup(copy, near, ["dhash"], ["vec_id"])
     sizes = joined.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
     out = sizes.join(location_summary(joined, "distance", ["label"]), "label")
