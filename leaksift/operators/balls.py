@@ -41,6 +41,7 @@ MOST_PARTS = 20
 BALL_ROWS = 200_000       # masks of one plan; they are broadcast
 INDEX_COST = 4.0          # of a reference's row per part, against a probe or a candidate
 COMPARE_COST = 0.01       # of one comparison inside a block, against a probe or a candidate
+ROUND_COST = 5e6          # of starting a round, against a probe or a candidate
 NEAR_BANDS = 40
 PIVOTS = 64
 BLOCK_ROWS = 65_536
@@ -152,11 +153,9 @@ def ball_cost(words: int, radius: int, rows: int) -> dict[str, float]:
 
 # --- part values and balls ----------------------------------------------------
 
-def _value(words: Sequence[str], bits: Sequence[int]) -> Column:
-    """The chosen bits as one number."""
-    ones = [F.shiftleft(F.shiftright(F.col(words[b // WORD_BITS]), b % WORD_BITS).bitwiseAND(F.lit(1).cast("bigint")), k)
-            for k, b in enumerate(bits)]
-    return reduce(Column.bitwiseOR, ones)
+def _value(words: Sequence[str], bits: Sequence[int]) -> str:
+    """The chosen bits as one number, in SQL."""
+    return " | ".join(f"shiftleft(shiftright(`{words[b // WORD_BITS]}`, {b % WORD_BITS}) & 1L, {k})" for k, b in enumerate(bits))
 
 
 def _part_distance(a: Sequence[Column], b: Sequence[Column], bits: Sequence[int]) -> Column:
@@ -170,8 +169,8 @@ def _part_distance(a: Sequence[Column], b: Sequence[Column], bits: Sequence[int]
 
 def _valued(side: DataFrame, words: Sequence[str], parts: Parts, used: Sequence[int]) -> DataFrame:
     """One row per fingerprint and part used: ``_part`` and ``_value``."""
-    entries = [F.struct(F.lit(p).alias("_part"), _value(words, parts.bits[p]).alias("_value")) for p in used]
-    return side.select("*", F.inline(F.array(*entries)))
+    entries = ", ".join(f"struct({p} AS _part, {_value(words, parts.bits[p])} AS _value)" for p in used)
+    return side.select("*", F.inline(F.expr(f"array({entries})")))
 
 
 def _masks(spark, parts: Parts, steps: Sequence[tuple[int, int]]) -> DataFrame:
@@ -254,7 +253,8 @@ def _best_parts(left: DataFrame, right: DataFrame, words: Sequence[str], rows: i
     bits, found = len(words) * WORD_BITS, None
     if not len(a) or not len(b):
         return uniform_parts(bits, 2), []
-    for count in range(-(-bits // (WORD_BITS - 1)), MOST_PARTS + 1):
+    usual, fewest = round(bits / max(1.0, math.log2(rows))), -(-bits // (WORD_BITS - 1))
+    for count in range(max(fewest, min(usual, MOST_PARTS) - 2), max(fewest, min(usual + 2, MOST_PARTS)) + 1):
         parts = measured_parts(a, b, count)
         rounds = _growth(parts, rows, limit)
         layers = sum(map(len, rounds))
@@ -271,7 +271,7 @@ def _least(rows: DataFrame, keys: Sequence[str], ref_key: str) -> DataFrame:
 
 def nearest(items: DataFrame, reference: DataFrame, *, words: Sequence[str], rows: int, ref_key: str, on: Sequence[str] = (),
             need: Callable[[DataFrame, DataFrame], DataFrame] | None = None, compare_cost: float = COMPARE_COST,
-            tile_rows: int = TILE_ROWS) -> DataFrame:
+            round_cost: float = ROUND_COST, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Smallest distance and first nearest reference key of every distinct item fingerprint, however far.
 
     ``on`` compares rows with equal values only; where those have no reference
@@ -280,14 +280,15 @@ def nearest(items: DataFrame, reference: DataFrame, *, words: Sequence[str], row
     the open rows and returns the open ones to go on with; rows it drops are
     absent. Near copies are settled first with long, rare keys, then balls
     grow, then the rest is compared block by block; all three are exact.
-    ``compare_cost`` sets where the last begins, never the result.
+    ``compare_cost`` and ``round_cost`` set where the last begins, never the
+    result: a round of balls is not worth its start where comparing all costs less.
     """
     words, on = list(words), list(on)
     keys = [*on, *words]
     left = materialise(distinct_fingerprints(items, words, by=on).drop("n"))
     right = materialise(distinct_fingerprints(reference, words, first=ref_key, by=on).drop("n"))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may come from one table
-    limit = compare_cost * rows
+    limit = compare_cost * rows if compare_cost * rows * rows >= round_cost else 0.0
     settled, still = [], left
 
     def settle(found: DataFrame) -> DataFrame:
@@ -302,7 +303,7 @@ def nearest(items: DataFrame, reference: DataFrame, *, words: Sequence[str], row
     if plan_cost(len(words), near, rows)["bands"] <= limit:
         still = settle(materialise(nearest_within(still, right, words=words, radius=near, rows=rows, ref_key=ref_key, on=on)))
     best, reached = None, 0
-    parts, rounds = _best_parts(still, right, words, rows, limit)
+    parts, rounds = _best_parts(still, right, words, rows, limit) if limit else (None, [])
     wa, wb = ([F.col(f"{w}_{s}") for w in words] for s in "ab")
     for steps in rounds:
         met = _met(still, right, words, on, parts, steps, rows, tile_rows)
@@ -326,10 +327,15 @@ def _nearest_by_blocks(left: DataFrame, right: DataFrame, words: Sequence[str],
     than its bound skips the cell. Rows first meet the likeliest cell, which
     tightens the bound, then all cells left open. Cells above ``BLOCK_ROWS`` are
     cut in parts, rows of one part in batches; a task compares a part with a
-    batch and returns one row per row.
+    batch and returns one row per row. References that fit in one block need no
+    pivots.
     """
-    keys, spark = [*on, *words], left.sparkSession
-    count = int(min(PIVOTS, max(1, rows // BLOCK_ROWS)))
+    keys = [*on, *words]
+    if rows <= BLOCK_ROWS:
+        whole = {"_pivot": F.lit(0), "_span": F.lit(0)}
+        return _compared(left.select(*keys).withColumns({**whole, "_parts": F.lit(1)}), right.withColumns({**whole, "_at": F.lit(0)}),
+                         words, on, ref_key, rows)
+    count = int(min(PIVOTS, rows // BLOCK_ROWS + 1))
     chosen = right.select(*words).distinct().orderBy(F.xxhash64(F.lit("pivot"), *words), *words).limit(count).collect()  # at most PIVOTS
     if not chosen:
         return left.select(*keys, "distance", F.lit(None).cast(right.schema[ref_key].dataType).alias("nearest")).where("false")
@@ -350,23 +356,25 @@ def _nearest_by_blocks(left: DataFrame, right: DataFrame, words: Sequence[str],
     with_to = left.withColumn("_to", every)
     open_cells = (with_to.join(cells, on) if on else with_to.join(cells, F.lit(True))).select(*keys, "distance", cell.alias("c"))
     first = open_cells.groupBy(*keys).agg(F.min("distance").alias("distance"), F.min("c").alias("c"))
-    found = materialise(_compared(first.select(*keys, "distance", "c.*"), cut, words, on, ref_key, BLOCK_ROWS))
+    found = materialise(_compared(first.select(*keys, "distance", "c.*"), cut, words, on, ref_key, rows))
     bounds = left.select(*keys).join(found, keys)
     with_to = bounds.select(*keys, "distance", every.alias("_to"))
     others = (with_to.join(cells, on) if on else with_to.join(cells, F.lit(True))).select(*keys, "distance", cell.alias("c"))
     rest = others.where(F.col("c.bound") <= F.col("distance")).select(*keys, "distance", "c.*")
     rest = rest.join(first.select(*keys, "c._pivot", "c._span"), [*keys, "_pivot", "_span"], "left_anti")
-    more = _compared(rest, cut, words, on, ref_key, BLOCK_ROWS)
+    more = _compared(rest, cut, words, on, ref_key, rows)
     both = found.unionByName(more).withColumnRenamed("nearest", ref_key)
     return _least(both, keys, ref_key)
 
 
-def _compared(visits: DataFrame, cut: DataFrame, words: Sequence[str], on: Sequence[str], ref_key: str, block: int) -> DataFrame:
-    """Nearest reference within the cells each row visits."""
+def _compared(visits: DataFrame, cut: DataFrame, words: Sequence[str], on: Sequence[str], ref_key: str, rows: int) -> DataFrame:
+    """Nearest reference within the cells each row visits; at most ``rows`` rows visit a cell."""
     keys, cell = [*on, *words], [*on, "_pivot", "_span", "_at"]
     asked = visits.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*keys, "_pivot", "_span", "_at")
-    busy, batches = sized(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > QUERIES_PER_TASK)
-                          .select(*cell, F.ceil(F.col("_n") / QUERIES_PER_TASK).cast("int").alias("_batches")))
+    busy, batches = 0, None
+    if rows > QUERIES_PER_TASK:
+        busy, batches = sized(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > QUERIES_PER_TASK)
+                              .select(*cell, F.ceil(F.col("_n") / QUERIES_PER_TASK).cast("int").alias("_batches")))
     if busy:
         most = F.coalesce("_batches", F.lit(1))
         asked = asked.join(batches, cell, "left").withColumn("_batch", F.pmod(F.xxhash64(F.lit("batch"), *words), most).cast("int"))
@@ -396,7 +404,8 @@ def _compared(visits: DataFrame, cut: DataFrame, words: Sequence[str], on: Seque
 
 
 def median_distance(items: DataFrame, reference: DataFrame, *, words: Sequence[str], rows: int, ref_key: str, by: Sequence[str],
-                    on: Sequence[str] = (), out: str = "median_distance", compare_cost: float = COMPARE_COST) -> DataFrame:
+                    on: Sequence[str] = (), out: str = "median_distance", compare_cost: float = COMPARE_COST,
+                    round_cost: float = ROUND_COST) -> DataFrame:
     """Median distance to the nearest reference row per group of items.
 
     An order-statistic search: after every stage of :func:`nearest` the settled
@@ -416,7 +425,8 @@ def median_distance(items: DataFrame, reference: DataFrame, *, words: Sequence[s
         short = totals.join(known, by, "left").where(F.coalesce("_known", F.lit(0)) < F.floor(F.col("_all") / 2) + 1)
         return still.join(weights.join(short.select(*by), by, "left_semi").select(*keys), keys, "left_semi")
 
-    found = nearest(items, reference, words=words, rows=rows, ref_key=ref_key, on=on, need=open_groups, compare_cost=compare_cost)
+    found = nearest(items, reference, words=words, rows=rows, ref_key=ref_key, on=on, need=open_groups, compare_cost=compare_cost,
+                    round_cost=round_cost)
     from leaksift.operators.rates import censored_median
 
     counted = weights.join(found.select(*keys, "distance"), keys, "left")

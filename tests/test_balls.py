@@ -51,7 +51,7 @@ def test_nearest_at_any_distance(spark, words, cost, monkeypatch):
     right += right[:30] + [None]
     a, names = frame(spark, left, words)
     b, _ = frame(spark, right, words)
-    near = balls.nearest(a, b, words=names, rows=500, ref_key="id", compare_cost=cost, tile_rows=40)
+    near = balls.nearest(a, b, words=names, rows=500, ref_key="id", compare_cost=cost, round_cost=0, tile_rows=40)
     got = {tuple(r[n] for n in names): (r.distance, r.nearest) for r in near.collect()}
     want = {tuple(split(left[i], words)): v for i, v in brute(left, right).items()}
     assert got == want and max(d for d, _ in got.values()) > 15
@@ -65,15 +65,15 @@ def test_nearest_inside_groups(spark):
     b, _ = frame(spark, right, 1, gb)
     want = {(ga[i], split(left[i], 1)[0]): v for i, v in brute(left, right, ga, gb).items()}
     for cost in (0.01, 2.0):
-        near = balls.nearest(a, b, words=names, rows=150, ref_key="id", on=["g"], compare_cost=cost)
+        near = balls.nearest(a, b, words=names, rows=150, ref_key="id", on=["g"], compare_cost=cost, round_cost=0)
         assert {(r.g, r.w0): (r.distance, r.nearest) for r in near.collect()} == want
 
 
 def test_no_rows(spark):
     a, names = frame(spark, [5, 6], 1)
     for cost in (0.01, 50.0):
-        assert balls.nearest(a, a.where("false"), words=names, rows=2, ref_key="id", compare_cost=cost).collect() == []
-        assert balls.nearest(a.where("false"), a, words=names, rows=2, ref_key="id", compare_cost=cost).collect() == []
+        assert balls.nearest(a, a.where("false"), words=names, rows=2, ref_key="id", compare_cost=cost, round_cost=0).collect() == []
+        assert balls.nearest(a.where("false"), a, words=names, rows=2, ref_key="id", compare_cost=cost, round_cost=0).collect() == []
 
 
 @pytest.mark.parametrize("words,radius", [(4, 50), (1, 12), (2, 0)])
@@ -122,7 +122,7 @@ def test_medians(spark):
     near = brute(left, right)
     want = {g: float(np.median([near[i][0] for i in range(len(left)) if groups[i] == g and i in near])) for g in "abcd"} | {"empty": None}
     for cost in (0.01, 3.0):
-        got = balls.median_distance(a, b, words=names, rows=500, ref_key="id", by=["g"], compare_cost=cost)
+        got = balls.median_distance(a, b, words=names, rows=500, ref_key="id", by=["g"], compare_cost=cost, round_cost=0)
         assert {r.g: r.median_distance for r in got.collect()} == want
 
 
@@ -136,5 +136,5 @@ def test_medians_search_only_open_groups(spark, monkeypatch):
     b, _ = frame(spark, right, 1)
     seen, blocks = [], balls._nearest_by_blocks
     monkeypatch.setattr(balls, "_nearest_by_blocks", lambda start, *rest: (seen.append(start.count()), blocks(start, *rest))[1])
-    got = balls.median_distance(a, b, words=names, rows=150, ref_key="id", by=["g"], compare_cost=1.0)
+    got = balls.median_distance(a, b, words=names, rows=150, ref_key="id", by=["g"], compare_cost=1.0, round_cost=0)
     assert {r.g: r.median_distance for r in got.collect()}["near"] == 0.0 and seen[0] <= 50
