@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leaksift.functions.counters import replicate_sums, split_counts
 from leaksift.functions.digest import draw_index
 from leaksift.functions.intervals import T_CRITICAL_DF9, collision_probability, normal_tail, z_quantile
 from leaksift.operators.lookups import seed_pairs
@@ -24,6 +25,7 @@ from leaksift.operators.ranks import average_rank, ordinal_rank
 from leaksift.operators.skew import hash_rank, quota_sample, running_total
 
 BOARD_EDGES = 64
+BLOCK_GROUPS, SPAN_REPS = 8_192, 1_000
 CLUSTER_REPS, PAIRED_REPS, NULL_TRIALS, RANK_REPS = 20_000, 10_000, 1_000, 1_000
 
 
@@ -134,18 +136,37 @@ def bootstrap_sums(groups: DataFrame, group: str, reps: int, seed: str, sums: Se
                    by: Sequence[str] = ()) -> DataFrame:
     """Sums of ``reps`` resamples with replacement of the rows of ``groups`` (as many as there are).
 
-    Every row emits one draw per replicate, so draws are made where the rows are;
-    each draw is then looked up by number and sums combine map-side.
+    Rows are numbered in digest order and cut into blocks; how many of a
+    replicate's draws fall into a block comes from a binomial splitting tree,
+    which rows they are from counter-based draws inside the block. A task
+    takes one block and a span of replicates and returns one row per replicate,
+    so nothing holds a row per (group, replicate), and sums combine map-side.
+    Integers are summed as such, other numbers as doubles.
     """
-    by = list(by)
+    by, sums = list(by), list(sums)
+    kinds = dict(groups.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in sums)
+    out = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "rep int", *[f"`{c}` {'bigint' if whole else 'double'}" for c in sums]])
     numbered = hash_rank(groups.select(*by, group, *sums), [group], by, seed, "_at")
     sizes = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    slots = numbered.select(*by, "_at")
-    slots = slots.join(sizes, by) if by else slots.join(sizes, F.lit(True))
-    draws = (slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-             .select(*by, "rep", (draw_index(F.col("_size"), F.lit(seed), F.col("rep"), F.col("_at")) + 1).alias("_at")))
-    return (draws.join(numbered, [*by, "_at"]).groupBy(*by, "rep")
-            .agg(*[F.sum(s).alias(s) for s in sums]))
+    placed = numbered.join(sizes, by or F.lit(True)).select(
+        *by, *sums, "_at", "_size", F.expr(f"cast((_at - 1) div {BLOCK_GROUPS} as int)").alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(SPAN_REPS))).alias("_from"))
+
+    def resampled(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        size, block, first = (int(rows[c].iloc[0]) for c in ("_size", "_block", "_from"))
+        numbers = np.arange(first, min(first + SPAN_REPS, reps))
+        blocks = np.full(-(-size // BLOCK_GROUPS), BLOCK_GROUPS, np.int64)
+        blocks[-1] = size - BLOCK_GROUPS * (len(blocks) - 1)
+        counts = split_counts(seed, numbers, blocks, size, block)
+        values = rows[sums].to_numpy(np.int64 if whole else np.float64)
+        totals = np.concatenate(list(replicate_sums(seed, values, numbers, counts, block)))
+        found = pd.DataFrame(totals, columns=sums)
+        return pd.concat([pd.DataFrame({**{c: [rows[c].iloc[0]] * len(numbers) for c in by}, "rep": numbers}), found], axis=1)
+
+    drawn = placed.groupBy(*by, "_block", "_from").applyInPandas(resampled, out)
+    return drawn.groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def cluster_rates(groups: DataFrame, group: str, reps: int = CLUSTER_REPS, seed: str = "boot") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leaksift.functions.counters import drawn_sql
 from leaksift.functions.intervals import two_proportion_z, two_sided_p
 from leaksift.operators.metrics import combined_scores
 from leaksift.operators.splits import proportional_targets
-from leaksift.operators.stats import (agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
+from leaksift.operators.stats import (CLUSTER_REPS, agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
                                       decompose, dose_response, effect_size, kendall, leave_top_out, mean_summary,
                                       normal_interval, null_summary, null_trials, paired_bootstrap,
                                       paired_contrast, pearson, percentile_interval, protocol_gap,
@@ -20,7 +21,8 @@ from leaksift.session import materialise
 
 registry = Registry()
 # Replicates that the SQL can repeat in its time; the library's defaults are larger.
-BOOT, PAIRS, NULLS, RANKS = 2_000, 10_000, 40, 40
+NULLS, RANKS = 40, 40
+BOOT, PAIRS = CLUSTER_REPS, CLUSTER_REPS
 
 # --- runs: (arm, seed) means of line items ---------------------------------------
 
@@ -139,10 +141,10 @@ def rate_ratio_bootstrap(spark, sf):
     return ratio_bootstrap(row["k0"], row["n0"], row["k1"], row["n1"], spark, reps=2000)
 
 
-_DRAW = index_sql("c", "'boot'", "rep", "pos")
 _NUMBERED = "num AS (SELECT *, row_number() OVER (ORDER BY md5('boot:'||user_id), user_id) pos, count(*) OVER () c FROM g)"
 _RATES = f"""{_USERS}, {_NUMBERED},
-draws AS (SELECT rep, {_DRAW}+1 AS pos FROM num, (SELECT unnest(range({BOOT})) rep)),
+slots AS (SELECT pos-1 AS slot, c, rep FROM num, (SELECT unnest(range({BOOT})) rep)),
+draws AS (SELECT rep, x%c+1 AS pos FROM {drawn_sql('boot', 'slots', 'c', 'rep', 'slot')}),
 rates AS (SELECT rep, CASE WHEN sum(n)>0 THEN sum(k)/sum(n) ELSE 0 END::DOUBLE rate FROM draws JOIN num USING (pos) GROUP BY 1)"""
 
 
@@ -205,7 +207,8 @@ def _deltas_sql(groups):
 
 
 @registry.add(f"""WITH {_deltas_sql(40)}, num AS (SELECT *, row_number() OVER (ORDER BY md5('pair:'||team), team) pos, count(*) OVER () c FROM d),
-draws AS (SELECT rep, {index_sql('c', "'pair'", 'rep', 'pos')}+1 AS pos FROM num, (SELECT unnest(range({PAIRS})) rep)),
+slots AS (SELECT pos-1 AS slot, c, rep FROM num, (SELECT unnest(range({PAIRS})) rep)),
+draws AS (SELECT rep, x%c+1 AS pos FROM {drawn_sql('pair', 'slots', 'c', 'rep', 'slot')}),
 m AS (SELECT rep, avg(delta) m FROM draws JOIN num USING (pos) GROUP BY 1)
 SELECT round(avg(m),6) boot_mean, round(median(m),6) boot_median, round(quantile_cont(m,0.025),6) low, round(quantile_cont(m,0.975),6) high FROM m""")
 def paired_delta_bootstrap(spark, sf):
