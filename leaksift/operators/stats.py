@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leaksift.functions.counters import replicate_sums, split_counts
+from leaksift.functions.counters import PRIME, drawn, replicate_sums, split_counts
 from leaksift.functions.digest import draw_index
 from leaksift.functions.intervals import T_CRITICAL_DF9, collision_probability, normal_tail, z_quantile
 from leaksift.operators.lookups import seed_pairs
@@ -25,6 +25,9 @@ from leaksift.operators.ranks import average_rank, ordinal_rank
 from leaksift.operators.skew import hash_rank, quota_sample, running_total
 
 BOARD_EDGES = 64
+RATE_FLOOR = 1e-9  # fixed value of the published test
+LEAST_LIKELY = 1e-13
+EXACT_PAIRS = 3_000
 BLOCK_GROUPS, SPAN_REPS = 8_192, 1_000
 CLUSTER_REPS, PAIRED_REPS, NULL_TRIALS, RANK_REPS = 20_000, 10_000, 1_000, 1_000
 
@@ -112,22 +115,48 @@ def collision_baseline(benches: DataFrame, volume: str, radius: int = 6, bits: i
         .withColumn("expected_exact", F.col(volume) * F.lit(collision_probability(0, bits)))
 
 
-def ratio_bootstrap(k1: int, n1: int, k2: int, n2: int, spark, reps: int = 20_000, seed: int = 0) -> DataFrame:
-    """Binomial resampling of two rates: median ratio, 95 % range and their logarithms."""
-    @F.pandas_udf("double")
-    def ratio(rep: pd.Series) -> pd.Series:
-        def one(r: int) -> float:
-            rng = np.random.default_rng([seed, r])
-            a, b = rng.binomial(n1, k1 / n1) / n1, rng.binomial(n2, k2 / n2) / n2
-            return (a + 1e-9) / (b + 1e-9)
-        return rep.map(one).astype("float64")
+def binomial_table(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts a binomial of ``n`` trials at rate ``k / n`` can take, and its distribution function.
 
-    drawn = spark.range(reps).select(ratio("id").alias("_r"))
-    out = drawn.agg(F.median("_r").alias("median_ratio"), F.percentile("_r", F.lit(0.025)).alias("low"),
-                    F.percentile("_r", F.lit(0.975)).alias("high"))
-    return out.select("*", F.log10("median_ratio").alias("log10_median"),
-                      F.log10(F.greatest(F.col("low"), F.lit(1e-9))).alias("log10_low"),
-                      F.log10("high").alias("log10_high"))
+    Counts less likely than ``LEAST_LIKELY`` of the likeliest are left out, so
+    the table has some fifteen standard deviations of rows.
+    """
+    if k in (0, n):
+        return np.array([k]), np.ones(1)
+    p, reach = k / n, int(9 * math.sqrt(k * (n - k) / n)) + 10
+    counts = np.arange(max(0, k - reach), min(n, k + reach) + 1)
+    steps = np.log((n - counts[1:] + 1) / counts[1:] * (p / (1 - p)))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    weight = np.exp(logs - logs.max())
+    likely = weight > LEAST_LIKELY
+    total = np.cumsum(weight[likely])
+    return counts[likely], total / total[-1]
+
+
+def binomial_counts(k: int, n: int, seed: str):
+    """A column function: the binomial count of a replicate number, by inversion of a counter-based draw."""
+    @F.pandas_udf(T.LongType())
+    def counted(rep: pd.Series) -> pd.Series:
+        counts, upto = binomial_table(k, n)
+        u = drawn(seed, rep.to_numpy(), np.zeros(1, np.int64))[:, 0] / PRIME
+        return pd.Series(counts[np.minimum(np.searchsorted(upto, u, side="right"), len(counts) - 1)])
+
+    return counted
+
+
+def ratio_bootstrap(k1: int, n1: int, k2: int, n2: int, spark, reps: int = CLUSTER_REPS, seed: str = "ratio") -> DataFrame:
+    """Ratio of two resampled rates: median, 95 % range and their logarithms.
+
+    Both rates are raised by ``RATE_FLOOR``, so that a rate of 0 has a ratio; a
+    side without trials makes all columns null.
+    """
+    rates = [(counts("id") / F.lit(n or None) + RATE_FLOOR)
+             for counts, n in ((binomial_counts(k1, n1, f"{seed}:1"), n1), (binomial_counts(k2, n2, f"{seed}:2"), n2))]
+    ratios = spark.range(reps).select((rates[0] / rates[1]).alias("_r"))
+    out = ratios.agg(F.percentile("_r", F.array(*map(F.lit, (0.5, 0.025, 0.975)))).alias("_q"))
+    out = out.select(*[F.get("_q", i).alias(c) for i, c in enumerate(("median_ratio", "low", "high"))])
+    floor = F.greatest(F.col("low"), F.when(F.col("low").isNotNull(), F.lit(RATE_FLOOR)))
+    return out.withColumns({"log10_median": F.log10("median_ratio"), "log10_low": F.log10(floor), "log10_high": F.log10("high")})
 
 
 # --- bootstrap over groups ---------------------------------------------------
@@ -250,40 +279,76 @@ def paired_bootstrap(deltas: DataFrame, team: str, delta: str, reps: int = PAIRE
 
 # --- signed ranks and agreement ----------------------------------------------
 
-def _signed_rank_p(method: str):
-    @F.pandas_udf(T.StructType([T.StructField("p_two_sided", T.DoubleType()), T.StructField("p_less", T.DoubleType())]))
-    def p_values(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.DataFrame:
-        def one(size: int, w: float, tied: float) -> tuple[float | None, float | None]:
-            if size == 0 or (method == "exact" and tied):
-                return None, None
-            if method == "exact":
-                ways = np.zeros(size * (size + 1) // 2 + 1)
-                ways[0] = 1.0
-                for r in range(1, size + 1):
-                    ways[r:] = (ways[r:] + ways[:-r]) / 2
-                    ways[:r] /= 2
-                less, more = ways[:int(w) + 1].sum(), ways[int(w):].sum()
-            else:
-                mean = size * (size + 1) / 4
-                error = math.sqrt((size * (size + 1) * (2 * size + 1) - tied / 2) / 24)
-                less = NormalDist().cdf((w - mean) / error)
-                more = 1 - less
-            return min(1.0, 2 * min(less, more)), float(less)
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distribution of the sum of two independent numbers."""
+    if min(len(a), len(b)) <= 64:
+        return np.convolve(a, b)
+    size = len(a) + len(b) - 1
+    wide = 1 << (size - 1).bit_length()
+    return np.clip(np.fft.irfft(np.fft.rfft(a, wide) * np.fft.rfft(b, wide), wide)[:size], 0.0, None)
+
+
+def signed_rank_null(ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Probability of every sum of positive ranks when each sign is fair; ``ranks`` are whole numbers.
+
+    Equal ranks make one binomial; distributions are joined in pairs, halving
+    their number each time.
+    """
+    parts = []
+    for rank, count in zip(ranks, counts):
+        ways = np.zeros(rank * count + 1)
+        ways[::rank] = [math.exp(math.lgamma(count + 1) - math.lgamma(i + 1) - math.lgamma(count - i + 1) - count * math.log(2)) for i in range(count + 1)]
+        parts.append(ways)
+    while len(parts) > 1:
+        parts.sort(key=len)
+        parts = [_joined(*parts[i:i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] / parts[0].sum() if parts else np.ones(1)
+
+
+_P_VALUES = T.StructType([T.StructField("p_two_sided", T.DoubleType()), T.StructField("p_less", T.DoubleType())])
+
+
+def _two_sided(less: float, more: float) -> tuple[float, float]:
+    return min(1.0, 2 * min(less, more)), float(less)
+
+
+@F.pandas_udf(_P_VALUES)
+def _exact_p(plus: pd.Series, doubled: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Exact p-values from the doubled mean ranks and how many pairs share each."""
+    def one(w: float | None, ranks: np.ndarray | None, n: np.ndarray | None) -> tuple[float | None, float | None]:
+        if ranks is None or len(ranks) == 0:
+            return None, None
+        if sum(n) > EXACT_PAIRS:
+            raise ValueError(f"the exact test takes at most {EXACT_PAIRS} pairs that differ; use the normal one")
+        ranks, n = np.array(ranks, np.int64), np.array(n, np.int64)
+        step = int(np.gcd.reduce(ranks))
+        p, at = signed_rank_null(ranks // step, n), round(2 * w) // step
+        return _two_sided(p[:at + 1].sum(), p[at:].sum())
+
+    return pd.DataFrame([one(*row) for row in zip(plus, doubled, counts)], columns=["p_two_sided", "p_less"]).astype("float64")
+
 
-        return pd.DataFrame([one(int(a), float(b), float(c)) for a, b, c in zip(n, plus, ties)],
-                            columns=["p_two_sided", "p_less"]).astype("float64")
+@F.pandas_udf(_P_VALUES)
+def _normal_p(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.DataFrame:
+    """p-values of the normal approximation with tie correction."""
+    def one(size: int, w: float, tied: float) -> tuple[float | None, float | None]:
+        if size == 0:
+            return None, None
+        error = math.sqrt((size * (size + 1) * (2 * size + 1) - tied / 2) / 24)
+        less = NormalDist().cdf((w - size * (size + 1) / 4) / error)
+        return _two_sided(less, 1 - less)
 
-    return p_values
+    return pd.DataFrame([one(int(a), float(b), float(c)) for a, b, c in zip(n, plus, ties)], columns=["p_two_sided", "p_less"]).astype("float64")
 
 
 def signed_rank(rows: DataFrame, by: Sequence[str], delta: str, method: str = "normal") -> DataFrame:
     """Wilcoxon signed-rank test of paired differences.
 
     Zeros are dropped, ties share their mean rank. ``method`` is the caller's
-    choice at any size and comes back with the result: ``normal`` (with tie
-    correction) or ``exact`` (null p where differences tie; its work grows with
-    the cube of the pairs). Equal differences are counted first and ranks come
-    from bucket totals, so no task orders all rows.
+    choice and comes back with the result: ``normal`` (with tie correction, at
+    any size) or ``exact`` (ties included; its distribution is held by one task,
+    so more than ``EXACT_PAIRS`` pairs are an error). Equal differences are
+    counted first and ranks come from bucket totals, so no task orders all rows.
     """
     if method not in ("normal", "exact"):
         raise ValueError("method must be normal or exact")
@@ -292,13 +357,14 @@ def signed_rank(rows: DataFrame, by: Sequence[str], delta: str, method: str = "n
              .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_up").alias("_plus")))
     cells = running_total(cells, "_n", "_abs", F.floor(F.log2("_abs") * 64), by, "_lower")
     rank = F.col("_lower") + (F.col("_n") + 1) / 2
+    exact = [F.collect_list((2 * rank).cast("bigint")).alias("_doubled"), F.collect_list("_n").alias("_counts")] if method == "exact" else []
     sums = cells.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.sum(F.col("_plus") * rank).alias("w_plus"), F.sum((F.col("_n") - F.col("_plus")) * rank).alias("w_minus"),
+        *exact, F.sum("_n").alias("n"), F.sum(F.col("_plus") * rank).alias("w_plus"), F.sum((F.col("_n") - F.col("_plus")) * rank).alias("w_minus"),
         F.sum(F.col("_n") * (F.col("_n") * F.col("_n") - 1)).cast("double").alias("_ties"))
     if not by:  # an aggregate without groups has a row for no pairs too
         sums = sums.fillna(0, ["n", "w_plus", "w_minus", "_ties"])
     return (sums.withColumn("w", F.least("w_plus", "w_minus"))
-            .withColumn("_p", _signed_rank_p(method)("n", "w_plus", "_ties"))
+            .withColumn("_p", _exact_p("w_plus", "_doubled", "_counts") if exact else _normal_p("n", "w_plus", "_ties"))
             .select(*by, "n", "w_plus", "w_minus", "w", "_p.p_two_sided", "_p.p_less", F.lit(method).alias("method")))
 
 

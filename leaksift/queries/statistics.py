@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leaksift.functions.counters import drawn_sql
+from leaksift.functions.counters import PRIME, drawn_sql
 from leaksift.functions.intervals import two_proportion_z, two_sided_p
 from leaksift.operators.metrics import combined_scores
 from leaksift.operators.splits import proportional_targets
-from leaksift.operators.stats import (CLUSTER_REPS, agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
+from leaksift.operators.stats import (CLUSTER_REPS, LEAST_LIKELY, RATE_FLOOR, agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
                                       decompose, dose_response, effect_size, kendall, leave_top_out, mean_summary,
                                       normal_interval, null_summary, null_trials, paired_bootstrap,
                                       paired_contrast, pearson, percentile_interval, protocol_gap,
@@ -132,13 +132,26 @@ def rate_test_p(spark, sf):
     return users.join(total, F.lit(True)).select("user_id", r9(z).alias("z"), r9(two_sided_p(z)).alias("p"))
 
 
-@registry.add(None)
+_RATIO_REPS = f"rp AS (SELECT unnest(range({CLUSTER_REPS})) AS rep, 0 AS slot)"
+_RATIO_DRAWS = " UNION ALL ".join(f"SELECT {h} AS h, rep, x::DOUBLE/{PRIME} AS u FROM {drawn_sql(f'ratio:{h + 1}', 'rp', '', 'rep', 'slot')}" for h in (0, 1))
+
+
+@registry.add(f"""WITH s AS (SELECT user_id%2 AS h, count(*) n, count(*) FILTER (WHERE event_type='error') k FROM events GROUP BY 1),
+l AS (SELECT h, n, i, sum(CASE WHEN i=0 THEN 0.0 ELSE ln((n-i+1)/i*((k/n)/(1-k/n))) END) OVER (PARTITION BY h ORDER BY i) l
+  FROM (SELECT *, unnest(range(n+1)) i FROM s)),
+w AS (SELECT h, n, i, exp(l-max(l) OVER (PARTITION BY h)) w FROM l),
+c AS (SELECT h, n, i, sum(w) OVER (PARTITION BY h ORDER BY i)/sum(w) OVER (PARTITION BY h) f FROM w WHERE w>{LEAST_LIKELY}),
+{_RATIO_REPS}, d AS ({_RATIO_DRAWS}), v AS (SELECT d.h, rep, i/n+{RATE_FLOOR} v FROM d ASOF JOIN c ON d.h=c.h AND d.u<c.f),
+r AS (SELECT max(v) FILTER (WHERE h=0)/max(v) FILTER (WHERE h=1) r FROM v GROUP BY rep),
+q AS (SELECT median(r) m, quantile_cont(r,0.025) lo, quantile_cont(r,0.975) hi FROM r)
+SELECT round(m,9) median_ratio, round(lo,9) low, round(hi,9) high, round(log10(m),9) log10_median, round(log10(greatest(lo,{RATE_FLOOR})),9) log10_low, round(log10(hi),9) log10_high FROM q""")
 def rate_ratio_bootstrap(spark, sf):
     """Binomial bootstrap of the ratio of two error rates."""
     events = table(spark, sf, "events")
     row = events.agg(*[f(F.col("user_id") % 2 == h).alias(f"n{h}") for h in (0, 1) for f in (F.count_if,)],
                      *[F.count_if((F.col("user_id") % 2 == h) & (F.col("event_type") == "error")).alias(f"k{h}") for h in (0, 1)]).first()
-    return ratio_bootstrap(row["k0"], row["n0"], row["k1"], row["n1"], spark, reps=2000)
+    out = ratio_bootstrap(row["k0"], row["n0"], row["k1"], row["n1"], spark)
+    return rounded(out, *out.columns)
 
 
 _NUMBERED = "num AS (SELECT *, row_number() OVER (ORDER BY md5('boot:'||user_id), user_id) pos, count(*) OVER () c FROM g)"
@@ -228,6 +241,19 @@ def signed_rank_test(spark, sf):
     return rounded(signed_rank(_deltas(spark, sf, 11), [], "delta", "exact"), "p_two_sided", "p_less")
 
 
+@registry.add(f"""WITH {_deltas_sql(12)}, t AS (SELECT team, round(delta*2) AS delta FROM d), z AS (SELECT * FROM t WHERE delta<>0),
+r AS (SELECT delta, rank() OVER (ORDER BY abs(delta))+(count(*) OVER (PARTITION BY abs(delta))-1)/2 r, row_number() OVER (ORDER BY team) nth FROM z),
+s AS (SELECT count(*) n, sum(r) FILTER (WHERE delta>0) p, sum(r) FILTER (WHERE delta<0) m FROM r),
+w AS (SELECT b, sum(CASE WHEN (b>>(nth-1))&1=1 THEN r ELSE 0 END) w FROM (SELECT unnest(range((1<<(SELECT n FROM s))::BIGINT)) b), r GROUP BY b),
+p AS (SELECT avg((w<=coalesce(p,0))::INTEGER) less, avg((w>=coalesce(p,0))::INTEGER) more FROM w, s)
+SELECT n, coalesce(p,0)::DOUBLE w_plus, coalesce(m,0)::DOUBLE w_minus, least(coalesce(p,0),coalesce(m,0))::DOUBLE w,
+ CASE WHEN n>0 THEN round(least(1.0,2*least(less,more)),9)::DOUBLE END p_two_sided, CASE WHEN n>0 THEN round(less,9)::DOUBLE END p_less, 'exact' AS method FROM s, p""")
+def signed_rank_ties(spark, sf):
+    """The exact test of coarse differences, many of them equal in size, against all sign assignments."""
+    coarse = _deltas(spark, sf, 12).withColumn("delta", F.round(F.col("delta") * 2))
+    return rounded(signed_rank(coarse, [], "delta", "exact"), "p_two_sided", "p_less")
+
+
 @registry.add(f"""WITH {_deltas_sql(40)} SELECT count(*) n, round(avg(delta),6) mean, round(stddev_samp(delta),6) sd_sample,
  round(avg(delta)/stddev_samp(delta),6) d_z FROM d""")
 def paired_effect_size(spark, sf):

@@ -97,7 +97,8 @@ def test_wilcoxon_exact_and_tied(spark):
     assert out.p_less == pytest.approx(less) and out.p_two_sided == pytest.approx(min(1, 2 * min(less, more)))
     tied = stats.signed_rank(spark.createDataFrame([(1.0,), (-1.0,), (2.0,)], "d double"), [], "d").first()
     assert (tied.w_plus, tied.w_minus, tied.method) == (4.5, 1.5, "normal")
-    assert stats.signed_rank(spark.createDataFrame([(1.0,), (-1.0,)], "d double"), [], "d", "exact").first().p_less is None
+    assert stats.signed_rank(spark.createDataFrame([(1.0,), (-1.0,)], "d double"), [], "d", "exact").first().p_less == pytest.approx(0.75)
+    assert stats.signed_rank(spark.createDataFrame([(0.0,)], "d double"), [], "d", "exact").first().p_less is None
     with pytest.raises(ValueError):
         stats.signed_rank(df, [], "d", "auto")
 
@@ -111,6 +112,27 @@ def test_wilcoxon_by_bucket_totals_equals_ranks(spark):
         assert r.n == len(mine) and r.w_plus == ranks[mine > 0].sum() and r.w_minus == ranks[mine < 0].sum()
 
 
+@pytest.mark.parametrize("n", [3, 9, 14])
+def test_wilcoxon_exact_with_ties_equals_enumeration(spark, n):
+    d = RNG.integers(-3, 4, n).astype(float)
+    d[0] = 2.0
+    out = stats.signed_rank(spark.createDataFrame(pd.DataFrame({"d": d})), [], "d", "exact").first()
+    x = d[d != 0]
+    ranks = pd.Series(np.abs(x)).rank().to_numpy()
+    sums = np.array([np.dot(ranks, signs) for signs in itertools.product([0, 1], repeat=len(x))])
+    less, more = np.mean(sums <= ranks[x > 0].sum()), np.mean(sums >= ranks[x > 0].sum())
+    assert out.p_less == pytest.approx(less) and out.p_two_sided == pytest.approx(min(1, 2 * min(less, more)))
+
+
+def test_wilcoxon_exact_of_many_pairs(spark):
+    d = np.round(RNG.standard_normal(2000) * 20 + 0.8)
+    df = spark.createDataFrame(pd.DataFrame({"d": d}))
+    exact, normal = (stats.signed_rank(df, [], "d", m).first() for m in ("exact", "normal"))
+    assert exact.n == (d != 0).sum() > 1900 and exact.p_less == pytest.approx(normal.p_less, rel=2e-3)
+    with pytest.raises(Exception, match="at most"):
+        stats.signed_rank(spark.range(1, 3002).select(F.col("id").cast("double").alias("d")), [], "d", "exact").collect()
+
+
 def test_wilcoxon_published_value(spark):
     """25 untied pairs with W = 15 on the positive side: p(less) 5.736e-05... is the exact tail."""
     ranks_ = list(range(1, 26))
@@ -177,6 +199,20 @@ def test_replicate_without_rows_is_rate_zero(spark):
     assert {r.rate for r in stats.cluster_rates(groups, "g", 3, "b").collect()} == {0.0}
 
 
+def test_binomial_table_is_the_distribution():
+    for k, n in ((0, 9), (9, 9), (3, 10), (1, 2), (57, 400)):
+        counts, upto = stats.binomial_table(k, n)
+        exact = np.cumsum([math.comb(n, i) * (k / n) ** i * (1 - k / n) ** (n - i) for i in range(n + 1)])
+        assert np.allclose(upto, exact[counts], atol=1e-12)
+    counts, _ = stats.binomial_table(10**9, 10**12)
+    assert len(counts) < 600_000
+
+
+def test_ratio_without_trials_is_null(spark):
+    assert stats.ratio_bootstrap(0, 0, 1, 10, spark, reps=20).first().median_ratio is None
+    assert stats.ratio_bootstrap(0, 10, 1, 10, spark, reps=20).first().low < 1e-6
+
+
 def test_ratio_bootstrap_is_near_the_ratio(spark):
     out = stats.ratio_bootstrap(300, 1000, 100, 1000, spark, reps=500).first()
     assert 2.4 < out.low < out.median_ratio < out.high < 3.8 and out.median_ratio == pytest.approx(3.0, rel=0.1)
