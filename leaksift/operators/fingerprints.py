@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +35,46 @@ def shingle_words(words: Column, size: int, digest: str) -> Column:
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), at))
 
 
-@F.pandas_udf(T.LongType())
-def majority_word(hashes: pd.Series) -> pd.Series:
+#: Every byte with each of its bits in a byte of its own, so that 255 hashes are added without a carry.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+_ADDED, _HELD = 255, 1 << 15
+
+
+def majority_words(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per row of a flat list of 64-bit hashes, the word of the bits that more than half of them have set; 0 for no hashes.
+
+    All rows of a batch are counted together: bits are spread to eight counters
+    a number, summed over up to 255 hashes of a row at a time, and only those
+    sums are widened and added per row.
+    """
+    sizes = np.diff(offsets)
+    filled = np.flatnonzero(sizes)
+    words = np.zeros(len(sizes), np.uint64)
+    if len(filled) == 0:
+        return words.view(np.int64)
+    pieces = -(-sizes[filled] // _ADDED)
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    starts = np.repeat(offsets[:-1][filled], pieces) + (np.arange(first[-1]) - np.repeat(first[:-1], pieces)) * _ADDED
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+    sums = np.empty((len(starts), 8), np.uint64)
+    low = 0
+    while low < len(starts):  # what lies in a cache at a time
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + _HELD)))
+        end = starts[high] if high < len(starts) else offsets[-1]
+        np.add.reduceat(_LANES[raw[starts[low]:end]], starts[low:high] - starts[low], axis=0, out=sums[low:high])
+        low = high
+    counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, WORD_BITS).astype(np.int64), first[:-1], axis=0)
+    words[filled] = np.packbits(counts * 2 > sizes[filled, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return words.view(np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def majority_word(hashes: pa.Array) -> pa.Array:
     """Bit ``i`` is set when more than half of a row's hashes have it set (null for no hashes)."""
-    def one(row: np.ndarray | None) -> int | None:
-        if row is None or len(row) == 0:
-            return None
-        counts = np.zeros(WORD_BITS, np.int64)
-        for lo in range(0, len(row), 1 << 16):
-            part = np.ascontiguousarray(row[lo:lo + (1 << 16)], dtype=np.int64).view(np.uint8)
-            counts += np.unpackbits(part.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return int(np.packbits(counts * 2 > len(row), bitorder="little").view(np.int64)[0])
-
-    return pd.Series([one(row) for row in hashes], dtype="Int64")
+    values = hashes.values.to_numpy(zero_copy_only=False) if hashes.values.null_count == 0 else hashes.values.fill_null(0).to_numpy()
+    offsets = hashes.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)
+    return pa.array(majority_words(values, offsets), pa.int64(), mask=(sizes == 0) | hashes.is_null().to_numpy(zero_copy_only=False))
 
 
 # Keeps a later filter on a fingerprint from being pushed below its computation,

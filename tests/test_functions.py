@@ -149,3 +149,19 @@ def test_scrub_changes_string_values_only(spark):
     out = one(spark, keys.scrub_all(value, (("[0-9]+", "N"),), kind))
     assert out.k1 == 12 and out["a.2"] == 'say "N" \\ N' and out.m == {"key5": "vN"} and out.gone is None
     assert out.s.t9 == ["Na", None] and out.s.d == 2.5
+
+
+def test_majority_words_of_a_whole_batch():
+    import numpy as np
+
+    from leaksift.operators.fingerprints import majority_words
+
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(0, 40, 300), [0, 1, 255, 256, 70_000, 0]])
+    offsets = np.concatenate([[3], 3 + np.cumsum(sizes)])  # a sliced batch does not start at 0
+    values = rng.integers(-2**63, 2**63 - 1, offsets[-1])
+    got = majority_words(values, offsets)
+    for a, b, word in zip(offsets, offsets[1:], got):
+        bits = np.unpackbits(values[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > b - a
+        assert word == np.packbits(bits, bitorder="little").view(np.int64)[0]
+    assert majority_words(values[:0], np.zeros(1, np.int64)).tolist() == []
