@@ -130,14 +130,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     links = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def hung(pairs: DataFrame) -> DataFrame:
+    def hung(pairs: DataFrame, rows: int) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return salted_lookup(pairs, least, ["u"], ["v"], "inner")
+        return salted_lookup(pairs, least, ["u"], ["v"], "inner", rows=rows)
 
     for _ in range(rounds):
+        ends = 2 * links.count()  # counted on what is written: with few links no star can be large, and none is looked for
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = hung(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = hung(large)
+        large = hung(both, ends).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = hung(large, ends)
         new = materialise(small.select(F.col("u").alias("a"), F.col("m").alias("b"))
                           .unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")))
                           .where(F.col("a") != F.col("b")).distinct())

@@ -113,14 +113,18 @@ def fit_voter(counts: np.ndarray, labels: np.ndarray, totals: dict[int, int], di
     if len(labels) == 0:
         return Voter(np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros((0, 1), np.float32), labels, np.zeros(0), prior)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-    matrix = _weighted(counts, idf)
-    _, vectors = np.linalg.eigh(matrix.T @ matrix)
+    gram = np.zeros((counts.shape[1],) * 2)
+    for lo in range(0, len(counts), BLOCK):  # a block at a time: the driver holds no second copy of the sample
+        block = _weighted(counts[lo:lo + BLOCK], idf)
+        gram += block.T @ block
+    _, vectors = np.linalg.eigh(gram)
     basis = vectors[:, ::-1][:, :dimensions]
     basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)
     seen = {y: int((labels == y).sum()) for y in (0, 1)}
     weights = np.array([totals[int(y)] / seen[int(y)] for y in labels], np.float64)
     voter = Voter(idf, basis, np.zeros((0, 1), np.float32), labels, weights / weights.mean(), prior)
-    return Voter(idf, basis, voter.embed(counts), labels.astype(np.float64), weights / weights.mean(), prior)
+    latent = np.concatenate([voter.embed(counts[lo:lo + BLOCK]) for lo in range(0, len(counts), BLOCK)])
+    return Voter(idf, basis, latent, labels.astype(np.float64), weights / weights.mean(), prior)
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
