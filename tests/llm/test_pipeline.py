@@ -93,3 +93,34 @@ def test_the_mix_meets_its_targets(steps):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in taken)
+
+
+def test_run_equals_the_stages(spark, steps):
+    """``run`` writes between the stages as the fixture does, so the rows are the same."""
+    want = steps["mixing"][1]
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_every_stage_is_computed_once(spark, monkeypatch):
+    """A stage's own work runs once per document in ``run``."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark_, docs, sf):
+        def touch(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+        return docs.mapInPandas(touch, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("counted", counted), *corpus_pipeline.STAGES[3:]])
+    corpus_pipeline.run(spark, SF).collect()
+    assert seen.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_clashing_columns_are_replaced_by_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "en", 5, "old", 0.5, 7, "p"), (2, "d e", "y", "en", 3, "old", 0.5, 7, "p")],
+                                 "doc_id long, text string, source string, lang string, n_chars long, size string, target double, taken int, pieces string")
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert len(set(out.columns)) == len(out.columns) and {r["size"] for r in out.collect()} <= {2, 3}
