@@ -11,10 +11,6 @@ def sha256_digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def md5_digest(content: Column) -> Column:
-    """Hex MD5 of a string or binary column."""
-    return F.md5(content)
-
 
 def byte_identical(left: Column, right: Column) -> Column:
     """True when both contents have the same length and digest."""

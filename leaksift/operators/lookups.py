@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksift.functions.digest import order_digest
 from leaksift.operators.fingerprints import normalised_words
 from leaksift.operators.skew import salted_lookup
 
@@ -169,10 +168,6 @@ def filter_group(rows: DataFrame, membership: DataFrame, on: str, exclude: bool
     return kept.join(missing, F.lit(True)).where(check.cast("boolean")).drop("_missing", "_name")
 
 
-def review_order(seed: object, key: str) -> Column:
-    """Seeded order for a review sample."""
-    return order_digest(seed, F.col(key))
-
 
 def passage_hits(items: DataFrame, benchmark: DataFrame, key: str, size: int = 8, text: str = "text") -> DataFrame:
     """Keys of items that share a run of ``size`` words with any benchmark text.

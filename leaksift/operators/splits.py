@@ -182,10 +182,6 @@ def ratio_split(items: DataFrame, key: str, shares: Sequence[tuple[str, float]],
     return joined.withColumn("part", part).drop("_p", "_size")
 
 
-def leave_one_out(items: DataFrame, group: str, held: object) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows with one group (or source) held out."""
-    return items.where(F.col(group) != held), items.where(F.col(group) == held)
-
 
 def leave_one_out_sizes(items: DataFrame, group: str) -> DataFrame:
     """Training and test size of every fold, from one count per group."""

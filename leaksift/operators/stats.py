@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from leaksift.functions.counters import PRIME, drawn, replicate_sums, split_counts
 from leaksift.functions.digest import draw_index
-from leaksift.functions.intervals import T_CRITICAL_DF9, collision_probability, normal_tail, z_quantile
+from leaksift.functions.intervals import T_CRITICAL_DF9, normal_tail, z_quantile
 from leaksift.operators.lookups import seed_pairs
 from leaksift.operators.metrics import combined_scores
 from leaksift.operators.ranks import average_rank, ordinal_rank
@@ -109,11 +109,6 @@ def rate_gap(rates: DataFrame, name: str) -> DataFrame:
         F.when(q > 0, p / F.when(q > 0, q)).alias("ratio"))
 
 
-def collision_baseline(benches: DataFrame, volume: str, radius: int = 6, bits: int = 128) -> DataFrame:
-    """Hits expected between uniform fingerprints for each comparison volume."""
-    return benches.withColumn("expected_hits", F.col(volume) * F.lit(collision_probability(radius, bits))) \
-        .withColumn("expected_exact", F.col(volume) * F.lit(collision_probability(0, bits)))
-
 
 def binomial_table(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts a binomial of ``n`` trials at rate ``k / n`` can take, and its distribution function.

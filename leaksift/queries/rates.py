@@ -166,23 +166,23 @@ def user_majority(spark, sf):
 
 
 @registry.add(f"""{PREDICTIONS},
-c AS (SELECT source, y, count(*) n, count(*) FILTER (WHERE y=pred) k FROM pred WHERE team='team4' GROUP BY 1,2),
+c AS (SELECT source, y, count(*) n, count(*) FILTER (WHERE y=pred) k FROM pred GROUP BY 1,2),
 t AS (SELECT source, sum(n) n, sum(k)/sum(n) acc FROM c GROUP BY 1),
 d AS (SELECT source, y AS dominant_label FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, y)=1),
 o AS (SELECT c.source, sum(k)/sum(n) acc FROM c JOIN d USING (source) WHERE y<>dominant_label GROUP BY 1)
 SELECT source, dominant_label, t.n::BIGINT n, round(t.acc,9) accuracy, round(o.acc,9) accuracy_other,
  CASE WHEN t.acc>=0.8 THEN 'high' WHEN t.acc<=0.2 THEN 'low' ELSE 'mid' END AS level FROM t JOIN d USING (source) LEFT JOIN o USING (source)""")
 def group_accuracy_profile(spark, sf):
-    """Accuracy per group, its dominant label, and accuracy outside that label."""
-    rows = predictions(spark, sf).where(F.col("team") == "team4").withColumn("correct", F.col("y") == F.col("pred"))
+    """Accuracy per group over all teams, its dominant label, and accuracy outside that label."""
+    rows = predictions(spark, sf).withColumn("correct", F.col("y") == F.col("pred"))
     return rounded(group_profile(rows, "source", "y", "correct"), "accuracy", "accuracy_other")
 
 
 @registry.add(f"""{PREDICTIONS}
-SELECT y, pred, count(*) n FROM pred WHERE team='team4' AND y<>pred GROUP BY 1,2 ORDER BY n DESC, y, pred LIMIT 15""")
+SELECT y, pred, count(*) n FROM pred WHERE y<>pred GROUP BY 1,2 ORDER BY n DESC, y, pred LIMIT 15""")
 def label_disagreement(spark, sf):
-    """The fifteen most frequent differing label pairs."""
-    return disagreement(predictions(spark, sf).where(F.col("team") == "team4"), "y", "pred")
+    """The fifteen most frequent differing label pairs over all teams."""
+    return disagreement(predictions(spark, sf), "y", "pred")
 
 
 @registry.add(f"""{PREDICTIONS},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leaksift.functions.bits import word_hex
-from leaksift.functions.digest import byte_identical, draw_index, sha256_digest
+from leaksift.functions.digest import draw_index, sha256_digest
 from leaksift.functions.keys import band_label
 from leaksift.functions.vectors import centred_unit_vector, gradient_hash, plane_hash, unit_vector, vector_norm
 from leaksift.operators.balls import ball_pairs, nearest
