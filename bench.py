@@ -18,7 +18,7 @@ HEADLINE = (
     "train_val_leak_by_class", "internal_leak_by_source", "cross_source_matrix", "annotated_documents",
     "line_leak_by_class", "full_audit", "benchmark_contamination_by_source", "exact_match_list", "trivial_cascade", "dedup_split_counts",
     "stratified_documents", "matched_documents", "label_shuffle", "vector_hashes", "nearest_original",
-    "ncc_band_summary", "multiclass_scores", "class_auc", "source_balanced_scores", "team_rank_shift",
+    "wide_nearest", "wide_pairs", "ncc_band_summary", "multiclass_scores", "class_auc", "source_balanced_scores", "team_rank_shift",
     "cluster_bootstrap_rate", "random_null_trials", "rank_bootstrap", "user_coverage", "value_summary",
 )
 

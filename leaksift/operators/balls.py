@@ -126,11 +126,14 @@ def allotted(parts: Parts, radius: int, rows: float) -> tuple[float, tuple[int,
     return best[radius + 1]
 
 
-def cheapest(parts_of: Callable[[int], Parts], bits: int, radius: int, rows: float) -> tuple[float, Parts, tuple[int, ...]]:
-    """Cost, parts and thresholds of the best number of parts; none wider than a signed long."""
+def cheapest(parts_of: Callable[[int], Parts], bits: int, radius: int, rows: float,
+             around: int | None = None) -> tuple[float, Parts, tuple[int, ...]]:
+    """Cost, parts and thresholds of the best number of parts (near ``around`` if given); none wider than a signed long."""
     found = None
     fewest = -(-bits // (WORD_BITS - 1))
     for count in range(fewest, max(fewest, min(MOST_PARTS, radius + 1)) + 1):
+        if around is not None and abs(count - around) > 2:
+            continue
         parts = parts_of(count)
         cost, thresholds = allotted(parts, radius, rows)
         if not math.isinf(cost) and (found is None or cost < found[0]):
@@ -212,8 +215,9 @@ def ball_pairs(left: DataFrame, right: DataFrame, *, words: Sequence[str], radiu
     words, on = list(words), list(on)
     a, b = _sampled(left, words, SAMPLE_QUERIES), _sampled(right, words, SAMPLE_ROWS)
     bits = len(words) * WORD_BITS
-    parts_of = (lambda n: measured_parts(a, b, n)) if len(a) and len(b) else (lambda n: uniform_parts(bits, n))
-    _, parts, thresholds = cheapest(parts_of, bits, radius, rows)
+    _, parts, thresholds = cheapest(lambda n: uniform_parts(bits, n), bits, radius, rows)
+    if len(a) and len(b):
+        _, parts, thresholds = cheapest(lambda n: measured_parts(a, b, n), bits, radius, rows, around=len(parts.bits))
     steps = [(p, d) for p, t in enumerate(thresholds) for d in range(t + 1)]
     met = _met(left, right, words, on, parts, steps, rows, tile_rows)
     wa, wb = ([F.col(f"{w}_{s}") for w in words] for s in "ab")
