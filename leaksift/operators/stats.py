@@ -17,18 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaksift.functions.counters import PRIME, drawn, replicate_sums, split_counts
-from leaksift.functions.digest import draw_index
 from leaksift.functions.intervals import T_CRITICAL_DF9, normal_tail, z_quantile
 from leaksift.operators.lookups import seed_pairs
-from leaksift.operators.metrics import combined_scores
 from leaksift.operators.ranks import average_rank, ordinal_rank
-from leaksift.operators.skew import hash_rank, quota_sample, running_total
+from leaksift.operators.skew import hash_rank, running_total
 
 BOARD_EDGES = 64
 RATE_FLOOR = 1e-9  # fixed value of the published test
 LEAST_LIKELY = 1e-13
 EXACT_PAIRS = 3_000
-BLOCK_GROUPS, SPAN_REPS = 8_192, 1_000
+BLOCK_GROUPS, SPAN_REPS, SPAN_RANKS = 8_192, 1_000, 250
 CLUSTER_REPS, PAIRED_REPS, NULL_TRIALS, RANK_REPS = 20_000, 10_000, 1_000, 1_000
 
 
@@ -461,27 +459,14 @@ def agreement_errors(rows: DataFrame, by: Sequence[str], x: str, y: str) -> Data
 
 # --- nulls and rank uncertainty ----------------------------------------------
 
-def random_memberships(items: DataFrame, key: str, trials: int = NULL_TRIALS, seed: str = "null", size: int | None = None,
-                       targets: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Seeded subsets: ``trial`` and ``key``; one size, or ``targets`` per class."""
-    trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    spread = items.select(key, *by, trial)
-    if targets is None:
-        numbers = items.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"), F.lit(size).alias("target"))
-        return quota_sample(spread, numbers, ["trial", key], ["trial"], seed).select("trial", key)
-    goals = targets.select(*by, "target", trial)
-    return quota_sample(spread, goals, ["trial", key], ["trial", *by], seed).select("trial", key)
-
-
-def null_trials(scored: DataFrame, memberships: DataFrame, original: DataFrame, key: str, team: str,
-                absent: str = "zero") -> DataFrame:
+def null_trials(trials: DataFrame, original: DataFrame, team: str) -> DataFrame:
     """Per trial: mean and median team delta, Spearman of ranks, ranks changed, extreme shifts.
 
-    ``original`` holds each team's ``combined`` on all rows.
+    ``trials`` holds each team's ``combined`` per ``rep``, ``original`` on all
+    rows. Scores that agree to twelve digits are a tie.
     """
-    again = combined_scores(scored.join(memberships, key), ["trial", team], absent).select(
-        "trial", team, F.col("combined").alias("_sub"))
-    both = again.join(original.select(team, F.col("combined").alias("_orig")), team)
+    again = trials.select(F.col("rep").alias("trial"), team, F.round("combined", 12).alias("_sub"))
+    both = again.join(original.select(team, F.round("combined", 12).alias("_orig")), team)
     ranked = average_rank(average_rank(both, ["trial"], "_orig", "_ro"), ["trial"], "_sub", "_rs")
     delta, shift = F.col("_sub") - F.col("_orig"), F.col("_ro") - F.col("_rs")
     rho = correlation("_ro", "_rs")
@@ -508,21 +493,9 @@ def attributable(observed: DataFrame, null: DataFrame) -> DataFrame:
         (o - F.col("mean_delta_high")).alias("low"), (o - F.col("mean_delta_low")).alias("high"))
 
 
-def resample_weights(items: DataFrame, key: str, reps: int = RANK_REPS, seed: str = "boot") -> DataFrame:
-    """How often each item is drawn in each of ``reps`` resamples: ``rep``, ``key``, ``weight``."""
-    numbered = hash_rank(items.select(key), [key], (), seed, "_at")
-    size = items.agg(F.count(F.lit(1)).alias("_size"))
-    draws = (numbered.join(size, F.lit(True))
-             .select("_at", "_size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-             .select("rep", (draw_index(F.col("_size"), F.lit(seed), F.col("rep"), F.col("_at")) + 1).alias("_at"))
-             .groupBy("rep", "_at").agg(F.count(F.lit(1)).alias("weight")))
-    return draws.join(numbered, "_at").select("rep", key, "weight")
-
-
-def rank_replicates(scored: DataFrame, weights: DataFrame, key: str, team: str, absent: str = "zero") -> DataFrame:
-    """Rank of every team in every resample of rows (ties by name)."""
-    scores = combined_scores(scored.join(weights, key), ["rep", team], absent, weight="weight")
-    return ordinal_rank(scores, ["rep"], "combined", team).select("rep", team, "combined", "rank")
+def rank_replicates(scores: DataFrame, team: str) -> DataFrame:
+    """``scores`` per ``rep`` with the rank of every team; ties (to twelve digits) by name."""
+    return ordinal_rank(scores.withColumn("combined", F.round("combined", 12)), ["rep"], "combined", team)
 
 
 def rank_ranges(replicates: DataFrame, team: str, top: int = 5) -> DataFrame:
@@ -534,11 +507,18 @@ def rank_ranges(replicates: DataFrame, team: str, top: int = 5) -> DataFrame:
 
 
 def win_probabilities(replicates: DataFrame, team: str, sure: float = 0.95) -> DataFrame:
-    """Team pairs of which one nearly always ranks above the other; the report is one row per pair."""
-    a = replicates.select("rep", F.col(team).alias("team_a"), F.col("rank").alias("_ra"))
-    b = replicates.select("rep", F.col(team).alias("team_b"), F.col("rank").alias("_rb"))
-    p = F.avg((F.col("_ra") < F.col("_rb")).cast("double"))
-    return (a.join(b, "rep").where(F.col("team_a") < F.col("team_b"))
+    """Team pairs of which one nearly always ranks above the other; the report is one row per pair.
+
+    Ranks of a span of replicates are one array per team, so a pair is compared
+    once per span, not once per replicate. Every team has a rank in every replicate.
+    """
+    spans = (replicates.groupBy(F.floor(F.col("rep") / SPAN_RANKS).alias("_span"), team)
+             .agg(F.array_sort(F.collect_list(F.struct("rep", "rank")))["rank"].alias("_ranks")))
+    a, b = (spans.select("_span", F.col(team).alias(f"team_{side}"), F.col("_ranks").alias(f"_{side}")) for side in "ab")
+    won = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x < y), lambda w: w))
+    p = F.sum("_won") / F.sum("_n")
+    return (a.join(b, "_span").where(F.col("team_a") < F.col("team_b"))
+            .select("team_a", "team_b", won.alias("_won"), F.size("_a").alias("_n"))
             .groupBy("team_a", "team_b").agg(p.alias("p_a_above_b"))
             .where((F.col("p_a_above_b") >= sure) | (F.col("p_a_above_b") <= 1 - sure)))
 

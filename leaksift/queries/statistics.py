@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from leaksift.functions.counters import PRIME, drawn_sql
 from leaksift.functions.intervals import two_proportion_z, two_sided_p
 from leaksift.operators.metrics import combined_scores
+from leaksift.operators.replicates import random_memberships, replicate_scores, resample_weights
 from leaksift.operators.splits import proportional_targets
-from leaksift.operators.stats import (CLUSTER_REPS, LEAST_LIKELY, RATE_FLOOR, agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
+from leaksift.operators.stats import (CLUSTER_REPS, LEAST_LIKELY, NULL_TRIALS, RANK_REPS, RATE_FLOOR, agreement_errors, arm_means, attributable, bca_interval, cluster_rates,
                                       decompose, dose_response, effect_size, kendall, leave_top_out, mean_summary,
                                       normal_interval, null_summary, null_trials, paired_bootstrap,
                                       paired_contrast, pearson, percentile_interval, protocol_gap,
-                                      random_memberships, rank_ranges, rank_replicates, rate_gap,
-                                      ratio_bootstrap, resample_weights, signed_rank, spearman, t_interval,
+                                      rank_ranges, rank_replicates, rate_gap,
+                                      ratio_bootstrap, signed_rank, spearman, t_interval,
                                       win_probabilities)
-from leaksift.queries.base import PREDICTIONS, Registry, Z, index_sql, r9, rounded, table
+from leaksift.queries.base import PREDICTIONS, Registry, Z, r9, rounded, table
 from leaksift.queries.metrics import combined_sql, scored
 from leaksift.session import materialise
 
 registry = Registry()
-# Replicates that the SQL can repeat in its time; the library's defaults are larger.
-NULLS, RANKS = 40, 40
+NULLS, RANKS = NULL_TRIALS, RANK_REPS
 BOOT, PAIRS = CLUSTER_REPS, CLUSTER_REPS
 
 # --- runs: (arm, seed) means of line items ---------------------------------------
@@ -300,15 +300,22 @@ def _trial_sql(members):
     return f"""{PREDICTIONS}, {combined_sql('o', 'team', 'zero')}, {members},
 tp AS (SELECT trial, pred.* FROM pred JOIN mem USING (vec_id)), tl AS (SELECT trial, long.* FROM long JOIN mem USING (vec_id)),
 {combined_sql('u', 'trial, team', 'zero', 'tp', 'tl')},
-j AS (SELECT trial, team, o.combined a, u.combined b FROM u JOIN o USING (team)),
+j AS (SELECT trial, team, round(o.combined,12) a, round(u.combined,12) b FROM u JOIN o USING (team)),
 k AS (SELECT *, b-a d, rank() OVER (PARTITION BY trial ORDER BY a DESC)+(count(*) OVER (PARTITION BY trial, a)-1)/2 ra,
   rank() OVER (PARTITION BY trial ORDER BY b DESC)+(count(*) OVER (PARTITION BY trial, b)-1)/2 rb FROM j),
 trials AS (SELECT trial, count(*) n_teams, avg(d) mean_delta, median(d) median_delta, corr(ra,rb) rho, count(*) FILTER (WHERE abs(ra-rb)>1e-9) n_changed,
   min(ra-rb) max_drop, max(ra-rb) max_rise, median(abs(ra-rb)) median_abs_shift FROM k GROUP BY 1)"""
 
 
-_PLAIN = f"""mem AS (SELECT trial, vec_id FROM items, (SELECT unnest(range({NULLS}))::INTEGER trial)
- QUALIFY row_number() OVER (PARTITION BY trial ORDER BY md5('null:'||trial||':'||vec_id), vec_id)<=150)"""
+def _drawn_trials_sql(seed):
+    """Every item's draw per trial; a subset takes the least."""
+    counter = f"('0x'||substr(md5('{seed}:'||vec_id),1,7))::BIGINT"
+    source = f"(SELECT vec_id, y, {counter} AS nth, trial FROM items, (SELECT unnest(range({NULLS}))::INTEGER trial))"
+    return drawn_sql(seed, source, "vec_id, y", "trial", "nth")
+
+
+_PLAIN = f"""mem AS (SELECT trial, vec_id FROM {_drawn_trials_sql('null')}
+ QUALIFY row_number() OVER (PARTITION BY trial ORDER BY x, md5('null:'||vec_id), vec_id)<=150)"""
 _TRIALS_OUT = "trial, n_teams, n_changed, " + ", ".join(f"round({c},9) {c}" for c in _TRIAL_COLUMNS)
 
 
@@ -320,7 +327,8 @@ def _trials(spark, sf, stratified=False):
         members = random_memberships(items, "vec_id", NULLS, "strat", targets=proportional_targets(items, "y", 150), by=["y"])
     else:
         members = random_memberships(items, "vec_id", NULLS, "null", size=150)
-    return rows, original, null_trials(rows, members, original, "vec_id", "team")
+    trials = replicate_scores(rows, members, NULLS, "vec_id", "team")
+    return rows, original, null_trials(trials, original, "team")
 
 
 @registry.add(f"{_trial_sql(_PLAIN)} SELECT {_TRIALS_OUT} FROM trials")
@@ -331,8 +339,8 @@ def random_null_trials(spark, sf):
 
 _STRAT = f"""cc AS (SELECT y, count(*) n FROM items GROUP BY 1), tt AS (SELECT y, n, round_even(n*150/(SELECT sum(n) FROM cc),0)::BIGINT t FROM cc),
 goal AS (SELECT y, t + CASE WHEN row_number() OVER (ORDER BY n DESC, y)=1 THEN 150-(SELECT sum(t) FROM tt) ELSE 0 END AS target FROM tt),
-mem AS (SELECT trial, vec_id FROM (SELECT trial, vec_id, target, row_number() OVER (PARTITION BY trial, items.y ORDER BY md5('strat:'||trial||':'||vec_id), vec_id) r
-  FROM items JOIN goal USING (y), (SELECT unnest(range({NULLS}))::INTEGER trial)) WHERE r<=target)"""
+mem AS (SELECT trial, vec_id FROM {_drawn_trials_sql('strat')} d JOIN goal USING (y)
+ QUALIFY row_number() OVER (PARTITION BY trial, d.y ORDER BY x, md5('strat:'||vec_id), vec_id)<=target)"""
 
 
 @registry.add(f"{_trial_sql(_STRAT)} SELECT {_TRIALS_OUT} FROM trials")
@@ -365,7 +373,8 @@ def attributable_effect(spark, sf):
 
 
 _REPS = f"""num AS (SELECT vec_id, row_number() OVER (ORDER BY md5('rank:'||vec_id), vec_id) pos, count(*) OVER () c FROM items),
-dr AS (SELECT rep, {index_sql('c', "'rank'", 'rep', 'pos')}+1 AS pos, count(*) w FROM num, (SELECT unnest(range({RANKS}))::INTEGER rep) GROUP BY 1,2),
+slots AS (SELECT pos-1 AS slot, c, rep FROM num, (SELECT unnest(range({RANKS}))::INTEGER rep)),
+dr AS (SELECT rep, x%c+1 AS pos, count(*) w FROM {drawn_sql('rank', 'slots', 'c', 'rep', 'slot')} GROUP BY 1,2),
 wt AS (SELECT rep, vec_id, w FROM dr JOIN num USING (pos)),
 wp AS (SELECT rep, w, pred.* FROM pred JOIN wt USING (vec_id)), wl AS (SELECT rep, w, long.* FROM long JOIN wt USING (vec_id)),
 {combined_sql('b', 'rep, team', 'zero', 'wp', 'wl', 'w')},
@@ -375,7 +384,7 @@ rk AS (SELECT rep, team, row_number() OVER (PARTITION BY rep ORDER BY round(comb
 def _replicates(spark, sf):
     rows = scored(spark, sf)
     weights = resample_weights(rows.where(F.col("team") == "team0").select("vec_id"), "vec_id", RANKS, "rank")
-    return rank_replicates(rows, weights, "vec_id", "team")
+    return rank_replicates(replicate_scores(rows, weights, RANKS, "vec_id", "team"), "team")
 
 
 @registry.add(f"""{PREDICTIONS}, {_REPS}
