@@ -201,7 +201,26 @@ def vector_flag_modes(spark, sf):
     return out.select("mode", "k")
 
 
-@registry.add(None)
+def _picked(at):
+    """The entries of ``e`` that a rule names by position ``i``."""
+    return f"list_transform(range({SIZE}), lambda i: e[({at})::INTEGER+1])"
+
+
+def _changed_sql():
+    """Every vector under every change."""
+    kinds = {f"crop{p}": _picked(f"{(SIZE - SIZE * p // 100) // 2}+least({SIZE * p // 100 - 1}, i*{SIZE * p // 100}//{SIZE})") for p in (90, 75, 60)}
+    kinds |= {f"shift{n}": _picked(f"(i+{n})%{SIZE}") for n in (1, 2, 4)}
+    kinds |= {f"quant{n}": f"list_transform(e, lambda x: round(x*{n})/{n})" for n in (90, 40, 10)}
+    kinds |= {name: _picked(f"least({SIZE - 1}, ((i*{n}//{SIZE})*{SIZE})//{n})") for name, n in (("half", SIZE // 2), ("double", SIZE * 2))}
+    return " UNION ALL ".join(f"SELECT vec_id, '{name}' AS transform, {v} AS v FROM o" for name, v in kinds.items())
+
+
+@registry.add(f"""WITH o AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), c AS ({_changed_sql()}),
+{_phash_cte('po', 'o', 'vec_id', 'e')}, {_phash_cte('pc', 'c', 'vec_id, transform', 'v')},
+h AS (SELECT transform, {ham('po.phash', 'pc.phash')} p, {ham('a', 'b')} d FROM (SELECT vec_id, {_dhash_sql('e')} a FROM o) JOIN po USING (vec_id)
+ JOIN (SELECT vec_id, transform, {_dhash_sql('v')} b FROM c) USING (vec_id) JOIN pc USING (vec_id, transform))
+SELECT transform, count(*) n, round(avg(p),9) phash_mean, median(p)::DOUBLE phash_median, max(p) phash_max, round(avg(d),9) dhash_mean, median(d)::DOUBLE dhash_median,
+ max(d) dhash_max, round(avg((p<=6 AND d<=6)::INTEGER),9) share_le6, round(avg((p<=2 AND d<=2)::INTEGER),9) share_le2 FROM h GROUP BY 1""")
 def perturbation_table(spark, sf):
     """Hash distance under eleven perturbations of every vector."""
     out = perturbation_robustness(_vectors(spark, sf), "vec_id", "embedding", SIZE)
