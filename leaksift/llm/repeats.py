@@ -4,13 +4,17 @@ Of all suffixes of the texts only those are kept that begin at a minimiser: the
 run of ``KMER`` words with the least hash among the runs of a passage of
 ``least`` words. Equal passages choose the same place, so no repeat is lost,
 and about one suffix in twenty is kept. Suffixes whose first run occurs once
-are dropped by a count. The others are sorted, and neighbours are compared over
-every passage that reaches left and right of the kept place: equal neighbours
-are repeats, and overlapping repeats join to maximal spans.
-
-Equal texts are one text. A suffix carries hashes of the words around it, not
-the text. Suffixes with a very frequent first run are dealt out by passage
-instead, so no task holds all of them.
+are dropped by a count. The others are sorted by their words, and each is
+compared with its neighbour word by word: the longest common prefixes of
+neighbours are the match lengths to the right of the whole order. Matches are
+extended to the left over the words before the kept place. Places that reach
+``least`` words together are repeats, and overlapping repeats join to maximal
+spans.
+
+Equal texts are one text. A suffix carries its words as 32-bit hashes, not the
+text: passages that differ in one word only are taken for equal once in 2^32.
+A first run with more than ``HOT`` suffixes is no array of one task: there
+passages are counted by their hash, with partial sums.
 """
 
 from __future__ import annotations
@@ -97,9 +101,8 @@ def passages(rows: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np
     return row, rows["first"].to_numpy()[row] + within, hashes
 
 
-def spans_of(row: np.ndarray, start: np.ndarray, repeated: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def spans_of(row: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Maximal spans of a row's repeated passages: row, first word, end."""
-    row, start = row[repeated], start[repeated]
     if len(row) == 0:
         return row, start, start
     cut = np.append(True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1))
@@ -108,16 +111,56 @@ def spans_of(row: np.ndarray, start: np.ndarray, repeated: np.ndarray, least: in
     return row[begins], start[begins], start[ends] + least
 
 
+def word_table(parts: list[bytes], backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Words of byte strings as rows, padded with zeros, and how many each has; ``backwards`` puts the last word first."""
+    sizes = np.array([len(p) // 4 for p in parts], np.int64)
+    words = np.frombuffer(b"".join(parts), ">u4").astype(np.uint64)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(parts)), sizes)
+    within = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+    table = np.zeros((len(parts), int(sizes.max(initial=0))), np.uint64)
+    table[row, sizes[row] - 1 - within if backwards else within] = words
+    return table, sizes
+
+
+def common_prefixes(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words that every suffix shares with the one before it, from the second on."""
+    differs = suffixes[1:] != suffixes[:-1]
+    first = np.where(differs.any(1), differs.argmax(1), suffixes.shape[1])
+    return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+
+
+def extended_matches(rows: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of every passage that another of the sorted suffixes has as well.
+
+    A passage with ``l`` words before its kept place and ``least - l`` from it
+    on is repeated when another suffix shares both. Suffixes that share so many
+    words to the right lie side by side, bounded by shorter common prefixes;
+    among them those with the same ``l`` words to the left are told by
+    extending the match by one word at a time.
+    """
+    suffixes, sizes = word_table(list(rows["suffix"]))
+    before, reach = word_table(list(rows["before"]), backwards=True)
+    shared = common_prefixes(suffixes, sizes)
+    nearest = rows["at"].to_numpy() - rows["last"].to_numpy()  # passages that begin later chose another place
+    repeated = np.zeros((len(rows), before.shape[1] + 1), bool)
+    left = np.zeros(len(rows), np.uint64)
+    for l in range(before.shape[1] + 1):  # noqa: E741
+        if l:
+            left = np.unique(left << np.uint64(32) | before[:, l - 1], return_inverse=True)[1].astype(np.uint64)
+        right = np.append(0, np.cumsum(shared < least - l)).astype(np.uint64)
+        able = np.flatnonzero((reach >= l) & (nearest <= l))
+        _, group, count = np.unique(right[able] << np.uint64(32) | left[able], return_inverse=True, return_counts=True)
+        repeated[able[count[group] > 1], l] = True
+    row, from_left = np.nonzero(repeated[:, ::-1])
+    return row, rows["at"].to_numpy()[row] - (before.shape[1] - from_left)
+
+
 def neighbours_equal(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Spans of passages that a neighbour in sorted order repeats; all suffixes of one first run lie in one task."""
+    """Maximal spans of extended matches; all suffixes of one first run lie in one task, sorted by their words."""
     for rows, _ in sorted_runs(batches, ["kmer"]):
-        row, start, hashes = passages(rows, least)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        repeated = np.zeros(len(hashes), bool)
-        repeated[order[1:][same]] = True
-        repeated[order[:-1][same]] = True
-        r, begin, end = spans_of(row, start, repeated, least)
+        row, start = extended_matches(rows, least)
+        r, begin, end = spans_of(row, start, least)
         if len(r):
             yield pd.DataFrame({"digest": rows["digest"].to_numpy()[r], "begin": begin, "end": end})
 

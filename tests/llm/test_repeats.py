@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+
 from leaksift.llm import repeats
 from leaksift.llm.common import words_of
 
@@ -69,3 +72,21 @@ def test_frequent_runs_give_the_same(spark):
 
 def test_empty_table(spark):
     assert repeats.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_matches_come_from_the_order_of_suffixes():
+    def row(before, suffix, last):
+        coded = [np.array([ord(c) for c in w], ">u4").tobytes() for w in (suffix, before)]
+        return dict(kmer=1, digest=0, at=len(before), first=0, last=last, suffix=coded[0], before=coded[1])
+
+    # Passages of six words: the second and third share xab|cde, the first and third only what follows the bar.
+    rows = pd.DataFrame([row("ab", "cdef", 2), row("xab", "cdeg", 3), row("xab", "cdeh", 3), row("qab", "cdfh", 3)])
+
+    def found(table):
+        r, start = repeats.extended_matches(table.reset_index(drop=True), 6)
+        return sorted((table.index[i], int(s)) for i, s in zip(r, start))
+
+    assert found(rows) == [(1, 0), (2, 0)]
+    assert found(rows.iloc[[1, 3, 2, 0]]) == []  # out of order the neighbours share too little
+    suffixes, sizes = repeats.word_table(list(rows["suffix"]))
+    assert repeats.common_prefixes(suffixes, sizes).tolist() == [3, 3, 2]
