@@ -3,11 +3,13 @@
 A CGK embedding walks over a sequence of words and, by a random bit per step
 and word, repeats a word or moves on; sequences at a small edit distance get
 embeddings at a small Hamming distance. Sampling positions of the embedding is
-then an LSH for edit distance. Windows of every document, as long as an item,
-are embedded and meet the items whose samples they share in any repetition;
-the number of repetitions grows until the recall measured on edited copies of
-the items reaches the target. Candidates are verified by the exact word edit
-distance.
+then an LSH for edit distance. Positions are drawn from the part that nearly
+all walks reach, so a key is made of words, not of the padding behind them.
+Windows of every document, as long as an item, are embedded and meet the items
+whose samples they share in any repetition. Every item length has as many
+repetitions as its own recall, measured on edited copies of its items, needs
+for the target; a length that ``MOST_REPETITIONS`` do not bring there has all
+its windows verified. Candidates are verified by the exact word edit distance.
 
 Only windows that can match are embedded: with at most ``e`` edits in ``n``
 words some run of ``(n - e) / (e + 1)`` words is untouched, so a text that
@@ -32,10 +34,10 @@ from leaksift.llm.common import mixed, words_of
 
 SIMILARITY = 0.8
 BLOCK_WORDS = 1_000_000
-SAMPLES = 2
+SAMPLES, APART = 2, 4
 MOST_REPETITIONS = 256
 TARGET_RECALL = 0.99
-TRIALS = 400
+TRIALS = 200
 FILTER_BITS = 22
 
 
@@ -67,8 +69,30 @@ def embedded(windows: np.ndarray, repetition: int, positions: np.ndarray) -> np.
 
 
 def sampled(n: int, repetition: int) -> np.ndarray:
-    """Positions of an embedding of ``n`` words that a repetition looks at."""
-    return np.sort(np.random.default_rng((n, repetition)).choice(3 * n, min(SAMPLES, 3 * n), replace=False))
+    """Positions of an embedding of ``n`` words that a repetition looks at.
+
+    They lie before the place where nearly all walks end (about 2n), and apart:
+    neighbours would often hold one word twice.
+    """
+    reach = max(1, int(2 * n - 2 * math.sqrt(2 * n)))
+    count = min(SAMPLES, reach)
+    apart = min(APART, (reach + 1) // 2)
+    free = np.random.default_rng((n, repetition)).choice(reach - (count - 1) * (apart - 1), count, replace=False)
+    return np.sort(free) + np.arange(count) * (apart - 1)
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """``words`` after random edits by an unknown word (0)."""
+    copy = words.tolist()
+    for _ in range(edits):
+        kind, at = rng.integers(3), int(rng.integers(max(1, len(copy))))
+        if kind == 0 and copy:
+            copy[at] = 0
+        elif kind == 1:
+            copy.insert(at, 0)
+        elif len(copy) > 1:
+            del copy[at]
+    return np.array(copy, np.int64)
 
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -110,7 +134,6 @@ class Matcher:
     words: list[np.ndarray]
     vocabulary: dict[str, int]
     similarity: float
-    repetitions: int = 1
 
     def __post_init__(self) -> None:
         self.by_size: dict[int, list[int]] = {}
@@ -128,18 +151,19 @@ class Matcher:
             table[self._slot(np.fromiter(codes, np.uint64, len(codes)))] = True
             self.filters[run] = table
         self.buckets: dict[tuple[int, int], dict[bytes, list[int]]] = {}
-        self.set_repetitions(self.repetitions)
-
-    def set_repetitions(self, count: int) -> None:
-        self.repetitions = count
-        for n, items in self.by_size.items():
-            rows = np.stack([self.words[i] for i in items])
-            for r in range(count):
-                if (n, r) not in self.buckets:
-                    table: dict[bytes, list[int]] = {}
-                    for i, key in zip(items, embedded(rows, r, sampled(n, r))):
-                        table.setdefault(key.tobytes(), []).append(i)
-                    self.buckets[(n, r)] = table
+        # Per item length; a length without an entry has all its windows verified.
+        self.repetitions: dict[int, int] = {}
+
+    def bucket(self, n: int, repetition: int) -> dict[bytes, list[int]]:
+        """Items of ``n`` words by their sampled words; samples of padding only are left out."""
+        if (n, repetition) not in self.buckets:
+            table: dict[bytes, list[int]] = {}
+            items = self.by_size[n]
+            for i, key in zip(items, embedded(np.stack([self.words[i] for i in items]), repetition, sampled(n, repetition))):
+                if (key >= 0).any():
+                    table.setdefault(key.tobytes(), []).append(i)
+            self.buckets[(n, repetition)] = table
+        return self.buckets[(n, repetition)]
 
     @staticmethod
     def _runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -167,15 +191,21 @@ class Matcher:
                     starts.setdefault(n, set()).update(range(p - offset - e, p - offset + e + 1))
         return {n: np.array(sorted(s), np.int64) for n, s in starts.items()}
 
-    def candidates(self, text: np.ndarray, n: int, starts: np.ndarray) -> dict[int, list[int]]:
-        """Items of ``n`` words whose sampled embedding a window shares in any repetition, with the windows' starts."""
+    def rows(self, text: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts inside the padded text, and their windows of ``n`` words."""
         e = edits_allowed(n, self.similarity)
         padded = np.concatenate([np.zeros(n + 2 * e, np.int64), text, np.zeros(n + 2 * e, np.int64)])
         starts = np.clip(starts, -n - e, len(text) + e)
-        rows = padded[starts[:, None] + (n + 2 * e) + np.arange(n)]
+        return starts, padded[starts[:, None] + (n + 2 * e) + np.arange(n)]
+
+    def candidates(self, text: np.ndarray, n: int, starts: np.ndarray) -> dict[int, list[int]]:
+        """Items of ``n`` words whose sampled embedding a window shares in any repetition, with the windows' starts."""
+        starts, rows = self.rows(text, n, starts)
+        if n not in self.repetitions:
+            return {i: sorted(set(starts.tolist())) for i in self.by_size[n]}
         hits: dict[int, set[int]] = {}
-        for r in range(self.repetitions):
-            table = self.buckets[(n, r)]
+        for r in range(self.repetitions[n]):
+            table = self.bucket(n, r)
             for start, key in zip(starts.tolist(), embedded(rows, r, sampled(n, r))):
                 for i in table.get(key.tobytes(), ()):
                     hits.setdefault(i, set()).add(start)
@@ -203,43 +233,53 @@ class Matcher:
                     out.append((i, *best))
         return out
 
-    def measured_recall(self, trials: int = TRIALS, seed: int = 3) -> float:
-        """Share of items found again after as many random word edits as are allowed."""
-        rng = np.random.default_rng(seed)
-        found = total = 0
-        for i in rng.choice(len(self.words), min(trials, len(self.words)), replace=False):
-            word, n = self.words[i], len(self.words[i])
-            copy = word.tolist()
-            for _ in range(edits_allowed(n, self.similarity)):
-                kind, at = rng.integers(3), int(rng.integers(max(1, len(copy))))
-                if kind == 0 and copy:
-                    copy[at] = 0
-                elif kind == 1:
-                    copy.insert(at, 0)
-                elif len(copy) > 1:
-                    del copy[at]
-            text = np.array([0] * 5 + copy + [0] * 5, np.int64)
+    def recalls(self, n: int, most: int, target: float = 1.1, trials: int = TRIALS, seed: int = 3) -> list[float]:
+        """Share of edited copies of items of ``n`` words found again with 1, 2, ... repetitions, up to the target or ``most``.
+
+        A copy has as many random edits as are allowed.
+        """
+        rng = np.random.default_rng((seed, n))
+        wanted, parts, of = [], [], []
+        for trial, i in enumerate(rng.choice(self.by_size[n], trials)):
+            text = np.concatenate([np.zeros(5, np.int64), edited(self.words[i], edits_allowed(n, self.similarity), rng), np.zeros(5, np.int64)])
+            wanted.append(int(i))
             starts = self.windows(text).get(n)
-            total += 1
-            found += starts is not None and int(i) in self.candidates(text, n, starts)
-        return found / total if total else 1.0
+            if starts is not None:
+                parts.append(self.rows(text, n, starts)[1])
+                of += [trial] * len(starts)
+        found, out = np.zeros(trials, bool), []
+        for r in range(most):
+            table = self.bucket(n, r)
+            for trial, key in zip(of, embedded(np.vstack(parts), r, sampled(n, r)) if parts else ()):
+                found[trial] = found[trial] or wanted[trial] in table.get(key.tobytes(), ())
+            out.append(float(found.mean()))
+            if out[-1] >= target:
+                break
+        return out
+
+    def fit(self, target: float) -> None:
+        """As many repetitions for every length as its recall needs."""
+        for n in self.by_size:
+            measured = self.recalls(n, MOST_REPETITIONS, target)
+            if measured[-1] >= target:
+                self.repetitions[n] = len(measured)
+        self.buckets = {(n, r): t for (n, r), t in self.buckets.items() if r < self.repetitions.get(n, 0)}
 
 
 def matcher(rows: list[tuple], similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> Matcher:
-    """Items with words, with as many repetitions as the target recall takes."""
+    """Items with words, with as many repetitions per length as the target recall takes."""
     kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in rows) if w]
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64) for _, w in kept]
-    out = Matcher([i for i, _ in kept], coded, vocabulary, similarity, 8)
-    while out.repetitions < MOST_REPETITIONS and out.measured_recall() < recall:
-        out.set_repetitions(out.repetitions * 2)
+    out = Matcher([i for i, _ in kept], coded, vocabulary, similarity)
+    out.fit(recall)
     return out
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple]]:
     """The items in blocks of about ``block_words`` words, one at a time on the driver."""
     body = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"))
-    words = body.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
+    words = body.agg(F.sum(F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
     blocks = max(1, -(-words // block_words))
     for b in range(blocks):
         rows = body.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == b).collect()

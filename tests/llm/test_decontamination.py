@@ -85,8 +85,26 @@ def test_empty_tables(spark):
     assert d.without_contaminated(full, items).count() == 1
 
 
-def test_recall_reaches_the_target():
+def test_recall_reaches_the_target_at_every_length_and_random_windows_stay_out():
     rng = random.Random(9)
-    m = d.matcher([(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(15, 60)))) for i in range(150)])
-    assert m.measured_recall(seed=8) >= 0.97
+    m = d.matcher([(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(rng.choice((6, 8, 15, 20, 30, 50))))) for i in range(300)])
+    draw = np.random.default_rng(4)
+    for n in m.by_size:
+        if n in m.repetitions:
+            assert m.recalls(n, m.repetitions[n], seed=8)[-1] >= 0.95
+            texts = [draw.integers(1, 2000, n) for _ in range(400)]
+            assert sum(bool(m.candidates(t, n, np.array([0]))) for t in texts) <= 0.05 * len(texts), n
+    assert len(m.repetitions) >= 4
     assert np.array_equal(d.best_place(np.array([1, 2, 3]), np.array([9, 1, 3, 9])), (1, 1, 3))
+
+
+def test_lengths_below_the_target_have_all_windows_verified(monkeypatch):
+    monkeypatch.setattr(d, "MOST_REPETITIONS", 1)
+    rng = random.Random(3)
+    m = d.matcher([(i, " ".join(f"w{rng.randrange(500)}" for _ in range(40))) for i in range(20)])
+    assert 40 not in m.repetitions
+    draw = np.random.default_rng(2)
+    words = list(m.vocabulary)
+    for i in range(20):
+        copy = ["other" if w == 0 else words[w - 1] for w in d.edited(m.words[i], 8, draw)]
+        assert any(found[0] == i and found[1] <= 8 for found in m.matches(["a", *copy, "b"]))
