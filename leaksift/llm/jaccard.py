@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaksift.llm.common import components, fresh, least_labels, mixed, run_hashes, sorted_runs, word_hashes, words_of
+from leaksift.llm.common import connected, fresh, least_labels, mixed, run_hashes, sorted_runs, word_hashes, words_of
 from leaksift.session import materialise
 
 TREES = 20
@@ -223,7 +223,7 @@ def _linked(docs, key, text, threshold, size, recall, tile):
     by = ["tree", "prefix", "t", "u"]
     edges = (buckets.repartition(*by).sortWithinPartitions(*by)
              .mapInPandas(lambda b: near_by_signature(b, level), "a bigint, b bigint"))
-    families = components(edges).withColumnRenamed("node", "id")
+    families = connected(edges).withColumnRenamed("node", "id")
     members = materialise(families.join(reps.select("id", "text", "copies"), "id"))
 
     @F.pandas_udf("binary")
@@ -240,7 +240,7 @@ def _linked(docs, key, text, threshold, size, recall, tile):
     checked = materialise(tiles.repartition(*by).sortWithinPartitions(*by)
                           .mapInPandas(lambda b: verify(b, threshold), "a bigint, b bigint, links bigint"))
     links = checked.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    roots = components(checked.select("a", "b")).withColumnRenamed("node", "id")
+    roots = connected(checked.select("a", "b")).withColumnRenamed("node", "id")
     classes = links.join(roots, "id", "left")
     return found, reps, classes
 

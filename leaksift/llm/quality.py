@@ -10,6 +10,7 @@ label weighing as much as it does among all labelled rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -157,11 +158,18 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: s
             yield pd.DataFrame({"_key": batch[key], "_label": batch["_label"],
                                 "_counts": [np.asarray(term_counts(t), np.float32).tobytes() for t in batch["_text"]]})
 
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_key")  # a fixed order, so reruns agree
+        counts = np.frombuffer(b"".join(rows["_counts"]), np.float32).reshape(len(rows), FEATURES)
+        return pd.DataFrame({"model": [pickle.dumps(fit_voter(counts, rows["_label"].to_numpy(), totals))]})
+
     kind = dict(docs.dtypes)[key]
-    # Counts of a bounded number of texts; the order is fixed so that reruns agree.
-    rows = sample.mapInPandas(count, f"_key {kind}, _label int, _counts binary").toPandas().sort_values("_key")
-    counts = np.array([np.frombuffer(b, np.float32) for b in rows["_counts"]], np.float32).reshape(len(rows), FEATURES)
-    return fit_voter(counts, rows["_label"].to_numpy(), totals)
+    # The sample is bounded, so one task fits it; the driver gets the model alone.
+    models = (sample.mapInPandas(count, f"_key {kind}, _label int, _counts binary").groupBy(F.lit(0).alias("_all"))
+              .applyInPandas(fit, "model binary").collect())
+    if not models:
+        return fit_voter(np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), totals)
+    return pickle.loads(models[0]["model"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, key: str = "doc_id",

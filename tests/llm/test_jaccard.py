@@ -94,3 +94,14 @@ def test_unsettled_components_are_an_error(spark):
     assert {r.root for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError, match="not settled after 1 rounds"):
         components(chain, rounds=1)
+
+
+def test_few_and_many_links_give_the_same_components(spark):
+    from leaksift.llm.common import components, connected
+
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    few, many, rounds = (sorted(map(tuple, d.select("node", "root").collect())) for d in (connected(edges), connected(edges, alone=0), components(edges)))
+    assert few == many == rounds
+    assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
