@@ -1,15 +1,21 @@
-"""N-gram Jaccard join: MinHash bands of one length and exact verification.
-
-Every distinct set of word shingles gets a signature of several runs of minimum
-hashes, and sets with an equal prefix of one run are candidates: plain banding.
-One prefix length is used for all sets and runs, the longest whose expected
-recall at the threshold reaches the target.
-
-Candidates below one prefix are first compared by whole signatures; what may
-reach the threshold is linked, and linked sets form families. The sets of a
-family are then compared exactly, tile by tile. Neither step lists pairs: a
-task returns a spanning forest of the links it found and, per set, how many
-documents it links to. Sets over a tile's size are split into more tiles.
+"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
+
+Every distinct set of word shingles gets a signature of ``TREES`` labels, each a
+path of ``LONGEST`` minimum hashes; the sorted labels of one tree are a prefix
+trie. Sets below one node at the longest prefix are compared first, by whole
+signatures. From what a set met there its recall at every shorter prefix is
+estimated: a partner of similarity s shares a prefix of length d with chance
+s**d in a tree, so it stands for 1 / (TREES * s**LONGEST) partners and is found
+in some tree with chance 1 - (1 - s**d)**TREES. A set stays at the longest
+prefix whose estimate reaches the target; a set that met nobody, or falls short,
+has its prefixes shortened, down to the length at which even partners of
+exactly the threshold reach the target. Two sets of one trie are then compared
+when the prefix they share is as long as one of them asks for.
+
+What may reach the threshold is linked, and linked sets form families. The sets
+of a family are then compared exactly, tile by tile. Neither step lists pairs: a
+task returns a spanning forest of the links it found and sums per set. Nodes and
+families over a tile's size are split into more tiles.
 """
 
 from __future__ import annotations
@@ -18,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksift.llm.common import connected, fresh, least_labels, mixed, run_hashes, sorted_runs, word_hashes, words_of
 from leaksift.session import materialise
 
 TREES = 20
-LONGEST = 6
+LONGEST = 8
 SHINGLE = 5
 TILE = 1024
 CHUNK = 2048
@@ -56,9 +62,9 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def signed(docs: DataFrame, key: str, text: str, size: int, prefix: int) -> DataFrame:
-    """``key``, text digest, set digest (two numbers), set size, trie prefixes and the short signature."""
-    shape = "set_a bigint, set_b bigint, n bigint, prefixes array<bigint>, sig binary"
+def signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``key``, text digest, set digest (two numbers), set size and signature (two bytes per trie level, tree by tree)."""
+    shape = "set_a bigint, set_b bigint, n bigint, sig binary"
 
     @F.pandas_udf(shape)
     def sign(texts: pd.Series) -> pd.DataFrame:
@@ -66,26 +72,29 @@ def signed(docs: DataFrame, key: str, text: str, size: int, prefix: int) -> Data
         for t in texts:
             items = shingle_set(t, size)
             if len(items) == 0:
-                rows.append((0, 0, 0, None, None))
+                rows.append((0, 0, 0, None))
                 continue
-            sig = signature(items)
-            tries = sig.reshape(TREES, LONGEST)[:, :prefix].astype(np.uint64)
-            keys = run_hashes_rows(tries)
             rows.append((np.add.reduce(items).view(np.int64), np.bitwise_xor.reduce(mixed(items)).view(np.int64), len(items),
-                         keys.view(np.int64), sig.astype(np.uint16).tobytes()))
-        return pd.DataFrame(rows, columns=["set_a", "set_b", "n", "prefixes", "sig"])
+                         signature(items).astype(np.uint16).tobytes()))
+        return pd.DataFrame(rows, columns=["set_a", "set_b", "n", "sig"])
 
     sign = sign.asNondeterministic()  # its fields are used apart; it must run once
     return docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text"), sign(F.col(text)).alias("_s")
                        ).select("key", "text", "_s.*")
 
 
-def run_hashes_rows(rows: np.ndarray) -> np.ndarray:
-    """One hash per row of numbers."""
-    out = np.zeros(len(rows), np.uint64)
-    for column in rows.T:
-        out = mixed(out * np.uint64(0x100000001B3) + column + np.uint64(1))
-    return out
+def branch(depth: int) -> Column:
+    """The first ``depth`` levels of the label of ``tree``."""
+    return F.substring(F.col("sig"), F.col("tree") * (2 * LONGEST) + 1, F.lit(2 * depth))
+
+
+def below_nodes(sets: DataFrame, depth: int, tile: int) -> DataFrame:
+    """Sets that share a trie node at ``depth`` with another, sorted below each node; tiled where a node has many."""
+    rows = sets.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trie = rows.select("id", "tree", F.xxhash64("tree", branch(depth)).alias("node"))
+    by = ["node", "t", "u"]
+    return (tiled(trie, ["node"], ["id"], tile).join(sets, "id").withColumn("label", branch(LONGEST))
+            .repartition(*by).sortWithinPartitions(*by, "label"))
 
 
 def tiled(rows: DataFrame, by: list[str], spread: list[str], tile: int) -> DataFrame:
@@ -104,32 +113,63 @@ def tiled(rows: DataFrame, by: list[str], spread: list[str], tile: int) -> DataF
             .drop("_n", "_tiles", "_own", "_other"))
 
 
-def near_by_signature(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Spanning links of the sets below one prefix whose signatures agree often enough."""
-    for rows, starts in sorted_runs(batches, ["tree", "prefix", "t", "u"]):
+def near_in_tries(batches: Iterator[pd.DataFrame], least: float, first: bool, floor: int) -> Iterator[pd.DataFrame]:
+    """Spanning links of sets whose signatures agree often enough, and per set the sums its recall is estimated from.
+
+    ``first`` compares sets that share the whole label; else those sharing less
+    of it, but as much as one of the two asks for (``depth``). ``b`` is the set
+    that ``a`` hangs on; ``weight`` estimates the partners of ``a``, ``got``
+    how many of them are met at each prefix length from ``floor`` on.
+    """
+    lengths = np.arange(floor, LONGEST + 1)
+    for rows, starts in sorted_runs(batches, ["node", "t", "u"]):
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        label = np.frombuffer(b"".join(rows["label"]), np.uint16).reshape(len(rows), LONGEST)
         n = len(rows)
+        shared = np.zeros(n, np.int64)  # levels shared with the row before
+        shared[1:] = np.cumprod(label[1:] == label[:-1], axis=1).sum(1)
         ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-        side, cross = rows["side"].to_numpy(), (rows["t"] != rows["u"]).to_numpy()
+        side, cross, depth = rows["side"].to_numpy(), (rows["t"] != rows["u"]).to_numpy(), rows["depth"].to_numpy()
         need = int(np.ceil(least * sig.shape[1]))
         left, right = [], []
-        at = np.arange(n)
-        step = 1
-        while len(at := at[at + step < ends[at]]):
-            pick = at[~cross[at] | (side[at] != side[at + step])]
+        sums = np.zeros((n, 1 + len(lengths)))
+        at, common, step = np.arange(n), np.full(n, LONGEST), 1
+        while True:
+            going = at + step < ends[at]
+            at = at[going]
+            if not len(at):
+                break
+            common = np.minimum(common[going], shared[at + step])
+            asked = common == LONGEST if first else (common < LONGEST) & (common >= np.minimum(depth[at], depth[at + step]))
+            pick = at[asked & (~cross[at] | (side[at] != side[at + step]))]
             for lo in range(0, len(pick), 1 << 15):
                 p = pick[lo:lo + (1 << 15)]
-                hit = p[(sig[p] == sig[p + step]).sum(1) >= need]
+                agree = (sig[p] == sig[p + step]).sum(1)
+                near = agree >= need
+                hit, agree = p[near], agree[near]
                 left.append(hit)
                 right.append(hit + step)
+                if first and len(hit):
+                    # The tree they met in says nothing about how alike they are.
+                    alike = np.clip((agree - LONGEST) / (sig.shape[1] - LONGEST), 1e-3, 1.0)[:, None]
+                    weight = 1 / (TREES * alike ** LONGEST)
+                    part = np.hstack([weight, weight * (1 - (1 - alike ** lengths) ** TREES)])
+                    np.add.at(sums, hit, part)
+                    np.add.at(sums, hit + step, part)
             step += 1
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             if len(a):
-                label = least_labels(n, a, b)
-                moved = np.flatnonzero(label != np.arange(n))
+                top = least_labels(n, a, b)
+                out = np.union1d(a, b)
                 ids = rows["id"].to_numpy()
-                yield pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+                yield pd.DataFrame({"a": ids[out], "b": ids[top[out]], "weight": sums[out, 0], "got": list(sums[out, 1:])})
+
+
+def own_depth(recall: float, floor: int) -> Column:
+    """The longest prefix at which a set's estimated recall reaches the target, an aggregate over :func:`near_in_tries`."""
+    met = [F.sum(F.element_at("got", d - floor + 1)) / F.sum("weight") for d in range(floor, LONGEST + 1)]
+    return F.coalesce(*[F.when(met[d - floor] >= recall, F.lit(d)) for d in range(LONGEST, floor, -1)], F.lit(floor))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -209,21 +249,23 @@ def document_classes(docs: DataFrame, key: str, text: str, threshold: float, siz
 
 def _linked(docs, key, text, threshold, size, recall, tile):
     """Signed documents, distinct sets (with an id, copies and least key), and the class of every linked set."""
-    prefix = prefix_length(threshold, recall)
-    found = materialise(signed(docs, key, text, size, prefix))
+    floor = prefix_length(threshold, recall)
+    found = materialise(signed(docs, key, text, size))
     # Equal sets are one from here on; its id comes from the set's digest, so reruns agree.
     reps = materialise(found.where(F.col("n") > 0).groupBy("set_a", "set_b", "n")
-                       .agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"), F.min(F.struct("text", "prefixes", "sig")).alias("_first"))
+                       .agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"), F.min(F.struct("text", "sig")).alias("_first"))
                        .select(F.xxhash64("set_a", "set_b", "n").alias("id"), "set_a", "set_b", "n", "copies", "least",
-                               F.col("_first.text").alias("text"), "_first.prefixes", "_first.sig"))
-    trie = reps.select("id", "sig", F.posexplode("prefixes").alias("tree", "prefix"))
-    spread = tiled(trie.select("tree", "prefix", "id"), ["tree", "prefix"], ["id"], tile)
-    buckets = spread.join(reps.select("id", "sig"), "id")
+                               F.col("_first.text").alias("text"), "_first.sig"))
     level = max(0.0, threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / (TREES * LONGEST))))
-    by = ["tree", "prefix", "t", "u"]
-    edges = (buckets.repartition(*by).sortWithinPartitions(*by)
-             .mapInPandas(lambda b: near_by_signature(b, level), "a bigint, b bigint"))
-    families = connected(edges).withColumnRenamed("node", "id")
+    shape = "a bigint, b bigint, weight double, got array<double>"
+    sets = reps.select("id", "sig")
+    whole = sets.withColumn("depth", F.lit(LONGEST))
+    met = materialise(below_nodes(whole, LONGEST, tile).mapInPandas(lambda b: near_in_tries(b, level, True, floor), shape))
+    asked = met.groupBy(F.col("a").alias("id")).agg(own_depth(recall, floor).alias("_depth"))
+    # Only sets still short of the target ask for shorter prefixes; all sets can be met there.
+    shorter = sets.join(asked, "id", "left").select("id", "sig", F.coalesce("_depth", F.lit(floor)).alias("depth"))
+    more = below_nodes(materialise(shorter), floor, tile).mapInPandas(lambda b: near_in_tries(b, level, False, floor), shape)
+    families = connected(met.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("node", "id")
     members = materialise(families.join(reps.select("id", "text", "copies"), "id"))
 
     @F.pandas_udf("binary")

@@ -82,7 +82,7 @@ def test_empty_table(spark):
 
 
 def test_prefixes_are_shortened_until_the_target():
-    assert jaccard.prefix_length(0.8, 0.99) == 6 and jaccard.prefix_length(0.8, 0.999) == 5 and jaccard.prefix_length(0.5, 0.999) < 3
+    assert jaccard.prefix_length(0.8, 0.99, longest=6) == 6 and jaccard.prefix_length(0.8, 0.99) == 7 and jaccard.prefix_length(0.8, 0.999) == 5 and jaccard.prefix_length(0.5, 0.999) < 3
 
 
 def test_unsettled_components_are_an_error(spark):
@@ -105,3 +105,43 @@ def test_few_and_many_links_give_the_same_components(spark):
     few, many, rounds = (sorted(map(tuple, d.select("node", "root").collect())) for d in (connected(edges), connected(edges, alone=0), components(edges)))
     assert few == many == rounds
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sets_meet_below_the_prefix_that_one_of_them_asks_for():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    labels = np.sort(rng.integers(0, 2, (40, jaccard.LONGEST)).astype(">u2").view("S16").ravel())
+    sig = rng.integers(0, 9, jaccard.TREES * jaccard.LONGEST).astype(np.uint16).tobytes()
+    depth = rng.integers(2, jaccard.LONGEST + 1, 40)
+    rows = pd.DataFrame({"node": 1, "t": 0, "u": 0, "side": 0, "id": np.arange(40), "depth": depth, "sig": [sig] * 40,
+                         "label": [x.ljust(16, b"\0") for x in labels]})
+
+    def shared(i, j):
+        a, b = (np.frombuffer(rows["label"][x], np.uint16) for x in (i, j))
+        return int(np.cumprod(a == b).sum())
+
+    def classes(pairs):
+        top = list(range(40))
+        for i, j in pairs:
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+        return {i: top[i] for pair in pairs for i in pair}
+
+    every = [(i, j) for i in range(40) for j in range(i)]
+    whole = [(i, j) for i, j in every if shared(i, j) == jaccard.LONGEST]
+    less = [(i, j) for i, j in every if min(depth[i], depth[j]) <= shared(i, j) < jaccard.LONGEST]
+    for first, pairs in ((True, whole), (False, less)):
+        got = pd.concat([pd.DataFrame({"a": [], "b": []}), *jaccard.near_in_tries(iter([rows]), 0.5, first, 2)])
+        assert pairs and dict(zip(got["a"].astype(int), got["b"].astype(int))) == classes(pairs)
+
+
+def test_prefixes_are_shortened_for_sets_short_of_the_target(spark):
+    def met(alike):
+        weight = 1 / (jaccard.TREES * alike ** jaccard.LONGEST)
+        return weight, [weight * (1 - (1 - alike ** d) ** jaccard.TREES) for d in range(5, jaccard.LONGEST + 1)]
+
+    rows = spark.createDataFrame([(1, *met(0.99)), (1, *met(0.95)), (2, *met(0.85)), (3, *met(0.8)), (4, *met(0.99)), (4, *met(0.8))],
+                                 "id long, weight double, got array<double>")
+    depth = {r.id: r.d for r in rows.groupBy("id").agg(jaccard.own_depth(0.999, 5).alias("d")).collect()}
+    assert depth[1] == jaccard.LONGEST and depth[3] == 5 and 5 < depth[2] < jaccard.LONGEST and depth[4] < jaccard.LONGEST
