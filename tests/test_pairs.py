@@ -161,3 +161,10 @@ def test_scores_of_pairs_that_share_one_popular_row(spark):
     finally:
         skew.salted_lookup.__defaults__ = limit
     assert sorted((r.a, r.b, r.score) for r in got) == want
+
+
+def test_banded_sides_are_never_collected_to_be_broadcast(spark):
+    items = distinct_fingerprints(frame(spark, clustered(200)), ["w0", "w1"])
+    for pairs in (near_pairs(items, words=["w0", "w1"], radius=6, rows=10**6), near_pairs(items, items, words=["w0"], radius=6, rows=400)):
+        pairs.collect()
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
