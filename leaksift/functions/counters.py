@@ -75,26 +75,6 @@ def split_counts(seed: str, reps: np.ndarray, sizes: np.ndarray, total: int, wan
     return left
 
 
-def split_subsets(seed: str, reps: int, sizes: np.ndarray, quota: int, wanted: int) -> np.ndarray:
-    """How many of ``quota`` rows, taken without replacement from all blocks, block ``wanted`` gives, per replicate.
-
-    The same tree with hypergeometric parts. NumPy draws them for fewer than a
-    thousand million rows on either side of a node; more is its error.
-    """
-    low, high, left = 0, len(sizes), np.full(reps, quota, np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    key = int(hashlib.md5(f"{seed}:subset tree".encode()).hexdigest()[:16], 16)
-    while high - low > 1:
-        middle = (low + high) // 2
-        generator = np.random.Generator(np.random.Philox(np.random.SeedSequence([key, low, high])))
-        first = generator.hypergeometric(ends[middle] - ends[low], ends[high] - ends[middle], left)
-        if wanted < middle:
-            high, left = middle, first
-        else:
-            low, left = middle, left - first
-    return left
-
-
 def replicate_sums(seed: str, values: np.ndarray, reps: np.ndarray, counts: np.ndarray, block: int, cells: int = 1 << 21) -> Iterator[np.ndarray]:
     """Sums of the drawn rows of ``values`` per replicate, ``counts`` draws each; about ``cells`` draws are held at once."""
     step = max(1, cells // max(1, int(counts.max(initial=1))))

@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaksift.functions.counters import drawn, split_counts, split_subsets
+from leaksift.functions.counters import PRIME, drawn, split_counts
 from leaksift.operators.metrics import mean_auc
 from leaksift.operators.skew import hash_rank
 from leaksift.session import materialise
 
 BLOCK_ITEMS = 8_192
 DRAWN_AT_ONCE = 64
+CUT_SLACK = 8.0  # of the window a subset's last item is sought in, in usual deviations
 CHUNK_ROWS = 1_024
 
 
@@ -65,14 +66,57 @@ def _resampled(seed: str, reps: int, most: int, size: int, block: int, n: int) -
     return out
 
 
-def _subsets(seed: str, reps: int, most: int, size: int, quota: int, block: int, counters: np.ndarray) -> np.ndarray:
-    wanted = split_subsets(seed, reps, _blocks(size, most), min(quota, size), block)
-    out = np.zeros((len(counters), reps), np.int64)
-    for lo in range(0, reps, DRAWN_AT_ONCE):
-        part = np.arange(lo, min(reps, lo + DRAWN_AT_ONCE))
-        order = np.argsort(drawn(seed, part, counters, block), axis=1, kind="stable")
-        for r, row in zip(part, order):
-            out[row[:wanted[r]], r] = 1
+def _places(seed: str, trials: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """Where every item stands in the order of its draws, one row per trial; equal draws stand in digest order."""
+    return drawn(seed, trials, rows["_counter"].to_numpy(np.int64)) << 32 | rows["_at"].to_numpy(np.int64)
+
+
+def _window(size: int, quota: int, slack: float) -> tuple[int, int]:
+    """Places between which the ``quota``-th of ``size`` uniform draws lies, but for a deviation above about ``slack`` times the usual."""
+    off = slack * (np.sqrt(max(quota, 0)) + 4)
+    return tuple(int(min(max((quota + d) / size, 0.0), 1.0) * PRIME) << 32 for d in (-off, off))
+
+
+def _near_cut(seed: str, trials: int, by: Sequence[str], slack: float, rows: pd.DataFrame) -> pd.DataFrame:
+    """Per trial how many of a block's items stand before the window around the cut, and the places inside it."""
+    low, high = _window(int(rows["_size"].iloc[0]), int(rows["_quota"].iloc[0]), slack)
+    before, inside = [], []
+    for lo in range(0, trials, DRAWN_AT_ONCE):
+        places = _places(seed, np.arange(lo, min(trials, lo + DRAWN_AT_ONCE)), rows)
+        before += (places < low).sum(1).tolist()
+        inside += [row[(row >= low) & (row < high)] for row in places]
+    return pd.DataFrame({**{c: [rows[c].iloc[0]] * trials for c in by}, "_trial": np.arange(trials), "_before": before, "_inside": inside})
+
+
+def _cuts(placed: DataFrame, seed: str, trials: int, by: Sequence[str]) -> DataFrame:
+    """``by`` and ``_cuts``: the place of the last item of every trial's subset.
+
+    Only places near the expected cut leave a task, about sixteen times the
+    root of the quota per trial. Should a cut lie elsewhere, the search is made
+    again with wider windows, up to all places.
+    """
+    kinds, slack = dict(placed.dtypes), CUT_SLACK
+    while True:
+        found = placed.groupBy(*by, "_block").applyInPandas(
+            lambda rows: _near_cut(seed, trials, by, slack, rows),  # noqa: B023
+            ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "_trial int, _before bigint, _inside array<bigint>"]))
+        merged = found.groupBy(*by, "_trial").agg(F.sum("_before").alias("_before"), F.sort_array(F.flatten(F.collect_list("_inside"))).alias("_inside"))
+        goals = placed.select(*by, "_quota").distinct()
+        nth = F.col("_quota") - F.col("_before")
+        cut = F.when(nth >= 1, F.get("_inside", (nth - 1).cast("int")))
+        cuts = materialise(merged.join(goals, list(by) or F.lit(True)).select(*by, "_trial", cut.alias("_cut")))
+        if slack > 1 << 32 or cuts.where(F.col("_cut").isNull()).isEmpty():
+            ordered = F.sort_array(F.collect_list(F.struct("_trial", "_cut")))
+            return cuts.groupBy(*by).agg(F.transform(ordered, lambda x: x["_cut"]).alias("_cuts"))
+        slack *= 256
+
+
+def _subsets(seed: str, trials: int, rows: pd.DataFrame) -> np.ndarray:
+    cuts = np.asarray(rows["_cuts"].iloc[0], np.int64)
+    out = np.empty((len(rows), trials), np.int64)
+    for lo in range(0, trials, DRAWN_AT_ONCE):
+        part = np.arange(lo, min(trials, lo + DRAWN_AT_ONCE))
+        out[:, part] = (_places(seed, part, rows) <= cuts[part, None]).T
     return out
 
 
@@ -104,11 +148,10 @@ def random_memberships(items: DataFrame, key: str, trials: int, seed: str = "nul
     """``key`` and ``draws``: which of ``trials`` seeded subsets hold an item.
 
     Every subset has exactly ``size`` items, or ``target`` items per class of
-    ``targets`` (all, where there are fewer). A hypergeometric splitting tree
-    says how many of a block's items a subset takes; these are the ones with the
-    least counter-based draws, the counter being a digest of the item. A class
-    of a thousand million items or more is an error. Classes that ``targets``
-    does not name take no part.
+    ``targets`` (all, where there are fewer): the ones with the least
+    counter-based draws of all the class, however many blocks it has, the
+    counter being a digest of the item. A class of four thousand million items
+    or more is an error. Classes that ``targets`` does not name take no part.
     """
     by = list(by)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -117,9 +160,12 @@ def random_memberships(items: DataFrame, key: str, trials: int, seed: str = "nul
     sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     goals = sizes.withColumn("_quota", F.lit(size)) if targets is None else sizes.join(
         targets.select(*by, F.col("target").alias("_quota")), by or F.lit(True))
-    placed = numbered.join(goals, by or F.lit(True))
-    return _drawn_items(placed, key, by, block_items, lambda rows: _subsets(
-        seed, trials, block_items, *(int(rows[c].iloc[0]) for c in ("_size", "_quota", "_block")), rows["_counter"].to_numpy(np.int64)))
+    goals = goals.withColumn("_quota", F.least("_quota", "_size").cast("bigint")).where(F.col("_quota") > 0)
+    goals = goals.withColumn("_size", F.when(F.col("_size") < 1 << 32, F.col("_size")).otherwise(F.raise_error(F.lit("a class is too large"))))
+    block = F.expr(f"cast((_at - 1) div {block_items} as int)")
+    placed = materialise(numbered.join(goals, by or F.lit(True)).withColumn("_block", block))
+    cuts = _cuts(placed, seed, trials, by)
+    return _drawn_items(placed.join(cuts, by or F.lit(True)), key, by, block_items, lambda rows: _subsets(seed, trials, rows))
 
 
 class Area:

@@ -1,9 +1,13 @@
 """Replicate scores: counts per item, areas in segments, and whole scores against exploded rows."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leaksift.functions.counters import drawn
+from leaksift.operators import replicates
 from leaksift.operators.metrics import combined_scores
 from leaksift.operators.replicates import Area, packed, random_memberships, replicate_scores, resample_weights, unpacked
 
@@ -77,6 +81,28 @@ def test_subsets_have_their_sizes(spark):
     assert (by_class[0] == 30).all() and (by_class[1] == 77).all() and not np.any(by_class[2])
 
 
+def test_subsets_are_the_least_draws_of_all_items(spark):
+    items = spark.range(230).select(F.col("id").alias("k"), (F.col("id") % 2).alias("c"))
+    digest = {k: hashlib.md5(f"s:{k}".encode()).hexdigest() for k in range(230)}
+    draws = {k: drawn("s", np.arange(REPS), np.array([int(d[:7], 16)]))[:, 0] for k, d in digest.items()}
+    for by, quotas in (([], {None: 70}), (["c"], {0: 1, 1: 114})):
+        targets = None if not by else spark.createDataFrame(list(quotas.items()), "c bigint, target bigint")
+        got = counts_of(random_memberships(items, "k", REPS, "s", size=70, targets=targets, by=by, block_items=40))
+        for c, quota in quotas.items():
+            own = [k for k in range(230) if c is None or k % 2 == c]
+            for t in range(REPS):
+                want = sorted(own, key=lambda k: (draws[k][t], digest[k]))[:quota]  # noqa: B023
+                assert {k for k in own if got[k][t]} == set(want)
+
+
+def test_a_cut_outside_its_window_is_searched_again(spark, monkeypatch):
+    items = spark.range(230).select(F.col("id").alias("k"))
+    wide = counts_of(random_memberships(items, "k", REPS, "s", size=70, block_items=40))
+    monkeypatch.setattr(replicates, "CUT_SLACK", 1e-6)
+    again = counts_of(random_memberships(items, "k", REPS, "s", size=70, block_items=40))
+    assert all((again[k] == c).all() for k, c in wide.items())
+
+
 @pytest.mark.parametrize("absent", ["zero", "skip", "null"])
 def test_scores_equal_those_of_exploded_rows(spark, absent):
     rng = np.random.default_rng(5)
