@@ -138,3 +138,22 @@ def test_medians_search_only_open_groups(spark, monkeypatch):
     monkeypatch.setattr(balls, "_nearest_by_blocks", lambda start, *rest: (seen.append(start.count()), blocks(start, *rest))[1])
     got = balls.median_distance(a, b, words=names, rows=150, ref_key="id", by=["g"], compare_cost=1.0, round_cost=0)
     assert {r.g: r.median_distance for r in got.collect()}["near"] == 0.0 and seen[0] <= 50
+
+
+def test_gaps_of_any_width():
+    rng = np.random.default_rng(3)
+    for words in (1, 3, 4):
+        a = rng.integers(0, 2**63, size=(5, words), dtype=np.int64).view(np.uint64)
+        b = np.vstack([~a[:1], rng.integers(0, 2**63, size=(7, words), dtype=np.int64).view(np.uint64)])
+        want = [[sum((int(x) ^ int(y)).bit_count() for x, y in zip(r, q)) for q in b] for r in a]
+        assert balls._gaps(a, np.ascontiguousarray(b.T)).astype(int).tolist() == want and want[0][0] == 64 * words
+
+
+def test_balls_meet_by_shuffle(spark):
+    rng = random.Random(9)
+    (left, names), (right, _) = frame(spark, prints(rng, 60, 1), 1), frame(spark, prints(rng, 60, 1), 1)
+    parts = balls.uniform_parts(64, 4)
+    met = balls._met(left, right, names, [], parts, [(p, 0) for p in range(4)], 60, 20_000)
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.split("== Initial Plan ==")[0].count("BroadcastHashJoin") <= 1  # the masks
