@@ -157,3 +157,19 @@ def test_balls_meet_by_shuffle(spark):
     met.collect()
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.split("== Initial Plan ==")[0].count("BroadcastHashJoin") <= 1  # the masks
+
+
+@pytest.mark.parametrize("words,radius,cost", [(1, 12, 0.0), (4, 50, 0.0), (1, 12, 1e9), (4, 50, 1e9)])
+def test_pairs_by_blocks_and_by_balls(spark, words, radius, cost, monkeypatch):
+    monkeypatch.setattr(balls, "PAIR_BLOCK_ROWS", 40)
+    rng = random.Random(words)
+    left, right = sorted(set(prints(rng, 150, words))), sorted(set(prints(rng, 130, words)))
+    right = sorted({*right, *left[:3]})
+    (a, names), (b, _) = frame(spark, left, words), frame(spark, right, words)
+    pairs = balls.ball_pairs(a.drop("g"), b.drop("g"), words=names, radius=radius, rows=150, compare_cost=cost)
+    got = sorted((r.id_a, r.id_b, r.distance) for r in pairs.collect())
+    want = sorted((i, j, (x ^ y).bit_count()) for i, x in enumerate(left) for j, y in enumerate(right) if (x ^ y).bit_count() <= radius)
+    assert got == want and want
+    by_blocks = "CoGroup" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert by_blocks == (cost == 0)
+    assert pairs.limit(0).columns == [*[f"{c}_a" for c in a.drop("g").columns], *[f"{c}_b" for c in b.drop("g").columns], "distance"]
