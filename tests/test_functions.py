@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaksift.functions import bits, intervals, keys, vectors
-from leaksift.operators.fingerprints import text_fingerprints
+from leaksift.operators.fingerprints import majority_word, normalised_words, shingle_words, text_fingerprints
 
 
 def one(spark, column, **values):
@@ -165,3 +165,14 @@ def test_majority_words_of_a_whole_batch():
         bits = np.unpackbits(values[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > b - a
         assert word == np.packbits(bits, bitorder="little").view(np.int64)[0]
     assert majority_words(values[:0], np.zeros(1, np.int64)).tolist() == []
+
+
+def test_hashes_as_bytes_give_the_words_of_hashes_as_numbers(spark):
+    texts = [None, "", "  ", "one", "one two", "a b c d e f g", "x " * 700, "Été über 12 naïve — words"] + [f"w{i} w{i % 7} v{i}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    assert text_fingerprints(rows.where("id = 3"), ["id"], digest="md5")._jdf.queryExecution().analyzed().toString().count("conv(") == 0
+    for size in (1, 2, 3):
+        words = normalised_words(F.col("text"))
+        want = {r.id: r.w for r in rows.select("id", majority_word(shingle_words(words, size, "md5")).alias("w")).collect()}
+        got = {r.id: r.w for r in text_fingerprints(rows, ["id"], families={"w": size}, digest="md5").collect()}
+        assert got == want and got[0] is None and got[1] is None and got[3] is not None
