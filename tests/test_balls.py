@@ -173,3 +173,8 @@ def test_pairs_by_blocks_and_by_balls(spark, words, radius, cost, monkeypatch):
     by_blocks = "CoGroup" in pairs._jdf.queryExecution().executedPlan().toString()
     assert by_blocks == (cost == 0)
     assert pairs.limit(0).columns == [*[f"{c}_a" for c in a.drop("g").columns], *[f"{c}_b" for c in b.drop("g").columns], "distance"]
+
+
+def test_groups_are_planned_by_what_they_hold(spark):
+    sizes = spark.createDataFrame([(i, "a" if i < 30 else "b") for i in range(40)], "id long, g string")
+    assert balls._within(sizes, ["g"]) == (30 * 30 + 10 * 10) / 40 and balls._within(sizes.limit(0), ["g"]) == 0.0
