@@ -168,3 +168,41 @@ def test_banded_sides_are_never_collected_to_be_broadcast(spark):
     for pairs in (near_pairs(items, words=["w0", "w1"], radius=6, rows=10**6), near_pairs(items, items, words=["w0"], radius=6, rows=400)):
         pairs.collect()
         assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("words,radius,rule,rows,tile", [(1, 6, "sum", 10**6, 10**9), (1, 10, "sum", 3 * 10**6, 40), (2, 6, "sum", 10**9, 10**9),
+                                                         (2, 4, "each", 10**6, 40)])
+def test_large_inputs_are_shuffled_once_per_first_block(spark, monkeypatch, words, radius, rule, rows, tile):
+    """Not once per band: that grows with the input. Groups and tiles of groups lose and repeat no pair."""
+    from leaksift.operators import pairs
+
+    monkeypatch.setattr(pairs, "GROUP_ROWS", rows // 3)
+    monkeypatch.setattr(pairs, "GROUP_TILE_ROWS", tile)
+    monkeypatch.setattr(pairs, "SCOUT_SHARE", 1)
+    monkeypatch.setattr(pairs, "scout", lambda df, spread: df)
+    names = [f"w{i}" for i in range(words)]
+    values = np.unique(clustered(300, words), axis=0)
+    other = np.unique(np.concatenate([values[::3], clustered(100, words)]), axis=0)
+    left, right = (distinct_fingerprints(frame(spark, v), names) for v in (values, other))
+    bands = pairs.band_plan(words, radius, rows, rule)
+    assert len(pairs._by_first_block(bands)) <= radius + 1 < len(bands.bands)
+    for a, b, x, y in ((left, None, values, values), (left, right, values, other)):
+        found = near_pairs(a, b, words=names, radius=radius, rows=rows, rule=rule)
+        assert "_band" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.select(*[f"{n}_{s}" for s in "ab" for n in names], *[f"dist_{n}" for n in names], "distance").toPandas().to_numpy()
+        d = gaps(x, y)
+        close = (sum(d) <= radius) if rule == "sum" else np.all([g <= radius for g in d], axis=0)
+        want = {(*x[i], *y[j], *[g[i, j] for g in d], sum(g[i, j] for g in d)) for i, j in zip(*np.nonzero(close))
+                if b is not None or tuple(x[i]) < tuple(y[j])}
+        have = [tuple(r) for r in got]
+        assert len(have) == len(set(have)) and set(have) == want and want
+
+
+def test_groups_meet_equal_values_only(spark, monkeypatch):
+    values = np.unique(clustered(200, 1), axis=0)
+    side = frame(spark, values).withColumn("of", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")))
+    groups = distinct_fingerprints(side, ["w0"], by=["of"])
+    few, many = (near_pairs(groups, words=["w0"], radius=6, rows=rows, on=["of"]).toPandas() for rows in (10_000, 10**6))
+    order = ["of_a", "of_b", "w0_a", "w0_b", "distance", "n_a", "n_b", "dist_w0"]
+    rows_of = lambda t: sorted(map(tuple, t[order].to_numpy()))
+    assert rows_of(few) == rows_of(many) and len(few)
