@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leaksift.functions.counters import PRIME, drawn, replicate_sums, split_counts
+from leaksift.functions.counters import PRIME, drawn, replicate_sums
 from leaksift.functions.intervals import T_CRITICAL_DF9, normal_tail, z_quantile
 from leaksift.operators.lookups import seed_pairs
 from leaksift.operators.ranks import average_rank, ordinal_rank
@@ -26,7 +26,7 @@ BOARD_EDGES = 64
 RATE_FLOOR = 1e-9  # fixed value of the published test
 LEAST_LIKELY = 1e-13
 EXACT_PAIRS = 3_000
-BLOCK_GROUPS, SPAN_REPS, SPAN_RANKS = 8_192, 1_000, 250
+BLOCK_GROUPS, SPAN_REPS, SPAN_RANKS = 1 << 20, 500, 250
 CLUSTER_REPS, PAIRED_REPS, NULL_TRIALS, RANK_REPS = 20_000, 10_000, 1_000, 1_000
 
 
@@ -158,11 +158,12 @@ def bootstrap_sums(groups: DataFrame, group: str, reps: int, seed: str, sums: Se
                    by: Sequence[str] = ()) -> DataFrame:
     """Sums of ``reps`` resamples with replacement of the rows of ``groups`` (as many as there are).
 
-    Rows are numbered in digest order and cut into blocks; how many of a
-    replicate's draws fall into a block comes from a binomial splitting tree,
-    which rows they are from counter-based draws inside the block. A task
-    takes one block and a span of replicates and returns one row per replicate,
-    so nothing holds a row per (group, replicate), and sums combine map-side.
+    Rows are numbered in digest order; counter-based draws of a (replicate,
+    slot) say which row it takes, as in the SQL, whatever the number of rows. A
+    task takes a span of replicates and returns one row per replicate, so
+    nothing holds a row per (group, replicate), and sums combine map-side. Rows
+    above ``BLOCK_GROUPS`` are cut into blocks of that many: a task holds one of
+    them, makes all draws of its replicates and adds those that fall into it.
     Integers are summed as such, other numbers as doubles.
     """
     by, sums = list(by), list(sums)
@@ -179,14 +180,13 @@ def bootstrap_sums(groups: DataFrame, group: str, reps: int, seed: str, sums: Se
         rows = rows.sort_values("_at")
         size, block, first = (int(rows[c].iloc[0]) for c in ("_size", "_block", "_from"))
         numbers = np.arange(first, min(first + SPAN_REPS, reps))
-        blocks = np.full(-(-size // BLOCK_GROUPS), BLOCK_GROUPS, np.int64)
-        blocks[-1] = size - BLOCK_GROUPS * (len(blocks) - 1)
-        counts = split_counts(seed, numbers, blocks, size, block)
-        values = rows[sums].to_numpy(np.int64 if whole else np.float64)
-        totals = np.concatenate(list(replicate_sums(seed, values, numbers, counts, block)))
+        values = np.asfortranarray(rows[sums].to_numpy(np.int64 if whole else np.float64))
+        totals = replicate_sums(seed, values, numbers, size, block * BLOCK_GROUPS)
         found = pd.DataFrame(totals, columns=sums)
         return pd.concat([pd.DataFrame({**{c: [rows[c].iloc[0]] * len(numbers) for c in by}, "rep": numbers}), found], axis=1)
 
+    # The number of parts is given: few bytes are long work here, which adaptive execution would put into one task.
+    placed = placed.repartition(4 * -(-reps // SPAN_REPS), *by, "_block", "_from")
     drawn = placed.groupBy(*by, "_block", "_from").applyInPandas(resampled, out)
     return drawn.groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 

@@ -54,3 +54,24 @@ def test_sums_equal_the_draws(spark, monkeypatch, block):
         values = np.array([r.v for r in order])
         index = counters.drawn("z", np.arange(150), np.arange(40)) % 40
         assert [got["a", r][0] for r in range(150)] == values[index].sum(1).tolist()
+
+
+@pytest.mark.parametrize("rows,block", [(9_000, 1 << 20), (200, 64)])
+def test_sums_of_many_rows_are_those_of_the_plain_draws(spark, monkeypatch, rows, block):
+    """However many rows there are and however they are cut, and in parts that adaptive execution does not merge."""
+    monkeypatch.setattr(stats, "BLOCK_GROUPS", block)
+    monkeypatch.setattr(stats, "SPAN_REPS", 5)
+    df = spark.range(rows).selectExpr("id", "id * id % 1009 AS v")
+    sums = stats.bootstrap_sums(df, "id", 15, "q", ["v"])
+    assert "REPARTITION_BY_NUM" in sums._jdf.queryExecution().executedPlan().toString()
+    values = np.array([r.v for r in stats.hash_rank(df, ["id"], [], "q", "at").orderBy("at").collect()])
+    index = counters.drawn("q", np.arange(15), np.arange(rows)) % rows
+    assert [r.v for r in sums.orderBy("rep").collect()] == values[index].sum(1).tolist()
+
+
+def test_fast_powers_are_exact():
+    edge = np.array([0, 1, 2, 46_340, 46_341, 65_536, 1 << 30, counters.PRIME - 2, counters.PRIME - 1], np.uint64)
+    x = np.concatenate([edge, np.random.default_rng(3).integers(0, counters.PRIME, 2_000).astype(np.uint64)])
+    want = [pow(int(v), 5, counters.PRIME) for v in x]
+    counters._fifth(x)
+    assert x.tolist() == want
