@@ -115,3 +115,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_summary(summary, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert sinks.nested_summary(summary, ["source"]).where("source = 'b'").first().metrics == {"n": 2.0}
+
+
+def test_long_work_is_spread_by_bytes(spark, tmp_path):
+    """A scan split grows with its input; what a task has to do must not."""
+    path = str(tmp_path / "one_group.parquet")
+    spark.range(40_000).selectExpr("id", "sha2(cast(id as string), 512) AS text").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    few, many = scans.spread_input(table, "id"), scans.spread_input(table, "id", most_bytes=1 << 16)
+    assert many.rdd.getNumPartitions() > 16 > few.rdd.getNumPartitions()
+    sizes = many.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 40_000 and max(sizes) < 4_000
