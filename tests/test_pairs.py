@@ -206,3 +206,18 @@ def test_groups_meet_equal_values_only(spark, monkeypatch):
     order = ["of_a", "of_b", "w0_a", "w0_b", "distance", "n_a", "n_b", "dist_w0"]
     rows_of = lambda t: sorted(map(tuple, t[order].to_numpy()))
     assert rows_of(few) == rows_of(many) and len(few)
+
+
+@pytest.mark.parametrize("mode", ["independent", "same_row", "additive"])
+def test_flags_are_never_collected_to_be_broadcast(spark, broadcasts, mode):
+    """Neither between the radii nor by who joins them back; they grow with the input."""
+    items, reference = clustered(300, 2), clustered(300, 2)
+    reference[:200] = items[:200] ^ RNG.integers(0, 4, size=(200, 2))
+    a, b = frame(spark, items), frame(spark, reference)
+    with broadcasts() as sent:
+        hits = flagged_fingerprints(a, b, mode, words=["w0", "w1"], radius=6, rows=10**6, ref_key="id")
+        marked = a.join(hits.withColumn("_hit", F.lit(True)), ["w0", "w1"], "left").where("_hit").count()
+    d = gaps(items, reference)
+    close = {"independent": (d[0] <= 6).any(1) & (d[1] <= 6).any(1), "same_row": ((d[0] <= 6) & (d[1] <= 6)).any(1),
+             "additive": (d[0] + d[1] <= 6).any(1)}
+    assert marked == int(close[mode].sum()) and sent == []
