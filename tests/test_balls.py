@@ -178,3 +178,23 @@ def test_pairs_by_blocks_and_by_balls(spark, words, radius, cost, monkeypatch):
 def test_groups_are_planned_by_what_they_hold(spark):
     sizes = spark.createDataFrame([(i, "a" if i < 30 else "b") for i in range(40)], "id long, g string")
     assert balls._within(sizes, ["g"]) == (30 * 30 + 10 * 10) / 40 and balls._within(sizes.limit(0), ["g"]) == 0.0
+
+
+@pytest.mark.parametrize("search", ["nearest", "medians"])
+def test_open_and_settled_rows_are_never_collected_to_be_broadcast(spark, broadcasts, search, monkeypatch):
+    """They grow with the input. Ball masks and cells, with whole numbers as keys, may be broadcast."""
+    monkeypatch.setattr(balls, "BLOCK_ROWS", 64)
+    rng = random.Random(11)
+    left, right = prints(rng, 300, 1), prints(rng, 300, 1)
+    right += left[:40]
+    groups = [rng.choice("abc") for _ in left]
+    (a, names), (b, _) = frame(spark, left, 1, groups), frame(spark, right, 1)
+    near, kw = brute(left, right), dict(words=names, rows=400, ref_key="id", compare_cost=2.0, round_cost=0)
+    with broadcasts() as sent:
+        if search == "nearest":
+            found = balls.nearest(a, b, **kw)
+            got = {r.id: (r.distance, r.nearest) for r in a.join(found, names, "left").collect()}
+        else:
+            got = {r.g: r.median_distance for r in balls.median_distance(a, b, by=["g"], **kw).collect()}
+    want = near if search == "nearest" else {g: float(np.median([near[i][0] for i in near if groups[i] == g])) for g in "abc"}
+    assert got == want and [x for x in sent if "bigint, " in x] == []
